@@ -211,14 +211,14 @@ def differing_cells(df1: DataFrame, df2: DataFrame, keys: Keys = None, *, check_
 def only_left(df1: DataFrame, df2: DataFrame, keys: Keys = None) -> DataFrame:
     """Rows of ``df1`` whose key ``df2`` lacks."""
     side1, side2, names = _keyed(df1, df2, keys)
-    right = side2.select(*names)
+    right = side2.select(*names).distinct()
     return side1.join(right, _matches(names, side1, right), "left_anti").drop(*names)
 
 
 def only_right(df1: DataFrame, df2: DataFrame, keys: Keys = None) -> DataFrame:
     """Rows of ``df2`` whose key ``df1`` lacks."""
     side1, side2, names = _keyed(df1, df2, keys)
-    left = side1.select(*names)
+    left = side1.select(*names).distinct()
     return side2.join(left, _matches(names, side2, left), "left_anti").drop(*names)
 
 

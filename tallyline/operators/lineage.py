@@ -5,8 +5,6 @@ Everything here is a projection: one script is one row, and no row moves.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,11 +135,11 @@ def extract_stats(scripts: DataFrame, text: str = "raw") -> DataFrame:
 
 def long_form(extracted: DataFrame, *ids: str) -> DataFrame:
     """One row per id, role (``source`` or ``target``) and table."""
-    tagged = [
-        F.transform(F.col(f"{role}s"), lambda t, role=role: F.struct(F.lit(role).alias("role"), t.alias("table")))
-        for role in ("source", "target")
-    ]
-    both = extracted.select(*ids, reduce(F.concat, tagged).alias("_tables"))
+
+    def tagged(role: str) -> Column:
+        return F.transform(f"{role}s", lambda t: F.struct(F.lit(role).alias("role"), t.alias("table")))
+
+    both = extracted.select(*ids, F.concat(tagged("source"), tagged("target")).alias("_tables"))
     return explode_items(both, "_tables", "_entry").select(*ids, "_entry.*")
 
 

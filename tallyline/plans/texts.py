@@ -25,12 +25,12 @@ def rewrite_job(
 ) -> tuple[int, int]:
     """Read every script, apply ``transform`` to its text and write it under the same relative path.
 
-    With ``strict`` a script that is not valid in ``from_charset`` is skipped,
-    otherwise its bad bytes are replaced. Returns the files and bytes written.
+    With ``strict`` a script that one of the charsets cannot express is skipped,
+    otherwise what it cannot express is replaced. Returns the files and bytes written.
     """
     scripts = read_scripts(spark, source, glob=glob, charset=from_charset, strict=strict)
     text = transform(F.col("raw")) if transform else F.col("raw")
-    encoded = encode_text(spark, scripts.select("path", text.alias("text")), "text", to_charset, "bytes")
+    encoded = encode_text(spark, scripts.select("path", text.alias("text")), "text", to_charset, "bytes", strict=strict)
     return write_files(encoded, target, F.col("path"), F.col("bytes"))
 
 

@@ -43,10 +43,14 @@ def decode_text(spark: SparkSession, df: DataFrame, content: str, charset: str,
         return decoded.where(~F.contains(F.col(out), F.lit(_REPLACEMENT)) | (back == F.col(content)))
 
 
-def encode_text(spark: SparkSession, df: DataFrame, text: str, charset: str, out: str) -> DataFrame:
-    """Add ``out``: ``text`` as bytes in ``charset``; what it cannot express becomes ``?``."""
+def encode_text(spark: SparkSession, df: DataFrame, text: str, charset: str, out: str, *, strict: bool = False) -> DataFrame:
+    """Add ``out``: ``text`` as bytes in ``charset``.
+
+    What the charset cannot express becomes ``?``; with ``strict`` such a row is dropped.
+    """
     with charset_support(spark):
-        return df.withColumn(out, F.encode(F.col(text), charset))
+        encoded = df.withColumn(out, F.encode(F.col(text), charset))
+        return encoded.where(F.decode(F.col(out), charset) == F.col(text)) if strict else encoded
 
 
 def read_scripts(
