@@ -30,8 +30,8 @@ def clean_name(name: Column) -> Column:
 
 
 def is_valid_name(name: Column) -> Column:
-    """At least two characters without backticks, and not a keyword."""
-    bare = F.replace(clean_name(name), F.lit("`"), F.lit(""))
+    """At least two characters without backticks, and not a keyword; expects a clean name."""
+    bare = F.replace(name, F.lit("`"), F.lit(""))
     return (F.length(bare) > 1) & ~F.upper(bare).isin(*KEYWORDS)
 
 

@@ -11,7 +11,7 @@ from tallyline.functions.text import trim_blanks
 # Block patterns.
 FLAT_BLOCK = r"(?is)(STEP\d{3})\s*BEGIN(.*?)END"
 STEP_BEGIN = r"STEP\d{3}\s*BEGIN"
-BLOCK_TOKEN = rf"(?i){STEP_BEGIN}|\bBEGIN\b|\bEND\b"
+BLOCK_TOKEN = rf"(?i){STEP_BEGIN}|BEGIN(?<=\bBEGIN)\b|END(?<=\bEND)\b"
 
 # Fact patterns per version of the analysis.
 TABLES = {
@@ -67,7 +67,9 @@ def split_nested_blocks(scripts: DataFrame, text: str = "raw") -> DataFrame:
         F.regexp_extract_all(text, F.lit(BLOCK_TOKEN), F.lit(0)).alias("_tokens"),
         F.split(text, BLOCK_TOKEN, -1).alias("_gaps"),
     )
-    starts_step = lambda token: token.rlike(rf"(?i)^{STEP_BEGIN}")
+
+    def starts_step(token: Column) -> Column:
+        return F.length(token) > len("BEGIN")
 
     def weight(token: Column, i: Column) -> Column:
         whole_word = F.concat(F.lit("BEGIN"), F.get(gaps, i + 1)).rlike(r"^BEGIN\b") & token.rlike(r"(?i)\s+BEGIN$")
@@ -165,17 +167,20 @@ def block_alias_pairs(content: Column, version: int = 4) -> Column:
 
 def begin_end_counts(content: Column) -> tuple[Column, Column]:
     """Whole-word BEGIN and END keywords in a block."""
-    return F.regexp_count(content, F.lit(r"(?i)\bBEGIN\b")), F.regexp_count(content, F.lit(r"(?i)\bEND\b"))
+    return (
+        F.regexp_count(content, F.lit(r"(?i)BEGIN(?<=\bBEGIN)\b")),
+        F.regexp_count(content, F.lit(r"(?i)END(?<=\bEND)\b")),
+    )
 
 
-def block_errors(content: Column, version: int = 4) -> Column:
-    """Defect messages of a block."""
+def block_errors(content: Column, version: int = 4, counts: tuple[Column, Column] | None = None) -> Column:
+    """Defect messages of a block; ``counts`` are its BEGIN and END keywords where known already."""
     lowered = F.lower(content)
     no_query = ~(
         F.contains(lowered, F.lit("select")) | F.contains(lowered, F.lit("insert")) | F.contains(lowered, F.lit("merge"))
     )
     if version >= 4:
-        begins, ends = begin_end_counts(content)
+        begins, ends = counts or begin_end_counts(content)
         unbalanced = F.concat(
             F.lit(f"{UNBALANCED}("), begins.cast("string"), F.lit("/"), ends.cast("string"), F.lit(")")
         )
@@ -196,14 +201,15 @@ def block_facts(blocks: DataFrame, version: int = 4) -> DataFrame:
     content = F.col("content")
     keep = [c for c in blocks.columns if c != "content"]
     begins, ends = begin_end_counts(content)
-    facts = blocks.select(
+    counted = blocks.withColumns({"begin_count": begins, "end_count": ends})
+    counts = (F.col("begin_count"), F.col("end_count"))
+    facts = counted.select(
         *keep,
         block_tables(content, version).alias("tables"),
         block_columns(content, version).alias("columns"),
         block_conditions(content).alias("conditions"),
         block_alias_pairs(content, version).alias("aliases"),
-        block_errors(content, version).alias("errors"),
-        begins.alias("begin_count"),
-        ends.alias("end_count"),
+        block_errors(content, version, counts).alias("errors"),
+        *counts,
     )
     return keep_last_values(facts, "aliases")

@@ -25,11 +25,13 @@ def statements_of(table: Column, pk_cols: Column, dialect: str, base_date: str)
     """The check statements of one table, in order, as an array."""
     if dialect not in DIALECTS:
         raise ValueError(f"unknown dialect: {dialect}")
-    date = date_column(table, dialect)
     if dialect == "bq":
-        ref, date, keys = quote_hangul(table), quote_hangul(date), F.transform(pk_cols, quote_hangul)
+        # Every date column is Hangul, so it is always in backticks here.
+        date = F.concat(F.lit("`"), date_column(table, dialect), F.lit("`"))
+        ref, keys = quote_hangul(table), F.transform(pk_cols, quote_hangul)
         base = f"parse_date('%Y%m%d', '{base_date}')"
     else:
+        date = date_column(table, dialect)
         ref, keys = F.replace(table, F.lit("`"), F.lit("")), pk_cols
         base = f"'{base_date}'"
     at_base = F.concat(F.lit(" where "), date, F.lit(f" = {base};"))
@@ -68,12 +70,18 @@ def check_statements(
     )
 
 
-def _section(title: str, entries: Column, text: str) -> Column:
+def _section(title: str, entries: Column, dialect: str, base_date: str) -> Column:
+    """Heading with the number of tables, then the numbered tables with their statements."""
+
+    def one(entry: Column) -> Column:
+        statements = F.array_join(statements_of(entry["table"], entry["pk_cols"], dialect, base_date), "\n")
+        number = entry["number"].cast("string")
+        return F.concat(F.lit("/*-- "), number, F.lit(") "), entry["table"], F.lit(" --*/\n"), statements, F.lit("\n\n"))
+
     rule = "/*--------------------*/\n"
-    count = F.size(entries).cast("string")
     return F.concat(
-        F.lit(f"{rule}/*-- {title} : "), count, F.lit(f"개 --*/\n{rule}\n"),
-        F.array_join(F.transform(entries, lambda e: e[text]), ""),
+        F.lit(f"{rule}/*-- {title} : "), F.size(entries).cast("string"), F.lit(f"개 --*/\n{rule}\n"),
+        F.array_join(F.transform(entries, one), ""),
     )
 
 
@@ -81,8 +89,8 @@ def check_files(extracted: DataFrame, pk_list: DataFrame | None, base_date: str
     """(path, bq, oracle): the check file of each script per dialect.
 
     Tables are numbered in name order, sources before targets. Only table names
-    are shuffled: once to meet the key list, unless it is small, and once to
-    come together per script.
+    and their keys are shuffled: once to meet the key list, unless it is small,
+    and once to come together per script; the texts are made after that.
     """
 
     def numbered(items: str, part: int) -> Column:
@@ -93,19 +101,8 @@ def check_files(extracted: DataFrame, pk_list: DataFrame | None, base_date: str
 
     all_tables = F.concat(numbered("sources", 1), numbered("targets", 2))
     rows = extracted.select("path", F.explode_outer(all_tables).alias("_t")).select("path", "_t.*")
-    keyed = with_pk_columns(rows, pk_list)
-
-    def text(dialect: str) -> Column:
-        lines = F.transform(
-            statements_of(F.col("table"), F.col("pk_cols"), dialect, base_date), lambda s: F.concat(s, F.lit("\n"))
-        )
-        title = F.concat(F.lit("/*-- "), F.col("number").cast("string"), F.lit(") "), F.col("table"), F.lit(" --*/\n"))
-        return F.concat(title, F.array_join(lines, ""), F.lit("\n"))
-
-    entry = F.struct("part", "number", *[text(d).alias(d) for d in DIALECTS])
-    per_file = keyed.groupBy("path").agg(
-        F.array_sort(F.collect_list(F.when(F.col("table").isNotNull(), entry))).alias("_entries")
-    )
+    entry = F.when(F.col("table").isNotNull(), F.struct("part", "number", "table", "pk_cols"))
+    per_file = with_pk_columns(rows, pk_list).groupBy("path").agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
     parts = per_file.select(
         "path",
         F.filter("_entries", lambda e: e["part"] == 1).alias("_sources"),
@@ -114,7 +111,9 @@ def check_files(extracted: DataFrame, pk_list: DataFrame | None, base_date: str
     return parts.select(
         "path",
         *[
-            F.concat(_section("소스테이블", F.col("_sources"), d), _section("타겟테이블", F.col("_targets"), d)).alias(d)
+            F.concat(
+                _section("소스테이블", F.col("_sources"), d, base_date), _section("타겟테이블", F.col("_targets"), d, base_date)
+            ).alias(d)
             for d in DIALECTS
         ],
     )

@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.functions.arrays import EMPTY, empty_strings, explode_items, sorted_set
-from tallyline.functions.names import clean_name, is_valid_name
-from tallyline.functions.text import MARK, normalize_newlines, strip_comments, trim_blanks
+from tallyline.functions.arrays import empty_strings, explode_items, sorted_set
+from tallyline.functions.names import is_valid_name
+from tallyline.functions.text import MARK, normalize_newlines, strip_comments
 from tallyline.operators import rules as R
 from tallyline.operators.rules import Pattern, RuleSet, rule_set
 
@@ -30,46 +30,46 @@ def _found(patterns: tuple[Pattern, ...], sql: Column, upper_sql: Column) -> Col
     return F.concat(*arrays) if arrays else empty_strings()
 
 
-def comma_join_clauses(sql: Column) -> Column:
-    """FROM clauses that start outside single quotes, as they stand.
+def _marked_clauses(sql: Column) -> Column:
+    """The FROM clauses that start outside single quotes, each after a mark; nothing else is left.
 
-    Each clause is bracketed by two marks. Cutting the text at its quotes then
+    Each clause is first bracketed by two marks. Cutting the text at its quotes
     puts the quoted parts at odd positions, where the opening marks are taken
-    out again; what follows a remaining mark is a clause to keep. Every step
-    reads the text once, however many clauses it has.
+    out again; then all text outside the brackets is dropped. Every step reads
+    the text once, however many clauses it has.
     """
     marked = F.regexp_replace(sql, R.FROM_CLAUSE, f"{MARK}$1{_CLAUSE_END}")
     parts = F.transform(
         F.split(marked, "'", -1),
         lambda part, i: F.when(i % 2 == 1, F.replace(part, F.lit(MARK), F.lit(""))).otherwise(part),
     )
-    pieces = F.split(F.array_join(parts, "'"), MARK, -1)
-    return F.transform(F.slice(pieces, 2, F.size(pieces)), lambda piece: F.substring_index(piece, _CLAUSE_END, 1))
+    unquoted = F.when(F.contains(sql, F.lit("'")), F.array_join(parts, "'")).otherwise(marked)
+    return F.regexp_replace(unquoted, f"(?:\\A|{_CLAUSE_END})[^{MARK}]*+", "")
+
+
+def comma_join_clauses(sql: Column) -> Column:
+    """FROM clauses that start outside single quotes, as they stand."""
+    pieces = F.split(_marked_clauses(sql), MARK, -1)
+    return F.slice(pieces, 2, F.size(pieces))
 
 
 def comma_join_tables(sql: Column) -> Column:
     """First name of each part of the comma-separated FROM clauses.
 
     Clauses that hold the letters SELECT or WITH are left out; a clause ends at
-    its first JOIN.
+    its first JOIN, unless it starts with it.
     """
-    clauses = F.filter(
-        F.transform(comma_join_clauses(sql), trim_blanks),
-        lambda c: (c != "") & ~F.contains(F.upper(c), F.lit("SELECT")) & ~F.contains(F.upper(c), F.lit("WITH")),
-    )
-    before_join = F.transform(
-        clauses,
-        lambda c: F.when(
-            F.instr(F.upper(c), "JOIN") > 1, F.substring(c, F.lit(1), F.instr(F.upper(c), "JOIN") - 1)
-        ).otherwise(c),
-    )
-    parts = F.flatten(F.transform(before_join, lambda c: F.split(c, ",", -1)))
-    firsts = F.transform(parts, lambda p: F.regexp_extract(trim_blanks(p), R.FIRST_NAME, 1))
-    return F.filter(F.transform(firsts, clean_name), is_valid_name)
+    clauses = _marked_clauses(sql)
+    flat = F.regexp_replace(clauses, f"(?i){MARK}[^{MARK}]*?(?:SELECT|WITH)[^{MARK}]*+", "")
+    cut = F.regexp_replace(flat, f"(?i)({MARK}(?![\\x00-\\x20]*JOIN)[^{MARK}]*?)JOIN[^{MARK}]*+", "$1")
+    firsts = F.regexp_extract_all(cut, F.lit(f"[{MARK},][\\x00-\\x20]*{R.NAME_IN_LIST}"), F.lit(1))
+    return F.filter(F.array_distinct(firsts), is_valid_name)
 
 
 def _admitted(items: Column, chosen: RuleSet) -> Column:
-    cleaned = F.transform(items, chosen.clean)
+    """Cleaned and admitted names; equal names are settled once."""
+    distinct = F.array_distinct(items)
+    cleaned = F.transform(distinct, chosen.clean) if chosen.clean else distinct
     return F.filter(cleaned, chosen.admit) if chosen.admit else cleaned
 
 
@@ -78,8 +78,8 @@ def cte_names(sql: Column, upper_sql: Column, rules: RuleSet | str = "std") -> C
     chosen = rule_set(rules)
     if chosen.cte_scan_chars is not None:
         sql, upper_sql = F.substring(sql, 1, chosen.cte_scan_chars), F.substring(upper_sql, 1, chosen.cte_scan_chars)
-    found = F.transform(_found(chosen.ctes, sql, upper_sql), chosen.clean)
-    return F.array_distinct(F.filter(found, lambda n: n != ""))
+    found = F.array_distinct(_found(chosen.ctes, sql, upper_sql))
+    return F.array_distinct(F.transform(found, chosen.clean)) if chosen.clean else found
 
 
 def target_tables(sql: Column, upper_sql: Column, rules: RuleSet | str = "std") -> Column:
@@ -149,7 +149,7 @@ def sorted_tables(extracted: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "EMPTY", "comma_join_clauses", "comma_join_tables", "cte_names", "delete_without_from", "extract_stats",
+    "comma_join_clauses", "comma_join_tables", "cte_names", "delete_without_from", "extract_stats",
     "extract_tables", "long_form", "sorted_tables", "source_tables", "target_tables", "with_from_tables",
     "without_comments",
 ]

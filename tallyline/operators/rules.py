@@ -37,8 +37,15 @@ class Pattern:
         return F.when(F.contains(upper_sql, F.lit(self.word)), hits).otherwise(F.array().cast("array<string>"))
 
 
-def _after(keyword: str, name: str, word: str, flags: str = "(?is)") -> Pattern:
-    return Pattern(rf"{flags}\b{keyword}\s+{name}", word)
+def _after(keyword: str, name: str, flags: str = "(?is)") -> Pattern:
+    """A name after a keyword, which may go on after its first word.
+
+    The word boundary is looked for behind the word, not before it: most
+    places then fail on their first letter.
+    """
+    word, _, rest = keyword.partition(" ")
+    follows = rf"\s+{rest}" if rest else ""
+    return Pattern(rf"{flags}{word}(?<=\b{word}){follows}\s+{name}", word.upper())
 
 
 @dataclass(frozen=True)
@@ -46,14 +53,15 @@ class RuleSet:
     """How one family of jobs reads a script.
 
     ``targets`` and ``sources`` are applied in order. ``ctes`` name tables that
-    are no sources. ``clean`` and ``admit`` work on one name.
+    are no sources. ``clean`` and ``admit`` work on one name; there is nothing
+    to clean where the name grammar admits neither blanks nor separators.
     """
 
     name: str
     comments: str
     targets: tuple[Pattern, ...]
     sources: tuple[Pattern, ...]
-    clean: Callable[[Column], Column]
+    clean: Callable[[Column], Column] | None = None
     ctes: tuple[Pattern, ...] = ()
     admit: Callable[[Column], Column] | None = None
     admit_source: Callable[[Column], Column] | None = None
@@ -68,18 +76,17 @@ STD = RuleSet(
     name="std",
     comments="std",
     targets=(
-        _after(r"MERGE\s+INTO", NAME_STD, "MERGE"),
-        _after(r"INSERT\s+INTO", NAME_STD, "INSERT"),
-        _after(r"DELETE\s+FROM", NAME_STD, "DELETE"),
-        _after("UPDATE", NAME_STD, "UPDATE"),
+        _after("MERGE INTO", NAME_STD),
+        _after("INSERT INTO", NAME_STD),
+        _after("DELETE FROM", NAME_STD),
+        _after("UPDATE", NAME_STD),
         Pattern(rf"(?is)\bDELETE\s+{NAME_STD}\s+(?:WHERE|$)", "DELETE"),
     ),
     sources=(
-        _after("FROM", NAME_STD, "FROM"),
-        _after("JOIN", NAME_STD, "JOIN"),
-        _after("USING", NAME_STD, "USING"),
+        _after("FROM", NAME_STD),
+        _after("JOIN", NAME_STD),
+        _after("USING", NAME_STD),
     ),
-    clean=names.clean_name,
     ctes=(
         Pattern(rf"(?is)\bWITH\s+{NAME_STD}\s+AS\s*\(", "WITH"),
         Pattern(rf"(?is),\s*{NAME_STD}\s+AS\s*\(", ","),
@@ -92,27 +99,25 @@ SCAN = RuleSet(
     name="scan",
     comments="scan",
     targets=(
-        _after(r"INSERT\s+INTO", NAME_SCAN, "INSERT"),
-        _after("UPDATE", NAME_SCAN, "UPDATE"),
-        _after(r"MERGE\s+INTO", NAME_SCAN, "MERGE"),
-        _after(r"DELETE\s+FROM", NAME_SCAN, "DELETE"),
+        _after("INSERT INTO", NAME_SCAN),
+        _after("UPDATE", NAME_SCAN),
+        _after("MERGE INTO", NAME_SCAN),
+        _after("DELETE FROM", NAME_SCAN),
     ),
-    sources=(_after("FROM", NAME_SCAN, "FROM"), _after("JOIN", NAME_SCAN, "JOIN")),
-    clean=names.clean_name,
+    sources=(_after("FROM", NAME_SCAN), _after("JOIN", NAME_SCAN)),
 )
 
 SIMPLE = RuleSet(
     name="simple",
     comments="simple",
     targets=(
-        _after(r"INSERT\s+INTO", NAME_SIMPLE, "INSERT"),
-        _after("UPDATE", NAME_SIMPLE, "UPDATE"),
-        _after(r"MERGE\s+INTO", NAME_SIMPLE, "MERGE"),
-        _after(r"DELETE\s+FROM", NAME_SIMPLE, "DELETE"),
+        _after("INSERT INTO", NAME_SIMPLE),
+        _after("UPDATE", NAME_SIMPLE),
+        _after("MERGE INTO", NAME_SIMPLE),
+        _after("DELETE FROM", NAME_SIMPLE),
     ),
-    sources=(_after("FROM", NAME_SIMPLE, "FROM"), _after("JOIN", NAME_SIMPLE, "JOIN")),
-    clean=names.clean_name_simple,
-    admit=lambda name: name != "",
+    sources=(_after("FROM", NAME_SIMPLE), _after("JOIN", NAME_SIMPLE)),
+    clean=lambda name: F.substring_index(name, " ", 1),
 )
 
 LINECOUNT = RuleSet(
@@ -120,13 +125,13 @@ LINECOUNT = RuleSet(
     comments="linecount",
     targets=(
         Pattern(rf"(?i)\binsert\s+(?:into\s+)?{NAME_LINECOUNT}", "INSERT"),
-        _after("update", NAME_LINECOUNT, "UPDATE", "(?i)"),
-        _after(r"delete\s+from", NAME_LINECOUNT, "DELETE", "(?i)"),
-        _after(r"merge\s+into", NAME_LINECOUNT, "MERGE", "(?i)"),
+        _after("update", NAME_LINECOUNT, "(?i)"),
+        _after("delete from", NAME_LINECOUNT, "(?i)"),
+        _after("merge into", NAME_LINECOUNT, "(?i)"),
     ),
     sources=(
         Pattern(rf"(?i)\b(?:from|join)\s+{NAME_LINECOUNT}", ""),
-        _after("using", NAME_LINECOUNT, "USING", "(?i)"),
+        _after("using", NAME_LINECOUNT, "(?i)"),
     ),
     clean=names.upper_name,
     ctes=(Pattern(r'(?i)\bwith\s+([\w"]+)\s+as\s*\(', "WITH"),),
@@ -141,20 +146,15 @@ RULE_SETS = {rules.name: rules for rules in (STD, SCAN, SIMPLE, LINECOUNT)}
 STATS_TABLE = r"(?i)(FROM|JOIN)\s+`?([\w.-]+)`?"
 STATS_SELECT_STAR = r"(?i)SELECT\s+\*"
 
-# The first source after a WITH, and the range of a FROM clause.
+# The first source after a WITH, the range of a FROM clause, and a name in
+# a comma-separated list, where a comma inside backticks separates too.
 WITH_FROM = Pattern(rf"(?is)\bWITH\s+.*?\bFROM\s+{NAME_STD}", "WITH")
 FROM_CLAUSE = (
-    r"(?is)\bFROM\s+(.*?)(?=\s+WHERE"
-    r"|\s+GROUP\b"
-    r"|\s+ORDER\b"
-    r"|\s+HAVING\b"
-    r"|\s+UNION\b"
-    r"|\s+LIMIT\b"
-    r"|\s+SELECT\b"
-    r"|\)"
-    r"|;|$)"
+    r"(?is)FROM(?<=\bFROM)\s+([^\s);]*+.*?)"
+    r"(?=\s+(?:WHERE|(?:GROUP|ORDER|HAVING|UNION|LIMIT|SELECT)\b)|[);]|$)"
 )
-FIRST_NAME = rf"^\s*{NAME_STD}"
+_LIST_PART = r"(?:[A-Za-z0-9_$\p{L}-]+|`[^`,]+`)"
+NAME_IN_LIST = rf"(`[^`,]+`|{_LIST_PART}(?:\.{_LIST_PART})*)"
 
 
 def rule_set(rules: RuleSet | str) -> RuleSet:

@@ -637,4 +637,51 @@ ORACLES = {
           SELECT path, regexp_extract_all(raw, '(?:[^;'']|''[^'']*'')+', 0) AS l FROM ({I.SCRIPTS_SQL})))) WHERE statement <> ''""",
 }
 
+
+def _li(rows: str, name: str, attributes: str = "") -> str:
+    return f"""l_{name} AS (SELECT path, block_ord, string_agg(concat('<li{attributes}>', v, '</li>', chr(10)), '' ORDER BY ord) AS items,
+      count(*) AS n FROM {rows} GROUP BY 1, 2)"""
+
+
+def _dups(rows: str, name: str) -> str:
+    return f"""d_{name} AS (SELECT path, string_agg(concat(v, '(', n, ')'), ', ' ORDER BY n DESC, block_ord, ord) AS items FROM
+      (SELECT path, v, count(*) AS n, min(block_ord) AS block_ord, arg_min(ord, block_ord) AS ord FROM {rows} GROUP BY path, v HAVING count(*) > 1)
+      GROUP BY path)"""
+
+
+_ARROWS = _LISTS["alias"].replace("' -> '", "' → '")
+_HTML_PARTS = {"table": _LISTS["table"], "column": _LISTS["column"], "condition": _LISTS["condition"], "alias": _ARROWS}
+_HTML = f"""{_WITH_BLOCKS}, {", ".join(_li(rows, name) for name, rows in _HTML_PARTS.items())},
+  {_li(_LISTS['error'], 'error', " style=''color:red;''")}, {_dups(_LISTS['table'], 'table')}, {_dups(_LISTS['column'], 'column')},
+  sections AS (SELECT b.path, b.block_ord, concat('<hr><h3>', b.step, '</h3>', chr(10),
+    '<b>테이블:</b><ul>', chr(10), coalesce(l_table.items, ''), '</ul><b>컬럼:</b><ul>', chr(10), coalesce(l_column.items, ''),
+    '</ul><b>조건:</b><ul>', chr(10), coalesce(l_condition.items, ''), '</ul><b>테이블 변경 추적:</b><ul>', chr(10), coalesce(l_alias.items, ''),
+    '</ul><b>오류:</b><ul>', chr(10), coalesce(l_error.items, ''), '</ul>', chr(10)) AS text,
+    coalesce(l_table.n, 0) AS t, coalesce(l_column.n, 0) AS c, coalesce(l_condition.n, 0) AS w, coalesce(l_error.n, 0) AS e
+    FROM blocks b {" ".join(f"LEFT JOIN l_{n} USING (path, block_ord)" for n in (*_HTML_PARTS, "error"))}),
+  pages AS (SELECT path, count(*) AS blocks, sum(t) AS t, sum(c) AS c, sum(w) AS w, sum(e) AS e, string_agg(text, '' ORDER BY block_ord) AS body
+    FROM sections GROUP BY path)
+  SELECT p.path, concat('<html><head><meta charset=''UTF-8''><title>분석 결과</title></head><body>', chr(10),
+    '<h1>BigQuery 분석 리포트</h1>', chr(10), '<h2>요약</h2><ul>', chr(10), '<li>STEP 수: ', blocks, '</li>', chr(10),
+    '<li>총 테이블 수: ', t, '</li>', chr(10), '<li>총 컬럼 수: ', c, '</li>', chr(10), '<li>총 조건절 수: ', w, '</li>', chr(10),
+    '<li>발견된 오류 수: ', e, '</li>', chr(10), '<li>중복 테이블: ', coalesce(d_table.items, ''), '</li>', chr(10),
+    '<li>중복 컬럼: ', coalesce(d_column.items, ''), '</li>', chr(10), '</ul>', chr(10), body, '</body></html>', chr(10)) AS content
+  FROM pages p LEFT JOIN d_table USING (path) LEFT JOIN d_column USING (path)"""
+ORACLES["block_html_report"] = _HTML
+
+
+def _as_ints(key: str, *columns: str) -> None:
+    """Positions and counters are 32-bit in Spark; give the checking side the same type."""
+    casts = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in columns)
+    ORACLES[key] = f"SELECT * REPLACE ({casts}) FROM ({ORACLES[key]})"
+
+
+for _key, _columns in {
+    "step_split": ("step_ord",), "step_count": ("steps",), "step_table_counts": ("step_ord", "n_sources", "n_targets"),
+    "block_split_flat": ("block_ord",), "block_tables_flat": ("block_ord",), "block_errors": ("begin_count", "end_count"),
+    "block_ragged_report": ("line",), "check_sql_bq": ("statement_ord",), "check_sql_oracle": ("statement_ord",),
+    "statement_split": ("statement_ord",), "file_line_stats": ("lines", "insert_lines", "step_lines"),
+}.items():
+    _as_ints(_key, *_columns)
+
 __all__ = ["ORACLES", "QUERIES"]
