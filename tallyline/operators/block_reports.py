@@ -71,7 +71,10 @@ def _text(*parts: Column | str) -> Column:
 
 
 def html_report(facts: DataFrame, version: int = 4) -> DataFrame:
-    """(path, content): one page per script with totals and the lists of every block."""
+    """(path, content): one page per script with totals and the lists of every block.
+
+    From version 4 on the facts are read three times, so hand in a stored frame.
+    """
     section = _text(
         "<hr><h3>", F.col("step"), "</h3>\n<b>테이블:</b><ul>\n", _list_items(F.col("tables")),
         "</ul><b>컬럼:</b><ul>\n", _list_items(F.col("columns")),

@@ -133,13 +133,18 @@ def extract_stats(scripts: DataFrame, text: str = "raw") -> DataFrame:
     )
 
 
-def long_form(extracted: DataFrame, *ids: str) -> DataFrame:
-    """One row per id, role (``source`` or ``target``) and table."""
+def role_entries() -> Column:
+    """(role, table) of every table of a script, as an array."""
 
     def tagged(role: str) -> Column:
         return F.transform(f"{role}s", lambda t: F.struct(F.lit(role).alias("role"), t.alias("table")))
 
-    both = extracted.select(*ids, F.concat(tagged("source"), tagged("target")).alias("_tables"))
+    return F.concat(tagged("source"), tagged("target"))
+
+
+def long_form(extracted: DataFrame, *ids: str) -> DataFrame:
+    """One row per id, role (``source`` or ``target``) and table."""
+    both = extracted.select(*ids, role_entries().alias("_tables"))
     return explode_items(both, "_tables", "_entry").select(*ids, "_entry.*")
 
 
@@ -150,6 +155,6 @@ def sorted_tables(extracted: DataFrame) -> DataFrame:
 
 __all__ = [
     "comma_join_clauses", "comma_join_tables", "cte_names", "delete_without_from", "extract_stats",
-    "extract_tables", "long_form", "sorted_tables", "source_tables", "target_tables", "with_from_tables",
+    "extract_tables", "long_form", "role_entries", "sorted_tables", "source_tables", "target_tables", "with_from_tables",
     "without_comments",
 ]

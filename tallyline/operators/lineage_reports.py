@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.functions.arrays import explode_items, keep_last_values, sorted_set
-from tallyline.operators.lineage import extract_tables, long_form
-from tallyline.operators.rules import RuleSet
-from tallyline.operators.steps import step_bodies
+from tallyline.functions.arrays import explode_items, sorted_set
+from tallyline.functions.text import csv_field
+from tallyline.operators.joins import lookup
+from tallyline.operators.lineage import role_entries
 
 LIST_SEPARATOR = "; "
 BANNER = "=" * 60
@@ -30,22 +30,30 @@ def file_summary(extracted: DataFrame, key: str = "name", extra: tuple[str, ...]
     )
 
 
+def _united(rows: DataFrame, keys: list[str], *lists: str) -> DataFrame:
+    """The union of each list column per key, in two stages.
+
+    Equal rows fall together before the first shuffle, its groups are salted by
+    their lists, and only the salted unions meet in the second stage, so a key
+    held by a large share of the rows is worked on by many tasks.
+    """
+    salted = rows.select(*keys, *lists, F.pmod(F.xxhash64(*lists), F.lit(_MERGE_SALTS)).alias("_salt"))
+    partial = salted.groupBy(*keys, "_salt").agg(
+        *[F.array_distinct(F.flatten(F.collect_set(c))).alias(c) for c in lists]
+    )
+    return partial.groupBy(*keys).agg(*[sorted_set(F.flatten(F.collect_list(c))).alias(c) for c in lists])
+
+
 def _map(extracted: DataFrame, one: str, other: str, key: str) -> DataFrame:
     """(program, table, others): each table of ``one`` with the ``other`` tables of its program.
 
     Only one side is exploded, so no table pairs are formed. Scripts keyed by
-    path need no merging and no shuffle. Scripts sharing a name are merged in
-    two stages: equal lists fall together before the shuffle, the groups are
-    salted by list, and only the salted unions meet in the second stage.
+    path need no merging and no shuffle; scripts sharing a name are united.
     """
     rows = explode_items(extracted.select(F.col(key).alias("program"), one, other), one, "table")
     if key == "path":
         return rows.select("program", "table", sorted_set(F.col(other)).alias("others"))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(other), F.lit(_MERGE_SALTS)))
-    partial = salted.groupBy("program", "table", "_salt").agg(
-        F.array_distinct(F.flatten(F.collect_set(other))).alias("_some")
-    )
-    return partial.groupBy("program", "table").agg(sorted_set(F.flatten(F.collect_list("_some"))).alias("others"))
+    return _united(rows, ["program", "table"], other).withColumnRenamed(other, "others")
 
 
 def source_map(extracted: DataFrame, key: str = "name") -> DataFrame:
@@ -70,14 +78,20 @@ def distinct_sources(extracted: DataFrame) -> DataFrame:
 
 
 def lineage_counts(extracted: DataFrame) -> DataFrame:
-    """Number of scripts, of distinct source tables and of distinct target tables."""
-    tables = long_form(extracted).distinct()
-    per_role = tables.agg(
-        F.count_if(F.col("role") == "source").alias("source_tables"),
-        F.count_if(F.col("role") == "target").alias("target_tables"),
+    """Number of scripts, of distinct source tables and of distinct target tables.
+
+    Each script adds one entry for itself beside its tables, so one pass and one
+    shuffle of already combined entries give all three numbers.
+    """
+    itself = F.array(F.struct(F.lit("file").alias("role"), F.lit("").alias("table")))
+    entries = extracted.select(F.concat(itself, role_entries()).alias("_entries"))
+    counted = explode_items(entries, "_entries", "_entry").groupBy("_entry").agg(F.count(F.lit(1)).alias("n"))
+    role = F.col("_entry.role")
+    return counted.agg(
+        F.coalesce(F.sum(F.when(role == "file", F.col("n"))), F.lit(0)).alias("files"),
+        F.count_if(role == "source").alias("source_tables"),
+        F.count_if(role == "target").alias("target_tables"),
     )
-    files = extracted.agg(F.count(F.lit(1)).alias("files"))
-    return files.join(F.broadcast(per_role))
 
 
 def _listed(items: Column, none: str | None = None) -> Column:
@@ -138,26 +152,12 @@ def step_text(step_name: Column, sources: Column, targets: Column, style: str =
     )
 
 
-def _steps_or_none(scripts: DataFrame, rules: RuleSet | str) -> DataFrame:
-    """Tables per step, and one row without a step for each script that has none."""
-    keep = [c for c in scripts.columns if c != "raw"]
-    pairs = keep_last_values(scripts.select(*keep, step_bodies(F.col("raw")).alias("_steps")), "_steps")
-    rows = pairs.select(*keep, F.posexplode_outer("_steps").alias("_pos", "_step")).select(
-        *keep,
-        F.col("_pos").alias("step_ord"),
-        F.col("_step.name").alias("step"),
-        F.coalesce(F.col("_step.value"), F.lit("")).alias("body"),
-    )
-    return extract_tables(rows, rules, "body")
-
-
 def _in_order(entries: Column, separator: str) -> Column:
     return F.array_join(F.transform(F.array_sort(entries), lambda e: e["text"]), separator)
 
 
-def step_files(scripts: DataFrame, rules: RuleSet | str = "std", style: str = "file") -> DataFrame:
-    """(path, content): the step texts of each script, one after another."""
-    rows = _steps_or_none(scripts, rules)
+def step_files(rows: DataFrame, style: str = "file") -> DataFrame:
+    """(path, content): the step texts of each script, one after another; ``rows`` come from ``step_rows``."""
     entry = F.when(
         F.col("step").isNotNull(),
         F.struct("step_ord", step_text(F.col("step"), F.col("sources"), F.col("targets"), style).alias("text")),
@@ -167,14 +167,14 @@ def step_files(scripts: DataFrame, rules: RuleSet | str = "std", style: str = "f
     )
 
 
-def step_summary(scripts: DataFrame, rules: RuleSet | str = "std", key: str = "name") -> DataFrame:
-    """One row per script: united tables, step texts and the number of steps.
+def step_summary(rows: DataFrame, key: str = "name") -> DataFrame:
+    """One row per script: united tables, step texts and the number of steps; ``rows`` come from ``step_rows``.
 
     With ``key="name"`` scripts of the same name share a row, their steps in
-    path order. Steps are first gathered per path, so a group of the second
-    stage holds one row per script.
+    path order. Such a row holds the steps of all of them; where a name may be
+    that of very many scripts, :func:`step_report_lines` gives the same report
+    without ever building the row.
     """
-    rows = _steps_or_none(scripts, rules)
     entry = F.when(
         F.col("step").isNotNull(),
         F.struct("step_ord", step_text(F.col("step"), F.col("sources"), F.col("targets"), "detail").alias("text")),
@@ -200,3 +200,41 @@ def step_summary(scripts: DataFrame, rules: RuleSet | str = "std", key: str = "n
         "steps",
         "total_steps",
     )
+
+
+def step_report_lines(step_rows: DataFrame, key: str = "name") -> DataFrame:
+    """The CSV records of :func:`step_summary`, cut into pieces that keep one step each.
+
+    Columns ``file_name``, ``path``, ``step_ord``, ``value``: written as text
+    lines in the order of the first three, the pieces are the records. No group
+    is gathered: per file name only its united tables, its number of steps and
+    its first and last step are aggregated and looked up again. The rows are
+    read three times, so hand in a stored frame.
+    """
+    rows = step_rows.withColumn("file_name", F.col(key)).withColumn("_at", F.struct("path", "step_ord"))
+    is_step = F.col("step").isNotNull()
+    spans = rows.groupBy("file_name").agg(
+        F.min(F.when(is_step, F.col("_at"))).alias("_first"),
+        F.max(F.when(is_step, F.col("_at"))).alias("_last"),
+        F.min("_at").alias("_only"),
+        F.count("step").alias("_total"),
+    )
+    lists = _united(rows, ["file_name"], "sources", "targets")
+    frames = spans.join(lists, "file_name").withColumnsRenamed({"sources": "_all_sources", "targets": "_all_targets"})
+    met = lookup(rows, frames, "file_name")
+
+    total = F.col("_total").cast("string")
+    opening = F.concat(
+        csv_field(F.col("file_name")), F.lit(","), csv_field(F.array_join("_all_sources", LIST_SEPARATOR)), F.lit(","),
+        csv_field(F.array_join("_all_targets", LIST_SEPARATOR)), F.lit(","),
+    )
+    # A step text ends with a line break, which the text sink writes after each piece.
+    text = F.replace(step_text(F.col("step"), F.col("sources"), F.col("targets"), "detail"), F.lit('"'), F.lit('""'))
+    body = F.concat(
+        F.when(F.col("_at") == F.col("_first"), F.concat(opening, F.lit('"'))).otherwise(F.lit("")),
+        F.regexp_replace(text, r"\n\z", ""),
+        F.when(F.col("_at") == F.col("_last"), F.concat(F.lit('\n",'), total)).otherwise(F.lit("\n\n")),
+    )
+    no_steps = F.when(F.col("_first").isNull() & (F.col("_at") == F.col("_only")), F.concat(opening, F.lit(",0")))
+    pieces = met.select("file_name", "path", "step_ord", F.when(is_step, body).otherwise(no_steps).alias("value"))
+    return pieces.where(F.col("value").isNotNull())

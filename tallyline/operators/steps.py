@@ -53,6 +53,19 @@ def step_tables(scripts: DataFrame, rules: RuleSet | str = "std", text: str = "r
     return extract_tables(split_steps(scripts, text), rules, "body")
 
 
+def step_rows(scripts: DataFrame, rules: RuleSet | str = "std", text: str = "raw") -> DataFrame:
+    """Like :func:`step_tables`, with one row without a step for each script that has none.
+
+    ``step_ord`` counts from 0 and is null for that row.
+    """
+    keep = [c for c in scripts.columns if c != text]
+    pairs = keep_last_values(scripts.select(*keep, step_bodies(F.col(text)).alias("_steps")), "_steps")
+    rows = pairs.select(*keep, F.posexplode_outer("_steps").alias("step_ord", "_step")).select(
+        *keep, "step_ord", F.col("_step.name").alias("step"), F.coalesce(F.col("_step.value"), F.lit("")).alias("body")
+    )
+    return extract_tables(rows, rules, "body")
+
+
 def tables_of_step(scripts: DataFrame, step: str, rules: RuleSet | str = "std", text: str = "raw") -> DataFrame:
     """Sources and targets of the step with this name; other steps are dropped before they are read."""
     return extract_tables(split_steps(scripts, text).where(F.col("step") == step), rules, "body")

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tallyline.functions.text import base_output_name, csv_field, output_name
 from tallyline.operators import block_reports, blocks, check_sql, lineage_reports, line_stats
 from tallyline.operators.lineage import extract_tables
+from tallyline.operators.steps import step_rows
 from tallyline.session import materialize
-from tallyline.sinks.csv_files import write_report
+from tallyline.sinks.csv_files import headed_lines, write_report
 from tallyline.sinks.file_tree import write_files
 from tallyline.sources.pk_list import read_pk_list
 from tallyline.sources.scripts import ANY, LINECOUNT_MAX_BYTES, SQL_ANY_CASE, read_scripts
@@ -44,11 +45,12 @@ def lineage_job(spark: SparkSession, source: str, target: str, *, charset: str =
 
 def step_job(spark: SparkSession, source: str, target: str, *, charset: str = "UTF-8", key: str = "name") -> None:
     """Tables of every step: a text per script and a summary."""
-    scripts = read_scripts(spark, source, charset=charset)
-    files = lineage_reports.step_files(scripts)
+    rows = materialize(step_rows(read_scripts(spark, source, charset=charset)), "steps")
+    files = lineage_reports.step_files(rows)
     write_files(files, target, output_name(F.col("path"), "_step_tables.txt"), F.col("content"))
-    summary = lineage_reports.step_summary(scripts, key=key)
-    _report(summary, f"{target}/step_summary.csv", STEP_HEADERS, [F.col("file_name")])
+    pieces = lineage_reports.step_report_lines(rows, key)
+    order = [F.col("file_name"), F.col("path"), F.col("step_ord")]
+    headed_lines(pieces, F.col("value"), STEP_HEADERS, order, bom=True).write.text(f"{target}/step_summary.csv")
 
 
 def check_job(

@@ -12,7 +12,7 @@ from tallyline.operators.compare import compare
 from tallyline.operators.pivot import FIRST_SEEN, job_report_fields, pivot_jobs
 from tallyline.operators.statements import run_script
 from tallyline.session import materialize
-from tallyline.sinks.csv_files import CRLF, write_report
+from tallyline.sinks.csv_files import CRLF, write_csv, write_report
 from tallyline.sources.csv_files import ROW_ORDER, read_csv, read_eav
 from tallyline.sources.jdbc import ScriptRunSettings
 from tallyline.sources.scripts import ANY, read_scripts
@@ -40,21 +40,26 @@ def reconcile_files(
     *,
     out: str | None = None,
     multi_line: bool = True,
+    ordered: bool = True,
 ) -> str:
     """Compare two CSV tables and write the result; returns where it was written.
 
     The output is a folder whose parts, joined in name order, are the one CRLF
-    file: rows of file 1 in their order, then the keys only file 2 has.
+    file: rows of file 1 in their order, then the keys only file 2 has. Without
+    ``ordered`` the rows are written as the join leaves them, each part with a
+    header, which saves the sort. For large files without line breaks inside
+    quotes switch ``multi_line`` off so that they are read in parallel.
     """
-    df1 = read_csv(spark, file1, multi_line=multi_line, row_order=True)
-    df2 = read_csv(spark, file2, multi_line=multi_line, row_order=True)
+    df1 = read_csv(spark, file1, multi_line=multi_line, row_order=ordered)
+    df2 = read_csv(spark, file2, multi_line=multi_line, row_order=ordered)
     result = compare(df1, df2, parse_keys(keys))
     target = out or result_path(file1)
-    # Written first: the range sort of the report would otherwise run the join twice.
-    stored = materialize(result, "compare")
-    shown = [c for c in stored.columns if c != ROW_ORDER]
+    if not ordered:
+        write_csv(result, target)
+        return target
+    shown = [c for c in result.columns if c != ROW_ORDER]
     fields = [csv_field(F.col(f"`{c}`")) for c in shown]
-    write_report(stored, target, headers=shown, fields=fields, order_by=[F.col(ROW_ORDER)], line_sep=CRLF)
+    write_report(result, target, headers=shown, fields=fields, order_by=[F.col(ROW_ORDER)], line_sep=CRLF)
     return target
 
 

@@ -15,6 +15,7 @@ from tallyline.operators.line_stats import file_line_stats
 from tallyline.operators.statements import split_statements
 from tallyline.registry import inputs as I
 from tallyline.registry.table_queries import _pk
+from tallyline.session import materialize
 
 JOINED = LR.joined
 
@@ -145,15 +146,19 @@ def step_table_counts(spark, sf):
 
 
 def lineage_step_summary(spark, sf):
-    return LR.step_summary(_scripts(spark, sf))
+    return LR.step_summary(S.step_rows(_scripts(spark, sf)))
 
 
 def lineage_step_summary_by_path(spark, sf):
-    return LR.step_summary(_scripts(spark, sf), key="path")
+    return LR.step_summary(S.step_rows(_scripts(spark, sf)), key="path")
+
+
+def step_report_lines(spark, sf):
+    return LR.step_report_lines(materialize(S.step_rows(_scripts(spark, sf)), "steps"))
 
 
 def step_text_report(spark, sf):
-    return LR.step_files(_scripts(spark, sf))
+    return LR.step_files(S.step_rows(_scripts(spark, sf)))
 
 
 # --- blocks ------------------------------------------------------------------------
@@ -234,7 +239,7 @@ def block_duplicates_by_script(spark, sf):
 
 
 def block_html_report(spark, sf):
-    return BR.html_report(_facts(spark, sf))
+    return BR.html_report(materialize(_facts(spark, sf), "facts"))
 
 
 # --- line statistics, check texts, statements --------------------------------------
@@ -275,7 +280,7 @@ QUERIES = {
         lineage_cte_names, lineage_tables, lineage_long, lineage_scan, lineage_simple, lineage_linecount,
         lineage_file_summary, lineage_source_map, lineage_target_map, lineage_source_map_by_path, lineage_counts,
         distinct_sources, lineage_file_text, lineage_numbered_text, step_split, step_count, step_tables, step_lookup,
-        step_table_counts, lineage_step_summary, lineage_step_summary_by_path, step_text_report, block_split_flat,
+        step_table_counts, lineage_step_summary, lineage_step_summary_by_path, step_report_lines, step_text_report, block_split_flat,
         block_split_nested, block_tables, block_tables_flat, block_columns, block_columns_first, block_conditions,
         block_aliases, block_aliases_as, block_errors, block_ragged_report, block_totals, block_duplicates,
         block_duplicates_by_script, block_html_report, check_sql_bq, check_sql_oracle, check_sql_file,
@@ -670,6 +675,17 @@ _HTML = f"""{_WITH_BLOCKS}, {", ".join(_li(rows, name) for name, rows in _HTML_P
 ORACLES["block_html_report"] = _HTML
 
 
+ORACLES["step_report_lines"] = f"""{_WITH_STEPS}, st AS ({_STEP_TABLES}),
+  s_all AS (SELECT name, string_agg(DISTINCT t, '; ' ORDER BY t) AS tables FROM src GROUP BY name),
+  t_all AS (SELECT name, string_agg(DISTINCT t, '; ' ORDER BY t) AS tables FROM tgt GROUP BY name),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY path, step_ord) AS place, count(*) OVER (PARTITION BY name) AS total FROM st)
+  SELECT p.name AS file_name, path, CAST(step_ord - 1 AS INTEGER) AS step_ord,
+    concat(CASE WHEN place = 1 THEN concat(p.name, ',', coalesce(s_all.tables, ''), ',', coalesce(t_all.tables, ''), ',"') ELSE '' END,
+           regexp_replace({_DETAIL}, '\\n$', ''),
+           CASE WHEN place = total THEN concat(chr(10), '",', total) ELSE concat(chr(10), chr(10)) END) AS value
+  FROM placed p LEFT JOIN s_all USING (name) LEFT JOIN t_all USING (name)"""
+
+
 def _as_ints(key: str, *columns: str) -> None:
     """Positions and counters are 32-bit in Spark; give the checking side the same type."""
     casts = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in columns)

@@ -42,22 +42,20 @@ def report_lines(
     """
     names = headers or df.columns
     shown = [csv_field(F.col(f"`{c}`")) for c in df.columns] if fields is None else fields
-    keys = order_by or []
-    body = df.select(
-        F.lit(1).alias("_part"),
-        *[k.alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.concat_ws(",", *shown).alias("value"),
-    )
-    title = df.sparkSession.range(1).select(
-        csv_line(*[F.lit(n) for n in names]).alias("line")
-    ).select(F.concat(F.lit(BOM if bom else ""), F.col("line")).alias("line"))
-    head = title.select(
+    return headed_lines(df, F.concat_ws(",", *shown), names, order_by or [], bom=bom)
+
+
+def headed_lines(df: DataFrame, line: Column, headers: list[str], order_by: list[Column], *, bom: bool = False) -> DataFrame:
+    """Ordered text lines below a header line, which is an ordinary row that sorts first."""
+    keys = [f"_k{i}" for i in range(len(order_by))]
+    body = df.select(F.lit(1).alias("_part"), *[k.alias(n) for k, n in zip(order_by, keys)], line.alias("value"))
+    title = F.concat(F.lit(BOM if bom else ""), csv_line(*[F.lit(n) for n in headers]))
+    head = df.sparkSession.range(1).select(
         F.lit(0).alias("_part"),
-        *[F.lit(None).cast(body.schema[f"_k{i}"].dataType).alias(f"_k{i}") for i in range(len(keys))],
-        F.col("line").alias("value"),
+        *[F.lit(None).cast(body.schema[n].dataType).alias(n) for n in keys],
+        title.alias("value"),
     )
-    ordered = ["_part", *[f"_k{i}" for i in range(len(keys))]]
-    return head.unionByName(body).orderBy(*ordered).select("value")
+    return head.unionByName(body).orderBy("_part", *keys).select("value")
 
 
 def write_report(df: DataFrame, path: str, *, line_sep: str = LF, mode: str = "errorifexists", **report) -> None:

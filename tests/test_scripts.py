@@ -195,7 +195,7 @@ def test_repeated_and_empty_steps(spark):
 
 def test_step_summary_merges_same_names(spark):
     df = sample(spark, ("e/sample.sql", "sample.sql", "-- STEP9\nfrom zz"), ("n.sql", "n.sql", "select 1"))
-    rows = {r["file_name"]: r for r in LR.step_summary(df).collect()}
+    rows = {r["file_name"]: r for r in LR.step_summary(S.step_rows(df)).collect()}
     bar = "=" * 60
     assert rows["n.sql"]["steps"] == "" and rows["n.sql"]["total_steps"] == 0
     assert rows["sample.sql"]["total_steps"] == 4
@@ -203,19 +203,34 @@ def test_step_summary_merges_same_names(spark):
     assert rows["sample.sql"]["steps"].endswith(
         f"\n\n\n{bar}\nSTEP9\n{bar}\n[Source Tables]\nzz\n\n[Target Tables]\n(No target tables)\n"
     )
-    by_path = {r["file_name"]: r["total_steps"] for r in LR.step_summary(df, key="path").collect()}
+    by_path = {r["file_name"]: r["total_steps"] for r in LR.step_summary(S.step_rows(df), key="path").collect()}
     assert by_path == {"d/sample.sql": 3, "e/sample.sql": 1, "n.sql": 0}
 
 
+def test_step_report_pieces_are_the_csv_records(spark):
+    from tallyline.functions.text import csv_line
+
+    quoted = 'from "x" , t2'
+    df = sample(
+        spark, ("e/sample.sql", "sample.sql", f"-- STEP9\n{quoted}\n--STEP1\nupdate zz"),
+        ("n1/n.sql", "n.sql", "select 1"), ("n2/n.sql", "n.sql", "-- STEP1 "), ("o/m.sql", "m.sql", ""), ("p/m.sql", "m.sql", "-- STEP1\nfrom q1"),
+    )
+    for key in ("name", "path"):
+        pieces = LR.step_report_lines(S.step_rows(df), key).orderBy("file_name", "path", "step_ord").collect()
+        records = LR.step_summary(S.step_rows(df), key).orderBy("file_name")
+        whole = records.select(csv_line(*[F.col(c) for c in records.columns]).alias("v")).collect()
+        assert "\n".join(r["value"] for r in pieces) == "\n".join(r["v"] for r in whole)
+
+
 def test_step_files(spark):
     bar = "=" * 60
     df = spark.createDataFrame([("p.sql", "p.sql", "-- STEP1\nfrom zz join aa\n-- STEP2\nupdate t1")], "path string, name string, raw string")
-    text = LR.step_files(df).first()["content"]
+    text = LR.step_files(S.step_rows(df)).first()["content"]
     assert text == (
         f"{bar}\nSTEP1\n{bar}\n\n[Source Tables]\naa\nzz\n\n[Target Tables]\n(No target tables)\n\n"
         f"{bar}\nSTEP2\n{bar}\n\n[Source Tables]\n(No source tables)\n\n[Target Tables]\nt1\n\n"
     )
-    assert f"{bar}\n STEP1\n{bar}\n\n[Source Tables]\nzz\naa\n" in LR.step_files(df, style="console").first()["content"]
+    assert f"{bar}\n STEP1\n{bar}\n\n[Source Tables]\nzz\naa\n" in LR.step_files(S.step_rows(df), style="console").first()["content"]
 
 
 # --- maps ------------------------------------------------------------------------------
