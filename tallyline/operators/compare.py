@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DataType, DateType, IntegralType
+from pyspark.sql.types import BooleanType, DataType, DateType, IntegralType, StringType
 
 from tallyline.functions.text import text_or_blank, trim_blanks
 from tallyline.sources.csv_files import ROW_ORDER
@@ -64,23 +65,47 @@ def _renders_uniquely(a: DataType, b: DataType) -> bool:
     return a == b and isinstance(a, (IntegralType, BooleanType, DateType))
 
 
-def _keyed(df1: DataFrame, df2: DataFrame, keys: Keys) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Both sides with key columns ``_k0…``; whole numbers and dates keep their type."""
+@dataclass(frozen=True)
+class _Keys:
+    """Both sides with their key columns ``_k0…``, and how a key of one side equals one of the other.
+
+    Text keys take null as the empty text; whole numbers and dates keep their
+    type and are compared null-safe. ``plain`` keys are known to hold no null and
+    are used as stored, so tables bucketed by them join without a shuffle.
+    """
+
+    side1: DataFrame
+    side2: DataFrame
+    names: list[str]
+    null_safe: list[bool]
+
+    def match(self, a: DataFrame, b: DataFrame) -> Column:
+        parts = [
+            a[n].eqNullSafe(b[n]) if safe else a[n] == b[n] for n, safe in zip(self.names, self.null_safe, strict=True)
+        ]
+        return reduce(lambda x, y: x & y, parts)
+
+
+def _keyed(df1: DataFrame, df2: DataFrame, keys: Keys, *, plain: bool = False) -> _Keys:
     resolved = resolve_keys(df1, df2, keys)
     if callable(resolved):
-        pairs = list(zip(resolved(df1), resolved(df2), strict=True))
-        cols1, cols2 = [text_or_blank(a) for a, _ in pairs], [text_or_blank(b) for _, b in pairs]
+        cols1, cols2 = [[text_or_blank(c) for c in resolved(df)] for df in (df1, df2)]
+        safe = [False] * len(cols1)
     else:
-        cols1, cols2 = [], []
+        cols1, cols2, safe = [], [], []
         for key in resolved:
-            native = _renders_uniquely(df1.schema[key].dataType, df2.schema[key].dataType)
-            cols1.append(_col(df1, key) if native else text_or_blank(_col(df1, key)))
-            cols2.append(_col(df2, key) if native else text_or_blank(_col(df2, key)))
+            kinds = df1.schema[key].dataType, df2.schema[key].dataType
+            native = _renders_uniquely(*kinds)
+            stored = native or (plain and kinds == (StringType(), StringType()))
+            cols1.append(_col(df1, key) if stored else text_or_blank(_col(df1, key)))
+            cols2.append(_col(df2, key) if stored else text_or_blank(_col(df2, key)))
+            safe.append(native and not plain)
     names = [f"_k{i}" for i in range(len(cols1))]
-    return (
+    return _Keys(
         df1.select("*", *[c.alias(n) for c, n in zip(cols1, names)]),
-        df2.select("*", *[c.alias(n) for c, n in zip(cols2, names)]),
+        df2.select("*", *[c.alias(n) for c, n in zip(cols2, names, strict=True)]),
         names,
+        safe,
     )
 
 
@@ -94,22 +119,35 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.select(*cols).groupBy(*[f"`{k}`" for k in keys]).agg(F.count(F.lit(1)).alias("count")).where("count > 1")
 
 
-def _require_unique(side1: DataFrame, side2: DataFrame, names: list[str]) -> None:
-    tagged = [
-        side.select(F.lit(tag).alias("_side"), *names)
-        for tag, side in (("FILE1", side1), ("FILE2", side2))
-    ]
-    repeated = (
-        tagged[0].unionAll(tagged[1]).groupBy("_side", *names).agg(F.count(F.lit(1)).alias("n")).where("n > 1").head(1)
-    )
-    if repeated:
-        row = repeated[0]
-        key = ", ".join("" if row[n] is None else str(row[n]) for n in names)
-        raise DuplicateKeyError(f"duplicate key on {row['_side']}: {key}")
+def _require_unique(df1: DataFrame, df2: DataFrame, keys: Keys) -> bool:
+    """Raise for a repeated key; otherwise tell whether a key column holds a null.
+
+    One job over the key columns of both sides. Counts are combined before the
+    shuffle.
+    """
+    keyed = _keyed(df1, df2, keys)
+    resolved = resolve_keys(df1, df2, keys)
 
+    def side(tag: str, df: DataFrame, original: DataFrame) -> DataFrame:
+        nulls = F.lit(False)
+        if not callable(resolved):
+            nulls = reduce(lambda a, b: a | b, [_col(original, k).isNull() for k in resolved])
+        return df.select(F.lit(tag).alias("_side"), *keyed.names, nulls.alias("_null"))
 
-def _matches(names: list[str], side1: DataFrame, side2: DataFrame) -> Column:
-    return reduce(lambda a, b: a & b, [side1[n].eqNullSafe(side2[n]) for n in names])
+    both = side("FILE1", keyed.side1, df1).unionAll(side("FILE2", keyed.side2, df2))
+    counted = both.groupBy("_side", *keyed.names).agg(F.count(F.lit(1)).alias("_n"), F.max("_null").alias("_null"))
+    found = counted.agg(
+        F.max("_n").alias("n"), F.max_by(F.struct("_side", *keyed.names), "_n").alias("key"), F.max("_null").alias("null")
+    ).first()
+    if found["n"] is not None and found["n"] > 1:
+        side_name, *values = found["key"]
+        raise DuplicateKeyError(f"duplicate key on {side_name}: {', '.join('' if v is None else str(v) for v in values)}")
+    return bool(found["null"])
+
+
+def _checked(df1: DataFrame, df2: DataFrame, keys: Keys, check_duplicates: bool) -> _Keys:
+    plain = check_duplicates and not _require_unique(df1, df2, keys)
+    return _keyed(df1, df2, keys, plain=plain)
 
 
 def _present(df: DataFrame, prefix: str, names: list[str], keys: list[str]) -> DataFrame:
@@ -144,16 +182,16 @@ def compare(df1: DataFrame, df2: DataFrame, keys: Keys = None, *, check_duplicat
 
     A repeated key raises :class:`DuplicateKeyError`: the check is one job that
     reads the key columns only and combines counts before its shuffle, so it
-    also keeps a hot key from reaching the join. Skip it for keys known unique.
+    also keeps a hot key from reaching the join. It also learns whether any key
+    is null; if none is, keys join as stored, without a shuffle for tables
+    bucketed by them. Skip the check for keys known unique.
 
     If a side carries ``_row_order`` the result does too, side 1 first.
     """
-    side1, side2, names = _keyed(df1, df2, keys)
-    if check_duplicates:
-        _require_unique(side1, side2, names)
+    keyed = _checked(df1, df2, keys, check_duplicates)
     cols = unified_columns(df1, df2)
-    left, right = _present(side1, "_a", cols, names), _present(side2, "_b", cols, names)
-    joined = left.join(right, _matches(names, left, right), "full_outer")
+    left, right = _present(keyed.side1, "_a", cols, keyed.names), _present(keyed.side2, "_b", cols, keyed.names)
+    joined = left.join(right, keyed.match(left, right), "full_outer")
 
     here1, here2 = F.col("_ahere").isNotNull(), F.col("_bhere").isNotNull()
     details = [
@@ -183,12 +221,10 @@ def compare(df1: DataFrame, df2: DataFrame, keys: Keys = None, *, check_duplicat
 
 def differing_cells(df1: DataFrame, df2: DataFrame, keys: Keys = None, *, check_duplicates: bool = True) -> DataFrame:
     """One row per key and differing column: the key, ``column``, ``value1``, ``value2``."""
-    side1, side2, names = _keyed(df1, df2, keys)
-    if check_duplicates:
-        _require_unique(side1, side2, names)
+    keyed = _checked(df1, df2, keys, check_duplicates)
     cols = unified_columns(df1, df2)
-    left, right = _present(side1, "_a", cols, names), _present(side2, "_b", cols, names)
-    joined = left.join(right, _matches(names, left, right), "inner")
+    left, right = _present(keyed.side1, "_a", cols, keyed.names), _present(keyed.side2, "_b", cols, keyed.names)
+    joined = left.join(right, keyed.match(left, right), "inner")
     cells = [
         F.when(
             _differs(df1, df2, i, c),
@@ -200,7 +236,7 @@ def differing_cells(df1: DataFrame, df2: DataFrame, keys: Keys = None, *, check_
         )
         for i, c in enumerate(cols)
     ]
-    key = composite_key([left[n] for n in names]).alias("key")
+    key = composite_key([left[n] for n in keyed.names]).alias("key")
     return (
         joined.select(key, F.explode_outer(F.array_compact(F.array(*cells))).alias("_cell"))
         .where(F.col("_cell").isNotNull())
@@ -210,24 +246,26 @@ def differing_cells(df1: DataFrame, df2: DataFrame, keys: Keys = None, *, check_
 
 def only_left(df1: DataFrame, df2: DataFrame, keys: Keys = None) -> DataFrame:
     """Rows of ``df1`` whose key ``df2`` lacks."""
-    side1, side2, names = _keyed(df1, df2, keys)
-    right = side2.select(*names).distinct()
-    return side1.join(right, _matches(names, side1, right), "left_anti").drop(*names)
+    keyed = _keyed(df1, df2, keys)
+    right = keyed.side2.select(*keyed.names).distinct()
+    return keyed.side1.join(right, keyed.match(keyed.side1, right), "left_anti").drop(*keyed.names)
 
 
 def only_right(df1: DataFrame, df2: DataFrame, keys: Keys = None) -> DataFrame:
     """Rows of ``df2`` whose key ``df1`` lacks."""
-    side1, side2, names = _keyed(df1, df2, keys)
-    left = side1.select(*names).distinct()
-    return side2.join(left, _matches(names, side2, left), "left_anti").drop(*names)
+    keyed = _keyed(df1, df2, keys)
+    left = keyed.side1.select(*keyed.names).distinct()
+    return keyed.side2.join(left, keyed.match(keyed.side2, left), "left_anti").drop(*keyed.names)
 
 
 def key_union(df1: DataFrame, df2: DataFrame, keys: Keys = None) -> DataFrame:
     """Every key of either side once, with the sides that hold it."""
-    side1, side2, names = _keyed(df1, df2, keys)
-    resolved = resolve_keys(df1, df2, keys)
+    keyed, resolved = _keyed(df1, df2, keys), resolve_keys(df1, df2, keys)
+    names = keyed.names
     shown = names if callable(resolved) else list(resolved)
-    tagged = side1.select(*names, F.lit(1).alias("_side")).unionAll(side2.select(*names, F.lit(2).alias("_side")))
+    tagged = keyed.side1.select(*names, F.lit(1).alias("_side")).unionAll(
+        keyed.side2.select(*names, F.lit(2).alias("_side"))
+    )
     return tagged.groupBy(*names).agg(
         F.max(F.col("_side") == 1).alias("in_file1"), F.max(F.col("_side") == 2).alias("in_file2")
     ).select(*[text_or_blank(F.col(n)).alias(s) for n, s in zip(names, shown)], "in_file1", "in_file2")

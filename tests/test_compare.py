@@ -127,12 +127,37 @@ def test_wide_tables(spark):
     assert {r["DIFF_DETAIL"].split(":")[0] for r in rows} == {"c299"}
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_plan_has_one_exchange_per_side(spark):
     a, b = people(spark)
-    plan = C.compare(a, b, ["ID"], check_duplicates=False)._jdf.queryExecution().executedPlan().toString()
+    plan = plan_of(C.compare(a, b, ["ID"], check_duplicates=False))
     assert plan.count("Exchange hashpartitioning") == 2 and "FullOuter" in plan
 
 
+def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
+    for name, shift in (("left_side", 0), ("right_side", 5)):
+        rows = spark.range(100).select((F.col("id") + shift).alias("k"), F.lit("v").alias("v"))
+        rows.write.bucketBy(4, "k").sortBy("k").option("path", str(tmp_path / name)).saveAsTable(name)
+    try:
+        out = C.compare(spark.table("left_side"), spark.table("right_side"), ["k"])
+        assert "Exchange" not in plan_of(out)
+        assert {r[0]: r[1] for r in C.summarize(out).collect()} == {"MATCHED": 95, "ONLY_IN_FILE1": 5, "ONLY_IN_FILE2": 5}
+    finally:
+        spark.sql("DROP TABLE left_side")
+        spark.sql("DROP TABLE right_side")
+
+
+def test_null_and_empty_keys(spark):
+    a, b = strings(spark, ["k", "v"], [(None, "x"), ("1", "y")]), strings(spark, ["k", "v"], [("", "x"), ("1", "z")])
+    assert result(C.compare(a, b, ["k"]), "k") == {("",): ("MATCHED", ""), ("1",): ("MISMATCHED", "v: 'y' -> 'z'")}
+    with pytest.raises(C.DuplicateKeyError, match="FILE1: $"):
+        C.compare(a.union(b.where("k = ''")), b, ["k"])
+    assert C.compare(a.limit(0), b, ["k"]).count() == 2
+
+
 def test_reconcile_files(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("﻿ID,NAME,NOTE\r\n2,\"x, y\",\r\n1,\"l1\nl2\",n\r\n".encode())
     (tmp_path / "b.csv").write_bytes("ID,NAME,NOTE\r\n1,\"l1\nl2\",m,extra\r\n3,\"q\"\"q\"\r\n".encode())
