@@ -38,17 +38,18 @@ def keep_last_values(df: DataFrame, pairs: str) -> DataFrame:
     One sort per array brings equal names together, so the work stays n log n
     however many entries a script has.
     """
-    n = f"__{pairs}_sorted"
-    firsts, lasts = f"__{pairs}_firsts", f"__{pairs}_lasts"
+    sorted_, firsts, lasts = (f"__{pairs}_{part}" for part in ("sorted", "firsts", "lasts"))
+    repeated = F.size(F.array_distinct(F.transform(pairs, lambda x: x["name"]))) < F.size(pairs)
     by_name = F.array_sort(
         F.transform(
             F.col(pairs),
             lambda x, i: F.struct(x["name"].alias("name"), i.alias("pos"), x["value"].alias("value")),
         )
     )
-    item = F.col(n)
+    # Null where every name is unique already, which makes the next steps null as well.
+    item = F.col(sorted_)
     with_runs = (
-        df.withColumn(n, by_name)
+        df.withColumn(sorted_, F.when(repeated, by_name))
         .withColumn(
             firsts,
             F.transform(
@@ -68,6 +69,5 @@ def keep_last_values(df: DataFrame, pairs: str) -> DataFrame:
             lambda p, x: F.struct(p.alias("pos"), x["name"].alias("name"), x["value"].alias("value")),
         )
     )
-    return with_runs.withColumn(
-        pairs, F.transform(merged, lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value")))
-    ).drop(n, firsts, lasts)
+    settled = F.transform(merged, lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value")))
+    return with_runs.withColumn(pairs, F.coalesce(settled, F.col(pairs))).drop(sorted_, firsts, lasts)
