@@ -21,40 +21,39 @@ def with_pk_columns(tables: DataFrame, pk_list: DataFrame | None, table: str = "
     return lookup(tables.withColumn("table_key", table_key(F.col(table))), pk_list, "table_key").drop("table_key")
 
 
-def statements_of(table: Column, pk_cols: Column, dialect: str, base_date: str) -> Column:
-    """The check statements of one table, in order, as an array."""
-    if dialect not in DIALECTS:
-        raise ValueError(f"unknown dialect: {dialect}")
+def reference_columns(table: Column, pk_cols: Column, dialect: str) -> dict[str, Column]:
+    """How the dialect writes a table, its date column and its key columns (null without a key)."""
     if dialect == "bq":
         # Every date column is Hangul, so it is always in backticks here.
         date = F.concat(F.lit("`"), date_column(table, dialect), F.lit("`"))
         ref, keys = quote_hangul(table), F.transform(pk_cols, quote_hangul)
-        base = f"parse_date('%Y%m%d', '{base_date}')"
+    elif dialect == "oracle":
+        date, ref, keys = date_column(table, dialect), F.replace(table, F.lit("`"), F.lit("")), pk_cols
     else:
-        date = date_column(table, dialect)
-        ref, keys = F.replace(table, F.lit("`"), F.lit("")), pk_cols
-        base = f"'{base_date}'"
+        raise ValueError(f"unknown dialect: {dialect}")
+    return {
+        f"{dialect}_ref": ref, f"{dialect}_date": date,
+        f"{dialect}_keys": F.when(F.size(pk_cols) > 0, F.array_join(keys, ",")),
+    }
+
+
+def statements_of(ref: Column, date: Column, keys: Column, dialect: str, base_date: str) -> list[Column]:
+    """The check statements of one table, in order; the last is null without a key."""
+    base = f"parse_date('%Y%m%d', '{base_date}')" if dialect == "bq" else f"'{base_date}'"
     at_base = F.concat(F.lit(" where "), date, F.lit(f" = {base};"))
-    listed = F.array_join(keys, ",")
-    return F.array_compact(
-        F.array(
-            F.concat(F.lit("select * from "), ref, F.lit(";")),
-            F.concat(F.lit("select * from "), ref, at_base),
-            F.concat(F.lit("select count(1) from "), ref, F.lit(";")),
-            F.concat(
-                F.lit("select "), date, F.lit(",count(1) from "), ref,
-                F.lit(" group by "), date, F.lit(" order by "), date, F.lit(" desc;"),
-            ),
-            F.concat(F.lit("select count(1) from "), ref, at_base),
-            F.when(
-                F.size(F.coalesce(pk_cols, F.array().cast("array<string>"))) > 0,
-                F.concat(
-                    F.lit("select "), listed, F.lit(",count(1) from "), ref,
-                    F.lit(" group by "), listed, F.lit(" having count(1) > 1;"),
-                ),
-            ),
-        )
-    )
+    return [
+        F.concat(F.lit("select * from "), ref, F.lit(";")),
+        F.concat(F.lit("select * from "), ref, at_base),
+        F.concat(F.lit("select count(1) from "), ref, F.lit(";")),
+        F.concat(
+            F.lit("select "), date, F.lit(",count(1) from "), ref,
+            F.lit(" group by "), date, F.lit(" order by "), date, F.lit(" desc;"),
+        ),
+        F.concat(F.lit("select count(1) from "), ref, at_base),
+        F.concat(
+            F.lit("select "), keys, F.lit(",count(1) from "), ref, F.lit(" group by "), keys, F.lit(" having count(1) > 1;")
+        ),
+    ]
 
 
 def check_statements(
@@ -62,9 +61,10 @@ def check_statements(
 ) -> DataFrame:
     """One row per script, role, table and statement."""
     tables = with_pk_columns(long_form(extracted, "path"), pk_list)
-    texts = tables.select(
-        "path", "role", "table", statements_of(F.col("table"), F.col("pk_cols"), dialect, base_date).alias("_all")
-    )
+    parts = reference_columns(F.col("table"), F.col("pk_cols"), dialect)
+    written = tables.select("path", "role", "table", *[c.alias(n) for n, c in parts.items()])
+    statements = statements_of(*[F.col(n) for n in parts], dialect, base_date)
+    texts = written.select("path", "role", "table", F.array_compact(F.array(*statements)).alias("_all"))
     return texts.select("path", "role", "table", F.posexplode("_all").alias("_pos", "statement")).select(
         "path", "role", "table", (F.col("_pos") + 1).alias("statement_ord"), "statement"
     )
@@ -74,7 +74,8 @@ def _section(title: str, entries: Column, dialect: str, base_date: str) -> Colum
     """Heading with the number of tables, then the numbered tables with their statements."""
 
     def one(entry: Column) -> Column:
-        statements = F.array_join(statements_of(entry["table"], entry["pk_cols"], dialect, base_date), "\n")
+        parts = [entry[f"{dialect}_{part}"] for part in ("ref", "date", "keys")]
+        statements = F.concat_ws("\n", *statements_of(*parts, dialect, base_date))
         number = entry["number"].cast("string")
         return F.concat(F.lit("/*-- "), number, F.lit(") "), entry["table"], F.lit(" --*/\n"), statements, F.lit("\n\n"))
 
@@ -88,8 +89,8 @@ def _section(title: str, entries: Column, dialect: str, base_date: str) -> Colum
 def check_files(extracted: DataFrame, pk_list: DataFrame | None, base_date: str = DEFAULT_BASE_DATE) -> DataFrame:
     """(path, bq, oracle): the check file of each script per dialect.
 
-    Tables are numbered in name order, sources before targets. Only table names
-    and their keys are shuffled: once to meet the key list, unless it is small,
+    Tables are numbered in name order, sources before targets. Only names of
+    tables and key columns are shuffled: once to meet the key list, unless it is small,
     and once to come together per script; the texts are made after that.
     """
 
@@ -101,14 +102,20 @@ def check_files(extracted: DataFrame, pk_list: DataFrame | None, base_date: str
 
     all_tables = F.concat(numbered("sources", 1), numbered("targets", 2))
     rows = extracted.select("path", F.explode_outer(all_tables).alias("_t")).select("path", "_t.*")
-    entry = F.when(F.col("table").isNotNull(), F.struct("part", "number", "table", "pk_cols"))
-    per_file = with_pk_columns(rows, pk_list).groupBy("path").agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
-    parts = per_file.select(
+    parts = {}
+    for dialect in DIALECTS:
+        parts |= reference_columns(F.col("table"), F.col("pk_cols"), dialect)
+    written = with_pk_columns(rows, pk_list).select(
+        "path", "part", "number", "table", *[c.alias(n) for n, c in parts.items()]
+    )
+    entry = F.when(F.col("table").isNotNull(), F.struct("part", "number", "table", *parts))
+    per_file = written.groupBy("path").agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
+    halves = per_file.select(
         "path",
         F.filter("_entries", lambda e: e["part"] == 1).alias("_sources"),
         F.filter("_entries", lambda e: e["part"] == 2).alias("_targets"),
     )
-    return parts.select(
+    return halves.select(
         "path",
         *[
             F.concat(
