@@ -27,6 +27,46 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN words USING (k) LEFT JOIN items USING (k)
 """
 
+OP8 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce('0' || source, '1') AS key, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS shuffle,
+    CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+  FROM documents
+),
+s AS (SELECT key, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY key),
+w AS (SELECT *, ([5, 2, 1])[(row_number() OVER (ORDER BY key) - 1) % 3 + 1] AS weight FROM s),
+c AS (SELECT *, 3 * source_size AS cap, (3 * source_size)::DOUBLE / weight::DOUBLE AS lvl FROM w),
+p AS (
+  SELECT *, (SELECT sum(source_size) FROM s) - coalesce(sum(cap) OVER ahead, 0) AS left_words,
+    (SELECT sum(weight) FROM w) - coalesce(sum(weight) OVER ahead, 0) AS left_weight
+  FROM c WINDOW ahead AS (ORDER BY lvl, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+l AS (SELECT arg_min(left_words::DOUBLE / left_weight::DOUBLE, (lvl, key)) AS x FROM p WHERE left_words::DOUBLE / left_weight::DOUBLE <= lvl),
+t AS (SELECT key, source_size, least(cap::DOUBLE, (SELECT x FROM l) * weight) AS target FROM c),
+r AS (
+  SELECT *, CAST(round(target) AS HUGEINT) AS share, coalesce(sum(CAST(round(target) AS HUGEINT)) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS before
+  FROM t
+),
+n AS (SELECT (SELECT sum(source_size) FROM s)::HUGEINT AS words, (SELECT sum(share) FROM r)::HUGEINT AS shares),
+m AS (
+  SELECT words, shares, (1::HUGEINT << least(floor(log2(words))::INT, greatest(16, ceil(log2(greatest(1.0, words / 1024.0)))::INT))) AS slots FROM n
+),
+o AS (
+  SELECT key, source_size, target, ((before + share) * slots + shares - 1) // shares - (before * slots + shares - 1) // shares AS owned FROM r, m
+),
+placed AS (
+  SELECT k, key, size, sum(size) OVER (PARTITION BY key ORDER BY shuffle, size, k) - size AS place FROM d WHERE size > 0
+),
+u AS (
+  SELECT k, least(greatest((owned * words) // slots - (e * source_size + place), 0), size) AS taken
+  FROM placed JOIN o USING (key), m, (SELECT unnest([0, 1, 2]) AS e)
+),
+g AS (SELECT k, sum(taken) AS taken FROM u GROUP BY k)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken
+FROM d JOIN t USING (key) LEFT JOIN g USING (k)
+"""
+
 ORACLES: dict[str, str] = {
     "op6_decontaminate": OP6,
+    "op8_mixing": OP8,
 }
