@@ -5,6 +5,54 @@ from __future__ import annotations
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SIGN_WORDS = r"coalesce(regexp_extract_all(" + _LOWER.format("text") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
 
+OP2 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, lang, source, coalesce(text, '') AS t, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+),
+g AS (SELECT k, i, hash(w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]) AS h FROM (SELECT k, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+rep AS (
+  SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest(range(i, i + 5)) AS p FROM (SELECT k, i, count(*) OVER (PARTITION BY k, h) AS c FROM g) WHERE c > 1) GROUP BY k
+),
+f AS (
+  SELECT k, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(regexp_extract_all(t, '!')) AS BIGINT) AS n_shouts,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN rep USING (k)
+),
+m AS (
+  SELECT *, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    1000 * n_symbols // greatest(word_chars, 1) AS symbol_share, 1000 * (len(lines) - len(list_distinct(lines))) // greatest(len(lines), 1) AS line_repeat_share,
+    1000 * n_repeat_words // greatest(n_words, 1) AS word_repeat_share, 1000 * n_shouts // greatest(n_words, 1) AS shout_share, 100 * word_chars // greatest(n_words, 1) AS word_length
+  FROM f
+),
+v AS (
+  SELECT lang, source, measure, value - value % (1::BIGINT << greatest(length(bin(value)) - 6, 0)) AS bucket
+  FROM (SELECT * FROM m WHERE NOT base_failed) UNPIVOT (value FOR measure IN (symbol_share, line_repeat_share, word_repeat_share, shout_share, word_length))
+),
+q AS (
+  SELECT lang, source, measure, g, count(*) AS rows, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3
+  FROM (SELECT lang, source, measure, bucket, 1 AS g FROM v UNION ALL SELECT lang, NULL, measure, bucket, 2 FROM v UNION ALL SELECT NULL, NULL, measure, bucket, 3 FROM v)
+  GROUP BY ALL
+),
+c AS (
+  SELECT *, 4 * greatest(q3 - q1, CASE measure WHEN 'symbol_share' THEN 10 WHEN 'line_repeat_share' THEN 100 WHEN 'word_repeat_share' THEN 50 WHEN 'shout_share' THEN 25 ELSE 60 END) AS reach
+  FROM q
+),
+e AS (SELECT lang, source, measure, g, rows, CASE WHEN measure = 'word_length' THEN q1 - reach ELSE -1 END AS low, q3 + reach AS high FROM c),
+cuts AS (
+  SELECT o.lang, o.source, o.measure, CASE WHEN o.rows >= 200 THEN o.low WHEN l.rows >= 200 THEN l.low ELSE a.low END AS low,
+    CASE WHEN o.rows >= 200 THEN o.high WHEN l.rows >= 200 THEN l.high ELSE a.high END AS high
+  FROM e o JOIN e l ON o.g = 1 AND l.g = 2 AND o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure JOIN e a ON a.g = 3 AND a.measure = o.measure
+),
+bad AS (
+  SELECT DISTINCT k
+  FROM (SELECT k, lang, source, measure, value FROM m UNPIVOT (value FOR measure IN (symbol_share, line_repeat_share, word_repeat_share, shout_share, word_length))) x
+  JOIN cuts c ON x.measure = c.measure AND x.lang IS NOT DISTINCT FROM c.lang AND x.source IS NOT DISTINCT FROM c.source
+  WHERE value < low OR value > high
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND k NOT IN (SELECT k FROM bad) AS kept FROM m
+"""
+
 OP6 = f"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_SIGN_WORDS} AS w FROM documents),
 b AS (SELECT item_id, {_SIGN_WORDS} AS w FROM benchmark),
@@ -67,6 +115,7 @@ FROM d JOIN t USING (key) LEFT JOIN g USING (k)
 """
 
 ORACLES: dict[str, str] = {
+    "op2_quality_rules": OP2,
     "op6_decontaminate": OP6,
     "op8_mixing": OP8,
 }
