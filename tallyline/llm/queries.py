@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import decontaminate, mixing, quality_rules, simhash
+from tallyline.llm import decontaminate, mixing, quality_rules, secret_scan, simhash, weak_labels
 from tallyline.llm.oracles import ORACLES
 
 
@@ -38,11 +38,34 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts and digest of the base forms, and all spans."""
+    found = secret_scan.scan_documents(_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("bigint")
+    base = secret_scan.written(F.filter("found", lambda s: s["kind"] < 3))
+    return found.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(base, 256).alias("base_sha256"),
+        secret_scan.written(F.col("found")).alias("spans"),
+    )
+
+
+def op10_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and verdict of the weakly supervised quality classifier for every document."""
+    found = weak_labels.classify(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.round("quality_score", 6).alias("quality_score"), "accepted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op6_decontaminate": op6_decontaminate,
     "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,
+    "op9_secret_scan": op9_secret_scan,
+    "op10_weak_labels": op10_weak_labels,
 }
 
 __all__ = ["ORACLES", "QUERIES"]

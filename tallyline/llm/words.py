@@ -89,8 +89,8 @@ def _pieces(offsets: np.ndarray, raw: np.ndarray, breaks: np.ndarray, block: int
             row += 1
 
 
-def word_blocks(texts: pa.Array, breaks: np.ndarray = SPACE_BREAKS, block: int = BLOCK_BYTES, hashed: bool = True) -> Iterator[Block]:
-    """The words of a string array, A-Z in lower case, block by block; null is an empty text."""
+def word_blocks(texts: pa.Array, breaks: np.ndarray = SPACE_BREAKS, block: int = BLOCK_BYTES, hashed: bool = True, lower: bool = True) -> Iterator[Block]:
+    """The words of a string array, A-Z in lower case if ``lower``, block by block; null is an empty text."""
     if pa.types.is_large_string(texts.type):
         kind, width = pa.large_string(), np.int64
     else:
@@ -106,7 +106,7 @@ def word_blocks(texts: pa.Array, breaks: np.ndarray = SPACE_BREAKS, block: int =
         return
     raw = np.frombuffer(data, dtype=np.uint8)
     for first, last, begin, end in _pieces(offsets, raw, breaks, block):
-        part = LOWER[raw[begin:end]]
+        part = LOWER[raw[begin:end]] if lower else raw[begin:end]
         if not len(part):
             continue
         bounds = np.clip(offsets[first : last + 1] - begin, 0, len(part))
