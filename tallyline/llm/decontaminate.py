@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyline.llm.words import SIGN_BREAKS, word_blocks
+from tallyline.llm.words import SIGN_BREAKS, batch_words
 from tallyline.session import materialize
 
 WINDOW = 10
@@ -18,14 +18,6 @@ FILTER_BITS = 20
 _UNUSED = 255
 
 
-def _batch_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Row and hash of every word of a batch; a text cut into blocks is whole again here."""
-    blocks = list(word_blocks(texts, SIGN_BREAKS))
-    if not blocks:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    return np.concatenate([b.row for b in blocks]), np.concatenate([b.hash for b in blocks])
-
-
 def _lists(row: np.ndarray, rows: int, values: pa.Array) -> pa.ListArray:
     offsets = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=rows))))
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
@@ -40,7 +32,7 @@ def item_terms(items: DataFrame, id_column: str = "item_id", text_column: str =
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, hashes = _batch_words(batch.column(1))
+            row, hashes = batch_words(batch.column(1), SIGN_BREAKS)
             words = _lists(row, batch.num_rows, pa.array(hashes.view(np.int64), pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), words], names=["item_id", "words"])
 
@@ -94,7 +86,7 @@ def postings(docs: DataFrame, terms: DataFrame, id_column: str = "doc_id", text_
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.num_rows
-            row, hashes = _batch_words(batch.column(1))
+            row, hashes = batch_words(batch.column(1), SIGN_BREAKS)
             count = np.bincount(row, minlength=rows)
             kept = _postings(row, hashes, table.value) if len(row) else np.empty(0, np.int64)
             pos = kept - np.concatenate(([0], np.cumsum(count)))[row[kept]]

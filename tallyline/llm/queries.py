@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import decontaminate, mixing, quality_rules, secret_scan, simhash, weak_labels
+from tallyline.llm import brown, decontaminate, mixing, quality_rules, secret_scan, simhash, weak_labels
 from tallyline.llm.oracles import ORACLES
 
 
@@ -21,6 +21,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document under the class bigram model."""
+    return brown.class_model_scores(_table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and items of every document that lie in benchmark windows."""
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -61,6 +66,7 @@ def op10_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op4_brown": op4_brown,
     "op6_decontaminate": op6_decontaminate,
     "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,

@@ -12,6 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 BLOCK_BYTES = 2 << 20
 
@@ -122,9 +123,20 @@ def word_blocks(texts: pa.Array, breaks: np.ndarray = SPACE_BREAKS, block: int =
         yield Block(row, hash_words(part, start, stop) if hashed else np.empty(0, np.uint64), start, stop, part)
 
 
-def counts_per_row(blocks: Iterator[Block], rows: int) -> np.ndarray:
-    """Words per row."""
-    total = np.zeros(rows, dtype=np.int64)
-    for block in blocks:
-        total += np.bincount(block.row, minlength=rows)
-    return total
+def row_slices(texts: pa.Array, size: int = 8 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, slice) of whole rows with about ``size`` bytes each, so that a batch of any size takes bounded memory."""
+    ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(texts):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield first, texts.slice(first, last - first)
+        first = last
+
+
+def batch_words(texts: pa.Array, breaks: np.ndarray = SPACE_BREAKS, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of every word of an array; a text cut into blocks is whole again here."""
+    blocks = list(word_blocks(texts, breaks, lower=lower))
+    if not blocks:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    return np.concatenate([b.row for b in blocks]), np.concatenate([b.hash for b in blocks])
