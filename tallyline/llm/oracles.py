@@ -5,6 +5,20 @@ from __future__ import annotations
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SIGN_WORDS = r"coalesce(regexp_extract_all(" + _LOWER.format("text") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
 
+OP1 = """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (
+  SELECT *, array_to_string(list_transform(flatten(list_transform([1, 11, 21, 31],
+    lambda g: list_transform(range(7, -1, -1), lambda i: (CAST('0x' || substr(hex, g, 10) AS BIGINT) >> (5 * i)) & 31))),
+    lambda v: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(v AS INT) + 1, 1)), '') AS payload_digest
+  FROM p
+),
+f AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS first_id FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < first_id THEN first_id END AS refers_to
+FROM f
+"""
+
 OP2 = r"""
 WITH d AS (
   SELECT row_number() OVER () AS k, doc_id, lang, source, coalesce(text, '') AS t, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
@@ -115,6 +129,7 @@ FROM d JOIN t USING (key) LEFT JOIN g USING (k)
 """
 
 ORACLES: dict[str, str] = {
+    "op1_warc": OP1,
     "op2_quality_rules": OP2,
     "op6_decontaminate": OP6,
     "op8_mixing": OP8,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import brown, decontaminate, mixing, quality_rules, secret_scan, simhash, weak_labels
+from tallyline.llm import brown, decontaminate, mixing, quality_rules, secret_scan, simhash, warc, weak_labels
 from tallyline.llm.oracles import ORACLES
 
 
@@ -15,6 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through WARC archives and back, one row per assembled capture."""
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of the adaptive quality rules for every document."""
     found = quality_rules.quality_verdicts(_table(spark, sf_dir, "documents"))
@@ -65,6 +70,7 @@ def op10_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_quality_rules": op2_quality_rules,
     "op4_brown": op4_brown,
     "op6_decontaminate": op6_decontaminate,
