@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import brown, decontaminate, mixing, quality_rules, secret_scan, simhash, warc, weak_labels
+from tallyline.llm import brown, decontaminate, mixing, page_diff, quality_rules, secret_scan, simhash, warc, weak_labels
 from tallyline.llm.oracles import ORACLES
 
 
@@ -26,6 +26,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = page_diff.main_texts(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"), "n_outside", "n_shared")
+
+
 def op4_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of every document under the class bigram model."""
     return brown.class_model_scores(_table(spark, sf_dir, "documents"))
@@ -72,6 +78,7 @@ def op10_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_quality_rules": op2_quality_rules,
+    "op3_page_diff": op3_page_diff,
     "op4_brown": op4_brown,
     "op6_decontaminate": op6_decontaminate,
     "op7_simhash": op7_simhash,
