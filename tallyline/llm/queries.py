@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import brown, decontaminate, mixing, page_diff, quality_rules, secret_scan, simhash, warc, weak_labels
+from tallyline.llm import brown, decontaminate, mixing, page_diff, quality_rules, secret_scan, simhash, token_scan, warc, weak_labels
 from tallyline.llm.oracles import ORACLES
 
 
@@ -37,6 +37,11 @@ def op4_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.class_model_scores(_table(spark, sf_dir, "documents"))
 
 
+def op5_token_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted in flat token files."""
+    return token_scan.token_counts(_table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and items of every document that lie in benchmark windows."""
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_page_diff": op3_page_diff,
     "op4_brown": op4_brown,
+    "op5_token_scan": op5_token_scan,
     "op6_decontaminate": op6_decontaminate,
     "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,
