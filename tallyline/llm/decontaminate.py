@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyline.llm.words import SIGN_BREAKS, batch_words
+from tallyline.llm.words import SIGN_BREAKS, batch_words, row_slices
 from tallyline.session import materialize
 
 WINDOW = 10
@@ -75,29 +75,31 @@ def _postings(row: np.ndarray, hashes: np.ndarray, table: np.ndarray) -> np.ndar
     return np.flatnonzero(used & (np.repeat(length, length) >= need))
 
 
-def postings(docs: DataFrame, terms: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW) -> DataFrame:
+def postings(docs: DataFrame, terms: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, carry: bool = False) -> DataFrame:
     """One row per document: ``doc`` (a key of the row), ``doc_id``, ``n_words``, ``term`` and ``pos`` (parallel arrays).
 
     Only positions that a window could cover are kept: those in a run of benchmark terms at least as long as the
-    shortest window with that term. Whole texts are read; a null or empty text has no words.
+    shortest window with that term. Whole texts are read; a null or empty text has no words. With ``carry`` the whole row
+    is kept as ``row``.
     """
     table = docs.sparkSession.sparkContext.broadcast(term_filter(terms, window))
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.num_rows
-            row, hashes = batch_words(batch.column(1), SIGN_BREAKS)
-            count = np.bincount(row, minlength=rows)
+    @F.arrow_udf("struct<n_words:bigint,term:array<bigint>,pos:array<int>>")
+    def index(texts: pa.Array) -> pa.Array:
+        found = []
+        for _, part in row_slices(texts):
+            row, hashes = batch_words(part, SIGN_BREAKS)
+            count = np.bincount(row, minlength=len(part))
             kept = _postings(row, hashes, table.value) if len(row) else np.empty(0, np.int64)
             pos = kept - np.concatenate(([0], np.cumsum(count)))[row[kept]]
-            term = _lists(row[kept], rows, pa.array(hashes[kept].view(np.int64), pa.int64()))
-            place = _lists(row[kept], rows, pa.array(pos.astype(np.int32), pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), term, place], names=["doc_id", "n_words", "term", "pos"])
+            term = _lists(row[kept], len(part), pa.array(hashes[kept].view(np.int64), pa.int64()))
+            place = _lists(row[kept], len(part), pa.array(pos.astype(np.int32), pa.int32()))
+            found.append(pa.StructArray.from_arrays([pa.array(count, pa.int64()), term, place], names=["n_words", "term", "pos"]))
+        return pa.concat_arrays(found)
 
-    kind = docs.schema[id_column].dataType.simpleString()
-    texts = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
-    found = texts.mapInArrow(index, f"doc_id {kind}, n_words bigint, term array<bigint>, pos array<int>")
-    return materialize(found.withColumn("doc", F.monotonically_increasing_id()), "postings")
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    texts = docs.select(F.col(f"`{id_column}`").alias("doc_id"), *whole, index(F.col(f"`{text_column}`").cast("string")).alias("found"))
+    return materialize(texts.select("*", "found.*").drop("found").withColumn("doc", F.monotonically_increasing_id()), "postings")
 
 
 def inverted_index(rows: DataFrame) -> DataFrame:
@@ -212,3 +214,14 @@ def contamination(docs: DataFrame, items: DataFrame, id_column: str = "doc_id",
             F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
         )
     )
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` in which no benchmark window occurs, with all their columns.
+
+    Null and empty texts are clean; rows are told apart by place, so repeated rows and null ids stay as they are.
+    """
+    terms = item_terms(items)
+    rows = postings(docs, terms, id_column, text_column, window, carry=True)
+    hit = phrase_matches(inverted_index(rows), terms, window).select("doc").distinct()
+    return rows.join(hit, "doc", "left_anti").select("row.*")

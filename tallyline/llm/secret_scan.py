@@ -206,6 +206,6 @@ def redact(docs: DataFrame, text_column: str = "text", length_column: str | None
         return pa.array(out, pa.string())
 
     masked = docs.withColumn(text_column, mask(F.col(f"`{text_column}`")))
-    if length_column is None:
+    if length_column is None or length_column not in docs.columns:
         return masked
     return masked.withColumn(length_column, F.when(F.col(f"`{text_column}`").isNotNull(), F.char_length(f"`{text_column}`").cast("bigint")).otherwise(F.col(f"`{length_column}`")))

@@ -287,14 +287,24 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -
     return model, train_scorer(training_rows(docs, id_column, text, model, sum(counts.values())))
 
 
+def accepted(text: Column, weights: np.ndarray, threshold: float = 0.5) -> Column:
+    """Whether a text has a word and scores at least ``threshold``."""
+    return F.coalesce(text, F.lit("")).rlike(r"[^\x09-\x0D\x20]") & (score(text, weights) >= threshold)
+
+
 def classify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs`` with ``quality_score`` (the scorer's probability) and ``accepted`` (at least ``threshold``).
+    """``doc_id``, ``quality_score`` (the scorer's probability) and ``accepted`` (at least ``threshold``) for every row.
 
-    Fitted on ``docs`` itself. Null and empty texts have no words; the length labeller calls them bad, and they are not
-    accepted. Repeated rows are rows of their own with equal scores; other columns pass through, an empty table too.
+    Fitted on ``docs`` itself. Null, empty and blank texts are not accepted. Repeated rows are rows of their own with equal
+    scores; other columns are ignored; an empty table gives no rows.
     """
     _, weights = fit(docs, id_column, text_column)
     text = F.col(f"`{text_column}`").cast("string")
-    scored = docs.withColumn("quality_score", score(text, weights))
-    worded = F.coalesce(text, F.lit("")).rlike(r"[^\x09-\x0D\x20]")
-    return scored.withColumn("accepted", worded & (F.col("quality_score") >= threshold))
+    scored = docs.select(F.col(f"`{id_column}`").alias("doc_id"), score(text, weights).alias("quality_score"), F.coalesce(text, F.lit("")).rlike(r"[^\x09-\x0D\x20]").alias("worded"))
+    return scored.select("doc_id", "quality_score", (F.col("worded") & (F.col("quality_score") >= threshold)).alias("accepted"))
+
+
+def accepted_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that the classifier accepts, with all their columns."""
+    _, weights = fit(docs, id_column, text_column)
+    return docs.where(accepted(F.col(f"`{text_column}`").cast("string"), weights, threshold))
