@@ -25,12 +25,14 @@ _CODE = np.full(256, -1, dtype=np.int64)
 _CODE[[ord(c) for c in ALPHABET]] = np.arange(_SIZE)
 _STRING = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 
-#: Identifiers from this length on are samples of the ordinary class.
-LEAST_IDENTIFIER = 6
+#: Lengths of the identifiers that are samples of the ordinary class; longer ones are what the models are to judge.
+LEAST_IDENTIFIER, MOST_IDENTIFIER = 6, 19
 #: Made-up random strings per alphabet that join the corpus' own in the random class.
 RANDOM_SAMPLES = 2000
 #: Log-likelihood ratio (nats) from which a string is called random, in all and per character, and its different characters.
-LEAST_RATIO, LEAST_RATE, LEAST_DISTINCT = 30.0, 2.0, 8
+LEAST_RATIO, LEAST_RATE, LEAST_DISTINCT = 30.0, 4.0, 8
+#: Weight of a character's own frequency in a transition probability, in characters.
+_BACKOFF = 5.0
 _BLOCK = 4 << 20
 
 
@@ -61,8 +63,8 @@ def _value(text: str, span: Span) -> str:
     return ASSIGN.fullmatch(own).group(2) if span.kind == 0 else own
 
 
-def transitions(texts: list[str], least: int = LEAST_IDENTIFIER) -> np.ndarray:
-    """Counts of (previous character or start, character) in the strings of at least ``least`` characters."""
+def transitions(texts: list[str], least: int = LEAST_IDENTIFIER, most: int = MOST_IDENTIFIER) -> np.ndarray:
+    """Counts of (previous character or start, character) in the strings of ``least`` to ``most`` characters."""
     counts = np.zeros((_SIZE + 1) * _SIZE, dtype=np.int64)
     raw = np.frombuffer("\n".join(texts).encode("utf-8", "surrogatepass"), dtype=np.uint8)
     at = 0
@@ -74,7 +76,8 @@ def transitions(texts: list[str], least: int = LEAST_IDENTIFIER) -> np.ndarray:
         inside = code >= 0
         edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
         start, length = edge[::2], edge[1::2] - edge[::2]
-        start, length = start[length >= least], length[length >= least]
+        used = (length >= least) & (length <= most)
+        start, length = start[used], length[used]
         if len(start):
             place = np.repeat(start - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(length.sum())
             previous = code[place - 1]
@@ -92,11 +95,15 @@ def random_samples(per_alphabet: int = RANDOM_SAMPLES, seed: int = 9) -> list[st
 
 
 def _log_odds(random: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
-    """log P(character | previous, random) - log P(character | previous, ordinary), both smoothed by one count."""
+    """log P(character | previous, random) - log P(character | previous, ordinary).
+
+    A transition that was seldom seen takes its probability from how frequent the character is in its class.
+    """
 
     def logs(counts: np.ndarray) -> np.ndarray:
-        smooth = counts.reshape(_SIZE + 1, _SIZE) + 1.0
-        return np.log(smooth / smooth.sum(axis=1, keepdims=True))
+        table = counts.reshape(_SIZE + 1, _SIZE).astype(float)
+        alone = (table.sum(axis=0) + 1) / (table.sum() + _SIZE)
+        return np.log((table + _BACKOFF * alone[None, :]) / (table.sum(axis=1, keepdims=True) + _BACKOFF))
 
     return logs(random) - logs(ordinary)
 
@@ -104,7 +111,8 @@ def _log_odds(random: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, text_column: str = "text") -> np.ndarray:
     """The table of log odds, learned from all texts.
 
-    Random strings: the values of all base spans, and made-up ones. Ordinary identifiers: all other strings of the texts.
+    Random strings: the values of all base spans, and made-up ones. Ordinary identifiers: all other strings of the texts
+    but the longest, which are what is to be judged.
     Tasks send one row of counts per batch; Spark adds them up, and the driver receives two rows of fixed length.
     """
 
@@ -118,7 +126,7 @@ def train(docs: DataFrame, text_column: str = "text") -> np.ndarray:
                     rest.append(text[at : span.start])
                     at = max(at, span.end)
                 rest.append(text[at:])
-            pair = np.concatenate([transitions(secret, 1), transitions(rest)])
+            pair = np.concatenate([transitions(secret, 1, _BLOCK), transitions(rest)])
             index = np.flatnonzero(pair)
             yield pa.RecordBatch.from_arrays([pa.array(index.astype(np.int32)), pa.array(pair[index])], names=["cell", "n"])
 
@@ -127,7 +135,7 @@ def train(docs: DataFrame, text_column: str = "text") -> np.ndarray:
     both = np.zeros(2 * (_SIZE + 1) * _SIZE, dtype=np.int64)
     both[summed["cell"].to_numpy(np.int64)] = summed["n"].to_numpy(np.int64)
     random, ordinary = both[: len(both) // 2], both[len(both) // 2 :]
-    return _log_odds(random + transitions(random_samples(), 1), ordinary)
+    return _log_odds(random + transitions(random_samples(), 1, _BLOCK), ordinary)
 
 
 def ratio(string: str, odds: np.ndarray) -> float:
