@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 # The blanks that trimming removes are U+0000 to U+0020.
 BLANKS = "".join(chr(code) for code in range(0x21))
 
+# The blanks that end a line, as the class of white space in patterns.
+LINE_BLANKS = " \t\n\x0b\f\r"
+
 # Comment patterns of the rule sets.
 BLOCK_COMMENT = r"(?s)/\*.*?\*/"
 LINE_COMMENT_WITH_NEWLINE = r"--.*?(\r?\n|$)"
 LINE_COMMENT_KEEP_NEWLINE = r"--[^\r\n]*"
 LINE_COMMENT_TO_LINE_END = r"(?m)--.*$"
-BLOCK_COMMENT_MAX_CHARS = 500_000
 
 # Pieces a script falls into when only comments and literals matter.
 _SCRIPT_PIECE = (
@@ -45,7 +47,7 @@ def strip_comments(sql: Column, style: str = "std") -> Column:
     ``std``        block comments, then line comments with their newline; both become a space
     ``scan``       block comments only
     ``simple``     block, then line comments; newlines stay
-    ``linecount``  line comments first, then block comments in texts below 500,000 characters
+    ``linecount``  line comments first, then block comments; both leave nothing
     ``none``       nothing
     """
     if style == "none":
@@ -57,10 +59,7 @@ def strip_comments(sql: Column, style: str = "std") -> Column:
     if style == "simple":
         return F.regexp_replace(F.regexp_replace(sql, BLOCK_COMMENT, " "), LINE_COMMENT_KEEP_NEWLINE, " ")
     if style == "linecount":
-        no_lines = F.regexp_replace(sql, LINE_COMMENT_TO_LINE_END, "")
-        return F.when(
-            F.length(no_lines) < BLOCK_COMMENT_MAX_CHARS, F.regexp_replace(no_lines, BLOCK_COMMENT, "")
-        ).otherwise(no_lines)
+        return F.regexp_replace(F.regexp_replace(sql, LINE_COMMENT_TO_LINE_END, ""), BLOCK_COMMENT, "")
     raise ValueError(f"unknown comment style: {style}")
 
 
@@ -79,7 +78,7 @@ def strip_comment_backticks(sql: Column) -> Column:
 def strip_trailing_spaces(content: Column) -> Column:
     """Remove trailing whitespace (a carriage return included) from every line."""
     lines = F.split(content, "\n", -1)
-    return F.array_join(F.transform(lines, lambda line: F.regexp_replace(line, r"\s+$", "")), "\n")
+    return F.array_join(F.transform(lines, lambda line: F.rtrim(line, F.lit(LINE_BLANKS))), "\n")
 
 
 def tabs_to_spaces(content: Column, width: int) -> Column:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from tallyline.functions.arrays import empty_strings, keep_last_values, posexplode_items
 from tallyline.functions.text import trim_blanks
@@ -50,15 +52,36 @@ def split_flat_blocks(scripts: DataFrame, text: str = "raw") -> DataFrame:
     )
 
 
+@F.arrow_udf(ArrayType(IntegerType()))
+def _block_lengths(weights: pa.Array, starts: pa.Array) -> pa.Array:
+    """Per keyword the number of keywords up to the one that ends its block; 0 where none starts or ends.
+
+    Array functions of Spark have no running state, and a sum per keyword would
+    be quadratic, so this one step is a loop over an array of small numbers.
+    """
+    found = []
+    for own, opens in zip(weights, starts):
+        lengths, depth, waiting = [0] * len(own), 0, {}
+        for at, (weight, is_start) in enumerate(zip(own.as_py(), opens.as_py())):
+            depth += weight
+            for start in waiting.pop(depth, ()):
+                lengths[start] = at - start
+            if is_start:
+                waiting.setdefault(depth - 1, []).append(at)
+        found.append(lengths)
+    return pa.array(found, pa.list_(pa.int32()))
+
+
 def split_nested_blocks(scripts: DataFrame, text: str = "raw") -> DataFrame:
     """Blocks whose BEGIN and END are matched by depth.
 
     The content runs up to and including the matching END; a block that never
     ends is left out; a block inside another one is also a block of its own.
 
-    The script is cut into its keywords and the text before each; the depth
-    after every keyword is summed once, and a block ends at the first keyword
-    after it where the depth falls below the depth it started from.
+    The script is cut into its keywords and the text before each, and a block
+    ends at the first keyword after it where the depth falls below the depth it
+    started from. One pass over the keywords finds all ends, so the time grows
+    with the keywords and with the contents that come out.
     """
     keep = [c for c in scripts.columns if c != text]
     tokens, gaps = F.col("_tokens"), F.col("_gaps")
@@ -82,30 +105,13 @@ def split_nested_blocks(scripts: DataFrame, text: str = "raw") -> DataFrame:
     weighed = cut.withColumn("_weights", F.transform(tokens, weight)).withColumn(
         "_segments", F.zip_with(F.slice(gaps, 1, F.size(tokens)), tokens, lambda g, t: F.concat(g, t))
     )
-    depths = F.aggregate(
-        "_weights",
-        F.struct(F.lit(0).alias("depth"), F.array().cast("array<int>").alias("all")),
-        lambda acc, w: F.struct(
-            (acc["depth"] + w).alias("depth"), F.array_append(acc["all"], acc["depth"] + w).alias("all")
-        ),
-        lambda acc: acc["all"],
-    )
-    deep = weighed.withColumn("_depths", depths)
+    named = F.transform(tokens, lambda t: F.when(starts_step(t), F.regexp_extract(t, r"(?i)^(STEP\d{3})", 1)))
+    deep = weighed.withColumn("_names", named).withColumn("_lengths", _block_lengths("_weights", F.transform("_names", lambda n: n.isNotNull())))
     starts = F.filter(
         F.transform(
-            tokens,
-            lambda t, i: F.when(
-                starts_step(t),
-                F.struct(
-                    i.alias("at"),
-                    F.regexp_extract(t, r"(?i)^(STEP\d{3})", 1).alias("step"),
-                    F.array_position(
-                        F.slice("_depths", i + 2, F.size("_depths")), F.get("_depths", i) - 1
-                    ).cast("int").alias("ends_after"),
-                ),
-            ),
+            "_lengths", lambda n, i: F.struct(i.alias("at"), F.get("_names", i).alias("step"), n.alias("ends_after"))
         ),
-        lambda s: s.isNotNull() & (s["ends_after"] > 0),
+        lambda s: s["ends_after"] > 0,
     )
     blocks = F.transform(
         starts,

@@ -74,7 +74,7 @@ def _section(title: str, entries: Column, dialect: str, base_date: str) -> Colum
     """Heading with the number of tables, then the numbered tables with their statements."""
 
     def one(entry: Column) -> Column:
-        parts = [entry[f"{dialect}_{part}"] for part in ("ref", "date", "keys")]
+        parts = list(reference_columns(entry["table"], entry["pk_cols"], dialect).values())
         statements = F.concat_ws("\n", *statements_of(*parts, dialect, base_date))
         number = entry["number"].cast("string")
         return F.concat(F.lit("/*-- "), number, F.lit(") "), entry["table"], F.lit(" --*/\n"), statements, F.lit("\n\n"))
@@ -102,14 +102,9 @@ def check_files(extracted: DataFrame, pk_list: DataFrame | None, base_date: str
 
     all_tables = F.concat(numbered("sources", 1), numbered("targets", 2))
     rows = extracted.select("path", F.explode_outer(all_tables).alias("_t")).select("path", "_t.*")
-    parts = {}
-    for dialect in DIALECTS:
-        parts |= reference_columns(F.col("table"), F.col("pk_cols"), dialect)
-    written = with_pk_columns(rows, pk_list).select(
-        "path", "part", "number", "table", *[c.alias(n) for n, c in parts.items()]
-    )
-    entry = F.when(F.col("table").isNotNull(), F.struct("part", "number", "table", *parts))
-    per_file = written.groupBy("path").agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
+    entry = F.when(F.col("table").isNotNull(), F.struct("part", "number", "table", "pk_cols"))
+    named = with_pk_columns(rows, pk_list)
+    per_file = named.groupBy("path").agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
     halves = per_file.select(
         "path",
         F.filter("_entries", lambda e: e["part"] == 1).alias("_sources"),

@@ -6,7 +6,8 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import SparkRuntimeException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DataType, DateType, IntegralType, StringType
 
@@ -20,8 +21,8 @@ ONLY_IN_FILE1, ONLY_IN_FILE2 = "ONLY_IN_FILE1", "ONLY_IN_FILE2"
 Keys = Sequence[str] | Callable[[DataFrame], list[Column]] | None
 
 
-class DuplicateKeyError(ValueError):
-    """A key occurs more than once on one side."""
+#: Raised when the result is computed: a key occurs more than once on one side. The message names side and key.
+DuplicateKeyError = SparkRuntimeException
 
 
 def unified_columns(df1: DataFrame, df2: DataFrame) -> list[str]:
@@ -51,11 +52,6 @@ def resolve_keys(df1: DataFrame, df2: DataFrame, keys: Keys) -> Sequence[str] |
     return list(keys)
 
 
-def composite_key(cols: Sequence[Column]) -> Column:
-    """Key values as one text, untrimmed, null as empty, joined by U+001D."""
-    return F.concat_ws("\x1d", *[text_or_blank(c) for c in cols])
-
-
 def _col(df: DataFrame, name: str) -> Column:
     return df[f"`{name}`"]
 
@@ -67,46 +63,80 @@ def _renders_uniquely(a: DataType, b: DataType) -> bool:
 
 @dataclass(frozen=True)
 class _Keys:
-    """Both sides with their key columns ``_k0…``, and how a key of one side equals one of the other.
+    """Both sides with their key columns, none of which is null where nulls are allowed for.
 
-    Text keys take null as the empty text; whole numbers and dates keep their
-    type and are compared null-safe. ``plain`` keys are known to hold no null and
-    are used as stored, so tables bucketed by them join without a shuffle.
+    Text keys take null as the empty text. Whole numbers, booleans and dates
+    keep their type; where they may be null, a second column tells it. Keys
+    that cannot be null, by their schema or by the caller's word, are used as
+    stored, so tables bucketed by them join without a shuffle.
     """
 
     side1: DataFrame
     side2: DataFrame
     names: list[str]
-    null_safe: list[bool]
+    shown: list[str]
 
     def match(self, a: DataFrame, b: DataFrame) -> Column:
-        parts = [
-            a[n].eqNullSafe(b[n]) if safe else a[n] == b[n] for n, safe in zip(self.names, self.null_safe, strict=True)
-        ]
-        return reduce(lambda x, y: x & y, parts)
+        return reduce(lambda x, y: x & y, [a[n] == b[n] for n in self.names])
+
 
+def _key_columns(df: DataFrame, name: str, native: bool, stored: bool, i: int) -> list[Column]:
+    col = _col(df, name)
+    if stored:
+        return [col.alias(f"_k{i}")]
+    if not native:
+        return [text_or_blank(col).alias(f"_k{i}")]
+    kind = df.schema[name].dataType
+    blank = F.lit("1970-01-01").cast(kind) if isinstance(kind, DateType) else F.lit(0).cast(kind)
+    return [F.coalesce(col, blank).alias(f"_k{i}"), col.isNull().alias(f"_n{i}")]
 
-def _keyed(df1: DataFrame, df2: DataFrame, keys: Keys, *, plain: bool = False) -> _Keys:
+
+def _keyed(df1: DataFrame, df2: DataFrame, keys: Keys, *, null_keys: bool = True) -> _Keys:
     resolved = resolve_keys(df1, df2, keys)
     if callable(resolved):
-        cols1, cols2 = [[text_or_blank(c) for c in resolved(df)] for df in (df1, df2)]
-        safe = [False] * len(cols1)
+        cols1, cols2 = [[text_or_blank(c).alias(f"_k{i}") for i, c in enumerate(resolved(df))] for df in (df1, df2)]
+        if len(cols1) != len(cols2):
+            raise ValueError("the key function gives different numbers of columns")
+        names = shown = [f"_k{i}" for i in range(len(cols1))]
     else:
-        cols1, cols2, safe = [], [], []
-        for key in resolved:
+        cols1, cols2 = [], []
+        for i, key in enumerate(resolved):
             kinds = df1.schema[key].dataType, df2.schema[key].dataType
             native = _renders_uniquely(*kinds)
-            stored = native or (plain and kinds == (StringType(), StringType()))
-            cols1.append(_col(df1, key) if stored else text_or_blank(_col(df1, key)))
-            cols2.append(_col(df2, key) if stored else text_or_blank(_col(df2, key)))
-            safe.append(native and not plain)
-    names = [f"_k{i}" for i in range(len(cols1))]
-    return _Keys(
-        df1.select("*", *[c.alias(n) for c, n in zip(cols1, names)]),
-        df2.select("*", *[c.alias(n) for c, n in zip(cols2, names, strict=True)]),
-        names,
-        safe,
-    )
+            never_null = not null_keys or not (df1.schema[key].nullable or df2.schema[key].nullable)
+            stored = never_null and (native or kinds == (StringType(), StringType()))
+            cols1 += _key_columns(df1, key, native, stored, i)
+            cols2 += _key_columns(df2, key, native, stored, i)
+        shown = [f"_k{i}" for i in range(len(resolved))]
+        side1 = df1.select("*", *cols1)
+        names = side1.columns[len(df1.columns) :]
+    return _Keys(df1.select("*", *cols1), df2.select("*", *cols2), names, shown)
+
+
+def _shown_key(keyed: _Keys, name: str) -> Column:
+    """One key value as text, an absent one as nothing."""
+    flag, text = name.replace("_k", "_n"), text_or_blank(F.col(name))
+    return F.when(F.col(flag), "").otherwise(text) if flag in keyed.names else text
+
+
+def _key_text(keyed: _Keys, sep: str) -> Column:
+    return F.concat_ws(sep, *[_shown_key(keyed, name) for name in keyed.shown])
+
+
+def _once(keyed: _Keys, side: DataFrame, tag: str, null_keys: bool) -> Column:
+    """True, or an error for the second row of a key (and for a null key, if there should be none).
+
+    The running number needs the rows by key, which the join needs too, so it
+    adds neither an exchange nor a sort; it stops at the second row of a key.
+    """
+    order = Window.partitionBy(*keyed.names).orderBy(*keyed.names)
+    again = F.row_number().over(order) > 1
+    fault = F.raise_error(F.concat(F.lit(f"duplicate key on {tag}: "), _key_text(keyed, ", "))).cast("boolean")
+    verdict = F.when(again, fault)
+    if not null_keys:
+        null = reduce(lambda x, y: x | y, [F.col(n).isNull() for n in keyed.shown])
+        verdict = verdict.when(null, F.raise_error(F.lit(f"null key on {tag}")).cast("boolean"))
+    return verdict.otherwise(F.lit(True))
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -119,41 +149,16 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.select(*cols).groupBy(*[f"`{k}`" for k in keys]).agg(F.count(F.lit(1)).alias("count")).where("count > 1")
 
 
-def _require_unique(df1: DataFrame, df2: DataFrame, keys: Keys) -> bool:
-    """Raise for a repeated key; otherwise tell whether a key column holds a null.
-
-    One job over the key columns of both sides. Counts are combined before the
-    shuffle.
-    """
-    keyed = _keyed(df1, df2, keys)
-    resolved = resolve_keys(df1, df2, keys)
-
-    def side(tag: str, df: DataFrame, original: DataFrame) -> DataFrame:
-        nulls = F.lit(False)
-        if not callable(resolved):
-            nulls = reduce(lambda a, b: a | b, [_col(original, k).isNull() for k in resolved])
-        return df.select(F.lit(tag).alias("_side"), *keyed.names, nulls.alias("_null"))
-
-    both = side("FILE1", keyed.side1, df1).unionAll(side("FILE2", keyed.side2, df2))
-    counted = both.groupBy("_side", *keyed.names).agg(F.count(F.lit(1)).alias("_n"), F.max("_null").alias("_null"))
-    found = counted.agg(
-        F.max("_n").alias("n"), F.max_by(F.struct("_side", *keyed.names), "_n").alias("key"), F.max("_null").alias("null")
-    ).first()
-    if found["n"] is not None and found["n"] > 1:
-        side_name, *values = found["key"]
-        raise DuplicateKeyError(f"duplicate key on {side_name}: {', '.join('' if v is None else str(v) for v in values)}")
-    return bool(found["null"])
-
-
-def _checked(df1: DataFrame, df2: DataFrame, keys: Keys, check_duplicates: bool) -> _Keys:
-    plain = check_duplicates and not _require_unique(df1, df2, keys)
-    return _keyed(df1, df2, keys, plain=plain)
+def _present(keyed: _Keys, df: DataFrame, side: DataFrame, prefix: str, tag: str, names: list[str], null_keys: bool) -> DataFrame:
+    cols = [_col(side, c).alias(f"{prefix}{i}") for i, c in enumerate(names) if c in df.columns]
+    order = [_col(side, ROW_ORDER).alias(f"{prefix}order")] if ROW_ORDER in df.columns else []
+    return side.select(*keyed.names, _once(keyed, side, tag, null_keys).alias(f"{prefix}here"), *cols, *order)
 
 
-def _present(df: DataFrame, prefix: str, names: list[str], keys: list[str]) -> DataFrame:
-    cols = [_col(df, c).alias(f"{prefix}{i}") for i, c in enumerate(names) if c in df.columns]
-    order = [_col(df, ROW_ORDER).alias(f"{prefix}order")] if ROW_ORDER in df.columns else []
-    return df.select(*keys, F.lit(True).alias(f"{prefix}here"), *cols, *order)
+def _both(df1: DataFrame, df2: DataFrame, keys: Keys, null_keys: bool) -> tuple[_Keys, list[str], DataFrame, DataFrame]:
+    keyed, cols = _keyed(df1, df2, keys, null_keys=null_keys), unified_columns(df1, df2)
+    left = _present(keyed, df1, keyed.side1, "_a", "FILE1", cols, null_keys)
+    return keyed, cols, left, _present(keyed, df2, keyed.side2, "_b", "FILE2", cols, null_keys)
 
 
 def _value(df: DataFrame, prefix: str, i: int, name: str) -> Column:
@@ -172,7 +177,7 @@ def _difference(a: Column, b: Column, name: str) -> Column:
     return F.concat(F.lit(f"{name}: '"), a, F.lit("' -> '"), b, F.lit("'"))
 
 
-def compare(df1: DataFrame, df2: DataFrame, keys: Keys = None, *, check_duplicates: bool = True) -> DataFrame:
+def compare(df1: DataFrame, df2: DataFrame, keys: Keys = None, *, null_keys: bool = True) -> DataFrame:
     """Every key of either side with its values, ``RESULT`` and ``DIFF_DETAIL``.
 
     Keys are compared as they are, other values trimmed; null is the empty
@@ -180,17 +185,15 @@ def compare(df1: DataFrame, df2: DataFrame, keys: Keys = None, *, check_duplicat
     where it has the key. ``keys`` are column names, a function from a table to
     key columns, or None for the first column of side 1.
 
-    A repeated key raises :class:`DuplicateKeyError`: the check is one job that
-    reads the key columns only and combines counts before its shuffle, so it
-    also keeps a hot key from reaching the join. It also learns whether any key
-    is null; if none is, keys join as stored, without a shuffle for tables
-    bucketed by them. Skip the check for keys known unique.
+    Nothing runs until the result is asked for; each side is read once and
+    shuffled once. A repeated key then ends the query with
+    :class:`DuplicateKeyError`, at its second row, so no key is ever joined
+    many to many. With ``null_keys=False`` the keys are used as stored, without
+    a shuffle for tables bucketed by them, and a null key is an error.
 
     If a side carries ``_row_order`` the result does too, side 1 first.
     """
-    keyed = _checked(df1, df2, keys, check_duplicates)
-    cols = unified_columns(df1, df2)
-    left, right = _present(keyed.side1, "_a", cols, keyed.names), _present(keyed.side2, "_b", cols, keyed.names)
+    keyed, cols, left, right = _both(df1, df2, keys, null_keys)
     joined = left.join(right, keyed.match(left, right), "full_outer")
 
     here1, here2 = F.col("_ahere").isNotNull(), F.col("_bhere").isNotNull()
@@ -219,12 +222,11 @@ def compare(df1: DataFrame, df2: DataFrame, keys: Keys = None, *, check_duplicat
     )
 
 
-def differing_cells(df1: DataFrame, df2: DataFrame, keys: Keys = None, *, check_duplicates: bool = True) -> DataFrame:
-    """One row per key and differing column: the key, ``column``, ``value1``, ``value2``."""
-    keyed = _checked(df1, df2, keys, check_duplicates)
-    cols = unified_columns(df1, df2)
-    left, right = _present(keyed.side1, "_a", cols, keyed.names), _present(keyed.side2, "_b", cols, keyed.names)
-    joined = left.join(right, keyed.match(left, right), "inner")
+def differing_cells(df1: DataFrame, df2: DataFrame, keys: Keys = None, *, null_keys: bool = True) -> DataFrame:
+    """One row per key and differing column: the key, ``column``, ``value1``, ``value2``; repeated keys as in :func:`compare`."""
+    keyed, cols, left, right = _both(df1, df2, keys, null_keys)
+    joined = left.join(right.withColumnsRenamed({n: f"_r{n}" for n in keyed.names}), reduce(lambda x, y: x & y, [left[n] == F.col(f"_r{n}") for n in keyed.names]))
+    joined = joined.where("_ahere and _bhere")
     cells = [
         F.when(
             _differs(df1, df2, i, c),
@@ -236,7 +238,7 @@ def differing_cells(df1: DataFrame, df2: DataFrame, keys: Keys = None, *, check_
         )
         for i, c in enumerate(cols)
     ]
-    key = composite_key([left[n] for n in keyed.names]).alias("key")
+    key = _key_text(keyed, "\x1d").alias("key")
     return (
         joined.select(key, F.explode_outer(F.array_compact(F.array(*cells))).alias("_cell"))
         .where(F.col("_cell").isNotNull())
@@ -262,13 +264,13 @@ def key_union(df1: DataFrame, df2: DataFrame, keys: Keys = None) -> DataFrame:
     """Every key of either side once, with the sides that hold it."""
     keyed, resolved = _keyed(df1, df2, keys), resolve_keys(df1, df2, keys)
     names = keyed.names
-    shown = names if callable(resolved) else list(resolved)
+    named = list(keyed.shown) if callable(resolved) else list(resolved)
     tagged = keyed.side1.select(*names, F.lit(1).alias("_side")).unionAll(
         keyed.side2.select(*names, F.lit(2).alias("_side"))
     )
     return tagged.groupBy(*names).agg(
         F.max(F.col("_side") == 1).alias("in_file1"), F.max(F.col("_side") == 2).alias("in_file2")
-    ).select(*[text_or_blank(F.col(n)).alias(s) for n, s in zip(names, shown)], "in_file1", "in_file2")
+    ).select(*[_shown_key(keyed, n).alias(s) for n, s in zip(keyed.shown, named)], "in_file1", "in_file2")
 
 
 def summarize(compared: DataFrame) -> DataFrame:

@@ -76,8 +76,6 @@ def _admitted(items: Column, chosen: RuleSet) -> Column:
 def cte_names(sql: Column, upper_sql: Column, rules: RuleSet | str = "std") -> Column:
     """Names that WITH clauses define, exactly as written."""
     chosen = rule_set(rules)
-    if chosen.cte_scan_chars is not None:
-        sql, upper_sql = F.substring(sql, 1, chosen.cte_scan_chars), F.substring(upper_sql, 1, chosen.cte_scan_chars)
     found = F.array_distinct(_found(chosen.ctes, sql, upper_sql))
     return F.array_distinct(F.transform(found, chosen.clean)) if chosen.clean else found
 

@@ -152,18 +152,20 @@ def step_text(step_name: Column, sources: Column, targets: Column, style: str =
     )
 
 
-def _in_order(entries: Column, separator: str) -> Column:
-    return F.array_join(F.transform(F.array_sort(entries), lambda e: e["text"]), separator)
+def _step_entry() -> Column:
+    """What a step's text is made of; the text itself is made where the steps have come together."""
+    return F.when(F.col("step").isNotNull(), F.struct("step_ord", "step", "sources", "targets"))
+
+
+def _steps_in_order(entries: Column, style: str, separator: str) -> Column:
+    texts = F.transform(F.array_sort(entries), lambda e: step_text(e["step"], e["sources"], e["targets"], style))
+    return F.array_join(texts, separator)
 
 
 def step_files(rows: DataFrame, style: str = "file") -> DataFrame:
     """(path, content): the step texts of each script, one after another; ``rows`` come from ``step_rows``."""
-    entry = F.when(
-        F.col("step").isNotNull(),
-        F.struct("step_ord", step_text(F.col("step"), F.col("sources"), F.col("targets"), style).alias("text")),
-    )
-    return rows.groupBy("path").agg(F.collect_list(entry).alias("_entries")).select(
-        "path", _in_order(F.col("_entries"), "").alias("content")
+    return rows.groupBy("path").agg(F.collect_list(_step_entry()).alias("_entries")).select(
+        "path", _steps_in_order(F.col("_entries"), style, "").alias("content")
     )
 
 
@@ -175,24 +177,23 @@ def step_summary(rows: DataFrame, key: str = "name") -> DataFrame:
     that of very many scripts, :func:`step_report_lines` gives the same report
     without ever building the row.
     """
-    entry = F.when(
-        F.col("step").isNotNull(),
-        F.struct("step_ord", step_text(F.col("step"), F.col("sources"), F.col("targets"), "detail").alias("text")),
-    )
     per_file = rows.groupBy("path", "name").agg(
         sorted_set(F.flatten(F.collect_set("sources"))).alias("sources"),
         sorted_set(F.flatten(F.collect_set("targets"))).alias("targets"),
-        F.collect_list(entry).alias("_entries"),
+        F.collect_list(_step_entry()).alias("_entries"),
         F.count("step").alias("total_steps"),
-    ).withColumn("steps", _in_order(F.col("_entries"), "\n\n"))
+    )
     if key == "name":
-        text = F.when(F.col("steps") != "", F.struct("path", F.col("steps").alias("text")))
-        per_file = per_file.groupBy("name").agg(
+        per_name = per_file.groupBy("name").agg(
             sorted_set(F.flatten(F.collect_set("sources"))).alias("sources"),
             sorted_set(F.flatten(F.collect_set("targets"))).alias("targets"),
-            _in_order(F.collect_list(text), "\n\n").alias("steps"),
+            F.array_sort(F.collect_list(F.when(F.size("_entries") > 0, F.struct("path", "_entries")))).alias("_files"),
             F.sum("total_steps").alias("total_steps"),
         )
+        texts = F.transform("_files", lambda f: _steps_in_order(f["_entries"], "detail", "\n\n"))
+        per_file = per_name.withColumn("steps", F.array_join(texts, "\n\n"))
+    else:
+        per_file = per_file.withColumn("steps", _steps_in_order(F.col("_entries"), "detail", "\n\n"))
     return per_file.select(
         F.col(key).alias("file_name"),
         F.array_join("sources", LIST_SEPARATOR).alias("source_tables"),

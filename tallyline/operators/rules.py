@@ -66,7 +66,6 @@ class RuleSet:
     admit: Callable[[Column], Column] | None = None
     admit_source: Callable[[Column], Column] | None = None
     comma_joins: bool = False
-    cte_scan_chars: int | None = None
     unix_newlines: bool = False
 
 
@@ -136,7 +135,6 @@ LINECOUNT = RuleSet(
     clean=names.upper_name,
     ctes=(Pattern(r'(?i)\bwith\s+([\w"]+)\s+as\s*\(', "WITH"),),
     admit_source=names.admits_linecount_source,
-    cte_scan_chars=100_000,
     unix_newlines=True,
 )
 

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from tallyline.functions.text import base_output_name, csv_field, output_name
 from tallyline.operators import block_reports, blocks, check_sql, lineage_reports, line_stats
-from tallyline.operators.lineage import extract_tables
+from tallyline.operators.lineage import extract_stats, extract_tables
 from tallyline.operators.steps import step_rows
 from tallyline.session import materialize
 from tallyline.sinks.csv_files import headed_lines, write_report
 from tallyline.sinks.file_tree import write_files
 from tallyline.sources.pk_list import read_pk_list
-from tallyline.sources.scripts import ANY, LINECOUNT_MAX_BYTES, SQL_ANY_CASE, read_scripts
+from tallyline.sources.scripts import ANY, SQL_ANY_CASE, SQL_OR_BQ, read_scripts, skipped_scripts
 
 # Report headers.
 SUMMARY_HEADERS = ["File Name", "Source Tables", "Target Tables"]
@@ -72,14 +72,28 @@ def scan_job(spark: SparkSession, source: str, target: str, *, rules: str = "sca
     return write_files(texts, target, base_output_name(F.col("path"), ".source_target.txt"), F.col("content"))
 
 
-def line_count_job(spark: SparkSession, source: str, *, charset: str = "UTF-8") -> dict[str, DataFrame]:
-    """Statistics per file, files per extension and all sources, for files up to 5 MB."""
-    scripts = read_scripts(spark, source, glob=ANY, charset=charset, max_bytes=LINECOUNT_MAX_BYTES)
+def line_count_job(spark: SparkSession, source: str, *, charset: str = "UTF-8", max_bytes: int | None = None) -> dict[str, DataFrame]:
+    """Statistics per file, the same as shown, files per extension, all sources, and the files left out.
+
+    ``files`` holds whole names, targets and sources, ``shown`` the values cut for display. Files above ``max_bytes``,
+    if given, are listed in ``skipped`` with those that cannot be read.
+    """
+    scripts = read_scripts(spark, source, glob=ANY, charset=charset, max_bytes=max_bytes)
     stats = materialize(line_stats.file_line_stats(scripts), "lines")
     return {
-        "files": line_stats.display_stats(stats),
+        "files": stats,
+        "shown": line_stats.display_stats(stats),
         "extensions": line_stats.extension_counts(stats),
         "sources": lineage_reports.distinct_sources(stats),
+        "skipped": skipped_scripts(spark, source, glob=ANY, charset=charset, max_bytes=max_bytes),
+    }
+
+
+def statistics_job(spark: SparkSession, source: str, *, charset: str = "UTF-8") -> dict[str, DataFrame]:
+    """Tables and ``SELECT *`` of every ``.sql`` and ``.bq`` script, and the files left out."""
+    return {
+        "files": extract_stats(read_scripts(spark, source, glob=SQL_OR_BQ, charset=charset)),
+        "skipped": skipped_scripts(spark, source, glob=SQL_OR_BQ, charset=charset),
     }
 
 
@@ -87,7 +101,10 @@ def block_job(
     spark: SparkSession, source: str, target: str, *, version: int = 4, csv: bool = True, html: bool = True,
     charset: str = "UTF-8",
 ) -> dict[str, DataFrame]:
-    """Facts of every nested block as CSV and HTML; returns the totals and duplicate statistics."""
+    """Facts of every nested block as CSV and HTML; returns the totals and duplicate statistics.
+
+    A page keeps the whole name of its script (``job.sql.html``), so ``job.sql`` and ``job.bq`` have a page each.
+    """
     scripts = read_scripts(spark, source, glob=ANY, charset=charset)
     facts = materialize(blocks.block_facts(blocks.split_nested_blocks(scripts), version), "blocks")
     if csv:
@@ -100,7 +117,7 @@ def block_job(
         )
     if html and version >= 3:
         pages = block_reports.html_report(facts, version)
-        write_files(pages, target, base_output_name(F.col("path"), ".html"), F.col("content"))
+        write_files(pages, target, F.concat(F.col("path"), F.lit(".html")), F.col("content"))
     return {
         "totals": block_reports.block_totals(facts),
         "duplicate_tables": block_reports.block_duplicates(facts, "tables"),

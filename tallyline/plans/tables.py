@@ -39,7 +39,7 @@ def reconcile_files(
     keys: str | Sequence[str] | None = None,
     *,
     out: str | None = None,
-    multi_line: bool = True,
+    multi_line: bool = False,
     ordered: bool = True,
 ) -> str:
     """Compare two CSV tables and write the result; returns where it was written.
@@ -47,8 +47,8 @@ def reconcile_files(
     The output is a folder whose parts, joined in name order, are the one CRLF
     file: rows of file 1 in their order, then the keys only file 2 has. Without
     ``ordered`` the rows are written as the join leaves them, each part with a
-    header, which saves the sort. For large files without line breaks inside
-    quotes switch ``multi_line`` off so that they are read in parallel.
+    header, which saves the sort. Files are read in parallel; those with line
+    breaks inside quotes need ``multi_line``, at one task per file.
     """
     df1 = read_csv(spark, file1, multi_line=multi_line, row_order=ordered)
     df2 = read_csv(spark, file2, multi_line=multi_line, row_order=ordered)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.functions.text import strip_comment_backticks, strip_trailing_spaces, tabs_to_spaces
 from tallyline.sinks.file_tree import write_files
-from tallyline.sources.scripts import SQL, encode_text, read_scripts
+from tallyline.sources.scripts import SQL, encode_text, read_scripts, skipped_scripts
 
 
 def rewrite_job(
@@ -25,8 +25,9 @@ def rewrite_job(
 ) -> tuple[int, int]:
     """Read every script, apply ``transform`` to its text and write it under the same relative path.
 
-    With ``strict`` a script that one of the charsets cannot express is skipped,
-    otherwise what it cannot express is replaced. Returns the files and bytes written.
+    With ``strict`` a script that one of the charsets cannot express is left out
+    (``skipped_rewrites`` lists them), otherwise what it cannot express is
+    replaced. Returns the files and bytes written.
     """
     scripts = read_scripts(spark, source, glob=glob, charset=from_charset, strict=strict)
     text = transform(F.col("raw")) if transform else F.col("raw")
@@ -34,6 +35,17 @@ def rewrite_job(
     return write_files(encoded, target, F.col("path"), F.col("bytes"))
 
 
+def skipped_rewrites(
+    spark: SparkSession, source: str, *, from_charset: str = "UTF-8", to_charset: str = "UTF-8", glob: str = SQL
+) -> DataFrame:
+    """Scripts that a strict :func:`rewrite_job` leaves out: (path, length, reason)."""
+    unread = skipped_scripts(spark, source, glob=glob, charset=from_charset, strict=True)
+    scripts = read_scripts(spark, source, glob=glob, charset=from_charset, strict=True)
+    kept = encode_text(spark, scripts, "raw", to_charset, "bytes", strict=True).select("path")
+    lost = scripts.join(kept, "path", "left_anti").select("path", "length", F.lit(f"not {to_charset}").alias("reason"))
+    return unread.unionByName(lost)
+
+
 def euc_kr_to_utf8(spark: SparkSession, source: str, target: str) -> tuple[int, int]:
     return rewrite_job(spark, source, target, from_charset="EUC-KR")
 

@@ -89,7 +89,7 @@ AWKWARD_SQL = """SELECT CAST(c_custkey AS STRING) AS id, concat('x, "', c_name,
 def csv_scan(spark, sf):
     path = scratch_path(spark, "csv-scan")
     write_csv(I.run_sql(spark, sf, AWKWARD_SQL, customer="customer"), path)
-    return read_csv(spark, path)
+    return read_csv(spark, path, multi_line=True)
 
 
 def csv_report_lines(spark, sf):

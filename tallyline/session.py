@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -55,19 +55,36 @@ def charset_support(spark: SparkSession, replace_bad_bytes: bool = True) -> Iter
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir``.
 
-    Where the session names none (a local test) a temporary folder is made and
+    On a cluster a session without one is an error. Where driver and executors
+    are one process (``local[…]``, as in tests) a temporary folder is made and
     recorded in the session, so later calls agree on it.
     """
     folder = spark.conf.get(_CHECKPOINT_CONF, None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError(f"set {_CHECKPOINT_CONF} to a folder that the driver and all executors reach")
         folder = tempfile.mkdtemp(prefix="tallyline-")
         spark.conf.set(_CHECKPOINT_CONF, folder)
     return folder
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/tallyline-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    """A new, unused path in the application's own part of the shared folder."""
+    return f"{_scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove everything the application has put below the shared folder.
+
+    Frames that read it are gone with it, so this is for the end of an application.
+    """
+    if spark.conf.get(_CHECKPOINT_CONF, None):
+        root = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+        root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

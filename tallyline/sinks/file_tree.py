@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def resolved_root(spark: SparkSession, root: str) -> str:
+    """``root`` with its scheme: one without belongs to the session's default file system, as in Spark's own readers."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return re.sub("^file:/+", "file:///", system.makeQualified(path).toString().rstrip("/"))
+
+
 def _writer(root: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if "://" in root:
-            store, base = fs.FileSystem.from_uri(root)
-        else:
-            store, base = fs.LocalFileSystem(), root.removeprefix("file:")
+        store, base = fs.FileSystem.from_uri(root)
         made: set[str] = set()
         for batch in batches:
-            paths, contents = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for path, content in zip(paths, contents):
+            paths, sizes = batch.column(0).to_pylist(), []
+            # One content at a time becomes a Python object.
+            for path, value in zip(paths, batch.column(1)):
+                content = value.as_py()
                 target = f"{base}/{path}"
                 folder = target.rsplit("/", 1)[0]
                 if folder not in made:
@@ -31,10 +38,8 @@ def _writer(root: str):
                 with store.open_output_stream(draft) as out:
                     out.write(content)
                 store.move(draft, target)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(paths, pa.string()), pa.array([len(c) for c in contents], pa.int64())],
-                names=["path", "bytes"],
-            )
+                sizes.append(len(content))
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], names=["path", "bytes"])
 
     return write
 
@@ -42,10 +47,15 @@ def _writer(root: str):
 def write_files(df: DataFrame, root: str, path: Column, content: Column) -> tuple[int, int]:
     """Write ``content`` (text or bytes) to ``root``/``path`` for every row.
 
-    Runs at once, in parallel and without a shuffle; folders are kept. Returns
-    the number of files and bytes. ``root`` must be reachable from all executors.
+    Runs at once and in parallel; folders are kept. Returns the number of files
+    and bytes. Two rows with one path are an error before anything is written;
+    that look at the paths is the only shuffle. ``root`` may be in any file
+    system that pyarrow opens and all executors reach.
     """
     rows = df.select(path.cast("string").alias("path"), content.cast("binary").alias("content"))
-    written = rows.mapInArrow(_writer(root.rstrip("/")), "path string, bytes long")
+    twice = rows.groupBy("path").count().where("count > 1").take(1)
+    if twice:
+        raise ValueError(f"more than one row would be written to {twice[0]['path']}")
+    written = rows.mapInArrow(_writer(resolved_root(df.sparkSession, root)), "path string, bytes long")
     total = written.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
     return total["files"], total["bytes"]

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from tallyline.functions.text import MARK, trim_blanks
+from tallyline.session import charset_support
 
 ROW_ORDER = "_row_order"
+_RECORD = "\ufffe"
 
 
 def scan_order() -> Column:
@@ -24,37 +27,112 @@ def scan_order() -> Column:
     )
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, also inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _marked(text: Column, line_breaks: bool) -> Column:
+    """The text without its quotes: commas outside them are marks, line breaks there record marks.
+
+    A quote opens and closes wherever it stands. Cutting at the quotes puts the
+    quoted parts at odd places; an empty part between two of them is a doubled
+    quote, which stands for itself.
+    """
+
+    def piece(part: Column, i: Column, count: Column) -> Column:
+        plain = F.replace(part, F.lit(","), F.lit(MARK))
+        if line_breaks:
+            plain = F.regexp_replace(plain, r"\r\n?|\n", _RECORD)
+        doubled = (part == "") & (i > 0) & (i < count - 1)
+        return F.when(i % 2 == 1, part).when(doubled, F.lit('"')).otherwise(plain)
+
+    cut = _let(F.split(text, '"', -1), lambda parts: F.transform(parts, lambda part, i: piece(part, i, F.size(parts))))
+    return F.when(F.contains(text, F.lit('"')), F.array_join(cut, "")).otherwise(piece(text, F.lit(0), F.lit(1)))
+
+
+def csv_fields(line: Column) -> Column:
+    """The fields of one CSV line, quotes resolved; an empty line is one empty field."""
+    return F.split(_marked(line, False), MARK, -1)
+
+
+def csv_records(text: Column) -> Column:
+    """The records of a whole CSV text, each an array of fields; line breaks inside quotes stay as they are."""
+    records = F.split(_marked(text, True), _RECORD, -1)
+    ended = _let(records, lambda all: F.when((F.element_at(all, -1) == "") & ~text.endswith('"'), F.slice(all, 1, F.size(all) - 1)).otherwise(all))
+    return F.transform(ended, lambda record: F.split(record, MARK, -1))
+
+
+def _without_bom(text: Column) -> Column:
+    return F.when(text.startswith("\ufeff"), F.substring(text, 2, 2**31 - 1)).otherwise(text)
+
+
+def _whole_records(spark: SparkSession, path: str, charset: str) -> DataFrame:
+    """(file, at, fields) of every record; a file is read by one task."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+    with charset_support(spark):
+        texts = files.select("file", _without_bom(F.decode("content", charset)).alias("text"))
+    return texts.select("file", F.posexplode(csv_records(F.col("text"))).alias("at", "fields"))
+
+
+def _line_records(spark: SparkSession, path: str, charset: str) -> DataFrame:
+    """(file, block, row, fields) of every line, split by Spark; a quote that is open at a line's end is an error."""
+    raw = spark.read.text(path).select("value", scan_order().alias("order"))
+    value = F.col("value")
+    if charset.upper() not in ("UTF-8", "UTF8"):
+        with charset_support(spark):
+            raw = raw.select(F.decode(value.cast("binary"), charset).alias("value"), "order")
+    open_quote = F.raise_error(F.concat(F.lit("a quoted value goes over lines, read with multi_line=True: "), F.col("order.file"))).cast("array<string>")
+    line = _without_bom(value)
+    fields = F.when(F.size(F.split(line, '"', -1)) % 2 == 0, open_quote).otherwise(csv_fields(line))
+    return raw.select("order.*", fields.alias("fields"))
+
+
+#: Files whose first rows are sent to all tasks; beyond it they are joined.
+_FIRST_ROWS = 100_000
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
     *,
-    multi_line: bool = True,
+    multi_line: bool = False,
     charset: str = "UTF-8",
     row_order: bool = False,
 ) -> DataFrame:
     """A quoted CSV table with a header row; every value is text and none is null.
 
-    Short rows are padded with empty values, extra fields are dropped, and of
-    columns with the same name the last one counts. ``multi_line`` admits line
-    breaks inside quotes but keeps a file in one task; switch it off for large
-    files without such breaks so that they split.
+    A quote opens and closes wherever it stands, a doubled one inside quotes is
+    a quote. Short rows are padded with empty values, a blank line is a row of
+    empty values, extra fields are dropped, and of columns with the same name
+    the last one counts. The files of a folder must have one header, or reading
+    stops with an error. Files split into tasks; a line break inside quotes is
+    then an error, and ``multi_line`` reads it, at one task per file.
+
+    The headers are looked at when this is called, in one job over the first
+    split of every file.
     """
-    reader = spark.read.options(
-        quote='"', escape='"', encoding=charset, multiLine=multi_line, mode="PERMISSIVE"
-    )
-    first = reader.csv(path).head(1)
-    if not first:
+    if multi_line:
+        rows = _whole_records(spark, path, charset)
+        firsts = rows.where("at = 0").select("file", "fields")
+        body, order = rows.where("at > 0"), F.struct("file", F.lit(0).cast("bigint").alias("block"), F.col("at").cast("bigint").alias("row"))
+    else:
+        rows = _line_records(spark, path, charset)
+        firsts = rows.where("block = 0").groupBy("file").agg(F.min_by("fields", "row").alias("fields"), F.min("row").alias("row"))
+        order = F.struct("file", "block", "row")
+    seen = firsts.groupBy("fields").agg(F.count(F.lit(1)).alias("files"), F.min("file").alias("file")).take(2)
+    if not seen:
         raise ValueError(f"no header row: {path}")
-    header = [name if name is not None else "" for name in first[0]]
-    positions = {name: i for i, name in enumerate(header)}
-    schema = StructType([StructField(f"_c{i}", StringType()) for i in range(len(header))])
-    rows = reader.option("header", True).schema(schema).csv(path)
-    cols = [
-        F.coalesce(F.col(f"_c{positions[name]}"), F.lit("")).alias(name) for name in dict.fromkeys(header)
-    ]
+    if len(seen) > 1:
+        raise ValueError(f"different headers: {seen[0]['fields']} in {seen[0]['file']}, {seen[1]['fields']} in {seen[1]['file']}")
+    if not multi_line:
+        heads = firsts.select("file", "row")
+        body = rows.join(F.broadcast(heads) if seen[0]["files"] <= _FIRST_ROWS else heads, ["file", "row"], "left_anti")
+    positions = {name: i for i, name in enumerate(seen[0]["fields"])}
+    cols = [F.coalesce(F.get("fields", F.lit(i)), F.lit("")).alias(name) for name, i in positions.items()]
     if row_order:
-        cols.append(scan_order().alias(ROW_ORDER))
-    return rows.select(*cols)
+        cols.append(order.alias(ROW_ORDER))
+    return body.select(*cols)
 
 
 def read_lines(spark: SparkSession, path: str, *, header: bool = False, charset: str = "UTF-8") -> DataFrame:

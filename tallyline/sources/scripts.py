@@ -15,7 +15,6 @@ SQL = "*.sql"
 SQL_ANY_CASE = "*.[sS][qQ][lL]"
 SQL_OR_BQ = "*.{sql,bq}"
 ANY = "*"
-LINECOUNT_MAX_BYTES = 5 * 1024 * 1024
 
 _REPLACEMENT = "\ufffd"
 
@@ -64,8 +63,8 @@ def read_scripts(
 ) -> DataFrame:
     """Scripts below a folder (or one file) as (path, name, length, raw).
 
-    ``path`` is relative to the folder. Unreadable files are skipped. A size
-    limit is checked on the file listing, before any content is read.
+    ``path`` is relative to the folder. Files that cannot be read are left
+    out; :func:`skipped_scripts` lists them. A size limit is checked on the file listing, before any content is read.
     """
     files = (
         spark.read.format("binaryFile")
@@ -78,6 +77,36 @@ def read_scripts(
     return decode_text(spark, named, "content", charset, "raw", strict=strict).drop("content")
 
 
+def skipped_scripts(
+    spark: SparkSession,
+    path: str,
+    *,
+    glob: str = SQL,
+    charset: str = "UTF-8",
+    strict: bool = False,
+    max_bytes: int | None = None,
+) -> DataFrame:
+    """Files that :func:`read_scripts` leaves out with the same arguments: (path, length, reason).
+
+    ``reason`` is ``too large``, ``unreadable`` or ``not <charset>``. The listing is compared with what was read, so a
+    file is in exactly one of the two.
+    """
+    options = {"recursiveFileLookup": True, "pathGlobFilter": glob}
+    reader = spark.read.format("binaryFile").options(**options)
+    listed = reader.load(path).select("path", "length")
+    fits = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
+    found = reader.options(ignoreCorruptFiles=True).load(path).where(fits).select("path", "content")
+    read = found.select("path", F.lit(True).alias("_read"))
+    if strict:
+        kept = decode_text(spark, found, "content", charset, "raw", strict=True)
+        read = read.join(kept.select("path", F.lit(True).alias("_kept")), "path", "left")
+    else:
+        read = read.withColumn("_kept", F.lit(True))
+    reason = F.when(~fits, "too large").when(F.col("_read").isNull(), "unreadable").when(F.col("_kept").isNull(), f"not {charset}")
+    told = listed.join(read, "path", "left").select(_relative(F.col("path"), path).alias("path"), "length", reason.alias("reason"))
+    return told.where("reason is not null")
+
+
 def scripts_from_table(df: DataFrame, path: Column, text: Column) -> DataFrame:
     """Scripts already held in a table, in the shape of :func:`read_scripts`."""
     return df.select(path.alias("path"), text.alias("raw")).select(

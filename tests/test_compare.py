@@ -85,13 +85,15 @@ def test_typed_columns_compare_by_text(spark):
 def test_duplicate_key_is_an_error_naming_side_and_key(spark):
     a, b = people(spark)
     with pytest.raises(C.DuplicateKeyError, match="FILE2: 4"):
-        C.compare(a, b.union(b.where("ID = '4'")), ["ID"])
+        C.compare(a, b.union(b.where("ID = '4'")), ["ID"]).collect()
 
 
-def test_hot_duplicate_key_is_found_before_any_join(spark):
+def test_hot_duplicate_key_is_an_error_and_no_product(spark):
     hot = spark.range(30000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
     with pytest.raises(C.DuplicateKeyError, match="FILE1: hot"):
-        C.compare(hot, hot.where("k <> 'hot'"), ["k"])
+        C.compare(hot, hot.where("k <> 'hot'"), ["k"]).collect()
+    with pytest.raises(C.DuplicateKeyError, match="FILE2: hot"):
+        C.differing_cells(hot.distinct(), hot, ["k"]).collect()
     assert [tuple(r) for r in C.duplicate_keys(hot, ["k"]).collect()] == [("hot", 10000)]
 
 
@@ -133,8 +135,9 @@ def plan_of(df):
 
 def test_plan_has_one_exchange_per_side(spark):
     a, b = people(spark)
-    plan = plan_of(C.compare(a, b, ["ID"], check_duplicates=False))
-    assert plan.count("Exchange hashpartitioning") == 2 and "FullOuter" in plan
+    for frame in (C.compare(a, b, ["ID"]), C.compare(a.selectExpr("cast(ID as int) ID"), b.selectExpr("cast(ID as int) ID"), ["ID"]), C.differing_cells(a, b, ["ID"])):
+        plan = plan_of(frame)
+        assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Exchange") == 2 and "Join" in plan
 
 
 def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
@@ -142,7 +145,7 @@ def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
         rows = spark.range(100).select((F.col("id") + shift).alias("k"), F.lit("v").alias("v"))
         rows.write.bucketBy(4, "k").sortBy("k").option("path", str(tmp_path / name)).saveAsTable(name)
     try:
-        out = C.compare(spark.table("left_side"), spark.table("right_side"), ["k"])
+        out = C.compare(spark.table("left_side"), spark.table("right_side"), ["k"], null_keys=False)
         assert "Exchange" not in plan_of(out)
         assert {r[0]: r[1] for r in C.summarize(out).collect()} == {"MATCHED": 95, "ONLY_IN_FILE1": 5, "ONLY_IN_FILE2": 5}
     finally:
@@ -153,15 +156,19 @@ def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
 def test_null_and_empty_keys(spark):
     a, b = strings(spark, ["k", "v"], [(None, "x"), ("1", "y")]), strings(spark, ["k", "v"], [("", "x"), ("1", "z")])
     assert result(C.compare(a, b, ["k"]), "k") == {("",): ("MATCHED", ""), ("1",): ("MISMATCHED", "v: 'y' -> 'z'")}
-    with pytest.raises(C.DuplicateKeyError, match="FILE1: $"):
-        C.compare(a.union(b.where("k = ''")), b, ["k"])
+    with pytest.raises(C.DuplicateKeyError, match="duplicate key on FILE1: "):
+        C.compare(a.union(b.where("k = ''")), b, ["k"]).collect()
+    with pytest.raises(C.DuplicateKeyError, match="null key on FILE1"):
+        C.compare(a, b, ["k"], null_keys=False).collect()
+    numbers = spark.createDataFrame([(None, "x"), (0, "y")], "k int, v string")
+    assert result(C.compare(numbers, numbers.where("k is null"), ["k"]), "v") == {("x",): ("MATCHED", ""), ("y",): ("ONLY_IN_FILE1", "")}
     assert C.compare(a.limit(0), b, ["k"]).count() == 2
 
 
 def test_reconcile_files(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("﻿ID,NAME,NOTE\r\n2,\"x, y\",\r\n1,\"l1\nl2\",n\r\n".encode())
     (tmp_path / "b.csv").write_bytes("ID,NAME,NOTE\r\n1,\"l1\nl2\",m,extra\r\n3,\"q\"\"q\"\r\n".encode())
-    out = reconcile_files(spark, str(tmp_path / "a.csv"), str(tmp_path / "b.csv"), "ID")
+    out = reconcile_files(spark, str(tmp_path / "a.csv"), str(tmp_path / "b.csv"), "ID", multi_line=True)
     assert out.endswith("/result_a.csv")
     parts = sorted(p for p in (tmp_path / "result_a.csv").iterdir() if p.name.startswith("part-"))
     assert b"".join(p.read_bytes() for p in parts).decode() == (

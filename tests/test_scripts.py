@@ -394,10 +394,16 @@ def test_line_count_and_block_jobs(spark, tmp_path):
     found = jobs.line_count_job(spark, str(root))
     rows = {r["name"]: r for r in found["files"].collect()}
     assert (rows["note.txt"]["lines"], rows["note.txt"]["insert_lines"], rows["note.txt"]["step_lines"]) == (2, 1, 1)
-    assert rows["note.txt"]["targets"] == "A" and rows["note.txt"]["sources"] == "-"
+    assert rows["note.txt"]["targets"] == ["A"] and rows["note.txt"]["sources"] == []
+    shown = {r["name"]: r for r in found["shown"].collect()}
+    assert shown["note.txt"]["targets"] == "A" and shown["note.txt"]["sources"] == "-"
+    assert found["skipped"].count() == 0
+    small = jobs.line_count_job(spark, str(root), max_bytes=60)
+    left_out = {(r["path"], r["reason"]) for r in small["skipped"].collect()}
+    assert left_out and {reason for _, reason in left_out} == {"too large"} and len(left_out) + small["files"].count() == 4
     assert {tuple(r) for r in found["extensions"].collect()} == {("sql", 3), ("txt", 1)}
     assert {r[0] for r in found["sources"].collect()} == {"DW.RED_CARE_SALES", "DW."}
     totals = jobs.block_job(spark, str(root), str(tmp_path / "blocks"))["totals"].first()
     assert totals["blocks"] == 2
     assert text_of(tmp_path / "blocks" / "output.csv").splitlines()[0] == "Step,Table,Column,Condition,Alias->Original,Error"
-    assert (tmp_path / "blocks" / "sample.html").exists()
+    assert (tmp_path / "blocks" / "sample.sql.html").exists()

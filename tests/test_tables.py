@@ -11,6 +11,7 @@ from tallyline.operators.joins import fits_broadcast, lookup
 from tallyline.operators.pivot import JOB_KEYS, pivot_last
 from tallyline.operators.statements import run_script, split_statements
 from tallyline.plans.tables import pivot_job_list, run_script_job
+from tallyline.sinks.csv_files import write_csv
 from tallyline.sources.csv_files import read_csv, read_eav
 from tallyline.sources.jdbc import ScriptRunSettings, jdbc_options
 from tallyline.sources.pk_list import read_pk_list
@@ -60,7 +61,9 @@ def test_pivot_hot_group_keeps_the_last_value(spark):
 
 def test_csv_scan_rules(spark, tmp_path):
     (tmp_path / "t.csv").write_text('a,b,a\r\n1,"x ""q"", y",3\r\n4\r\n"l1\nl2",6,7,8\r\n', encoding="utf-8")
-    rows = read_csv(spark, str(tmp_path / "t.csv"))
+    with pytest.raises(Exception, match="multi_line=True"):
+        read_csv(spark, str(tmp_path / "t.csv")).collect()
+    rows = read_csv(spark, str(tmp_path / "t.csv"), multi_line=True)
     assert rows.columns == ["a", "b"]
     assert [tuple(r) for r in rows.collect()] == [("3", 'x "q", y'), ("", ""), ("7", "6")]
     (tmp_path / "empty.csv").write_text("")
@@ -68,6 +71,25 @@ def test_csv_scan_rules(spark, tmp_path):
         read_csv(spark, str(tmp_path / "empty.csv"))
 
 
+@pytest.mark.parametrize("multi_line", [False, True])
+def test_csv_rows_of_all_kinds(spark, tmp_path, multi_line):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    (folder / "1.csv").write_bytes("\ufeffid,v\r\n1,a\"b,\"\"c\"\r\r\n\"\",\"x\"\"y\"\nid,v\n".encode())
+    (folder / "2.csv").write_bytes(b"id,v\n\n2,z")
+    rows = sorted(map(tuple, read_csv(spark, str(folder), multi_line=multi_line).collect()))
+    assert rows == sorted([("1", 'ab,"c'), ("", ""), ("", 'x"y'), ("id", "v"), ("", ""), ("2", "z")])
+    (folder / "3.csv").write_bytes(b"v,id\n3,4\n")
+    with pytest.raises(ValueError, match="different headers"):
+        read_csv(spark, str(folder), multi_line=multi_line)
+
+
+def test_one_column_table_round_trip(spark, tmp_path):
+    table = spark.createDataFrame([("a",), ("",), ("b",), ('"',)], "only string").coalesce(1)
+    write_csv(table, str(tmp_path / "one"))
+    assert [r[0] for r in read_csv(spark, str(tmp_path / "one")).collect()] == ["a", "", "b", '"']
+
+
 def test_row_order_follows_the_file_across_splits(spark, tmp_path):
     (tmp_path / "big.csv").write_text("h,i,j,k,v\n" + "".join(f"g,g,j,KEY,{i}\n" for i in range(60000)))
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
