@@ -24,25 +24,12 @@ LINECOUNT_ALLOWED = ("DBA_TABLE", "DBA_TAB_COLUMNS", "USER_TAB_COLUMNS")
 HANGUL = r"[\uAC00-\uD7AF\u3130-\u318F\u1100-\u11FF]"
 
 
-def clean_name(name: Column) -> Column:
-    """Drop blanks, and commas, semicolons and closing brackets at the end."""
-    return F.regexp_replace(trim_blanks(name), "[,;)\\x00-\\x20]+\\z", "")
-
-
 def is_valid_name(name: Column) -> Column:
     """At least two characters without backticks, and not a keyword; expects a clean name."""
     bare = F.replace(name, F.lit("`"), F.lit(""))
     return (F.length(bare) > 1) & ~F.upper(bare).isin(*KEYWORDS)
 
 
-def clean_name_simple(name: Column) -> Column:
-    """Drop surrounding brackets and final separators, then everything from the first space on."""
-    opened = F.regexp_replace(trim_blanks(name), "^[(\\x00-\\x20]+", "")
-    closed = F.regexp_replace(opened, "[)\\x00-\\x20]+\\z", "")
-    ended = F.regexp_replace(closed, "[,;\\x00-\\x20]+\\z", "")
-    return F.substring_index(ended, " ", 1)
-
-
 def upper_name(name: Column) -> Column:
     """Trimmed, without double quotes, first word only, upper case."""
     bare = F.replace(trim_blanks(name), F.lit('"'), F.lit(""))

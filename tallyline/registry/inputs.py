@@ -6,7 +6,6 @@ Each derivation is one SQL text that Spark and the checking engine both run.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallyline.session import spread
 
@@ -175,14 +174,3 @@ PK_LIST_SQL = f"""SELECT table_key, pk_cols FROM (
            ord
     FROM (SELECT trim({PK_LINES_SQL}) AS line, c_custkey AS ord FROM customer) l
     WHERE line NOT LIKE '#%' AND line LIKE '%,%') e) r WHERE rn = 1"""
-
-
-def literal(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
-def lit_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
-
-__all__ = ["F", "documents", "literal", "orders_pair", "pk_lines", "run_sql", "scripts", "select", "table"]

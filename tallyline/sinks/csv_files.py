@@ -16,11 +16,15 @@ def write_csv(df: DataFrame, path: str, *, mode: str = "errorifexists") -> None:
     """A CSV folder with a header in every part, for readers that take part files singly.
 
     Spark's CSV writer turns a line break inside a value into the line ending in
-    use; it is ``\\n`` here so that values keep theirs.
+    use; it is ``\\n`` here so that values keep theirs. An empty value of a
+    one-column table is written as two quotes, as the writer leaves out what
+    would be a blank line.
     """
+    alone = len(df.columns) == 1
+    rows = df.select(F.coalesce(F.col(f"`{df.columns[0]}`").cast("string"), F.lit("")).alias(df.columns[0])) if alone else df
     (
-        df.write.mode(mode)
-        .options(header=True, quote='"', escape='"', emptyValue="", nullValue="", lineSep=LF)
+        rows.write.mode(mode)
+        .options(header=True, quote='"', escape='"', emptyValue='""' if alone else "", nullValue="", lineSep=LF)
         .options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
         .csv(path)
     )

@@ -14,48 +14,32 @@ from tallyline.plans import scripts as jobs
 
 SAMPLE = """-- STEP001
 BEGIN
-    INSERT INTO DM.`서비스1`
-    SELECT *
-    FROM DW.RED_CARE_SALES
-    WHERE `파티션일자` = CURRENT_DATE();
+    INSERT INTO MART.`주문합계` (day, total)
+    SELECT o.day, SUM(o.amount) AS total FROM RAW.ORDER_LINES o GROUP BY o.day;
 END;
 
 -- STEP002
 BEGIN
-    MERGE INTO DM.`마스터가입자1` AS T
-    USING DW.`서비스멤버1` AS S
-    ON T.id = S.id
-    WHEN MATCHED THEN UPDATE SET T.name = S.name;
+    MERGE INTO MART.`고객명부` c USING RAW.`신규고객` n ON c.no = n.no
+    WHEN NOT MATCHED THEN INSERT (no) VALUES (n.no);
 END;
 
 /* STEP003 */
 BEGIN
-    UPDATE DM.`서비스1`
-    SET status = 'ACTIVE'
-    WHERE EXISTS (
-        SELECT 1 FROM DW.`마스터가입자1`
-        WHERE DW.`마스터가입자1`.id = DM.`서비스1`.id
-    );
+    UPDATE MART.`주문합계` SET closed = 1
+    WHERE day IN (SELECT h.day FROM RAW.`휴일달력` h);
 END;
 """
 
 CTE = """/* STEP005 */
 BEGIN
-    INSERT INTO DM.`요약01`
-    WITH `모수`  AS
-    (
-    SELECT TIME_START
-    , ENT_ID AS entId
-    FROM DW.`기지국05` AS N1
-    WHERE N1.COL1 = 'A'
-    ) ,
-    MOSU2 AS
-    (
-    SELECT TIME_START
-    FROM DW.`부서05` AS N1
+    INSERT INTO MART.`창고요약`
+    WITH `대상` AS (
+        SELECT no, name FROM RAW.`점포` p WHERE p.open = 1
+    ), HOLDINGS AS (
+        SELECT no FROM RAW.`창고재고`
     )
-    SELECT TIME_START
-    FROM `모수`
+    SELECT no FROM `대상`
 END;"""
 
 
@@ -66,12 +50,12 @@ def tables(spark, sql, rules="std"):
 
 
 STD_CASES = {
-    "sample": (SAMPLE, ["DW.RED_CARE_SALES", "DW.`마스터가입자1`", "DW.`서비스멤버1`"], ["DM.`마스터가입자1`", "DM.`서비스1`"]),
-    "cte": (CTE, ["DW.`기지국05`", "DW.`부서05`"], ["DM.`요약01`"]),
-    "merge": ("MERGE INTO DM.일별카드발급현황 AS T\n USING DW.카드목록 AS S ON T.id = S.id", ["DW.카드목록"], ["DM.일별카드발급현황"]),
+    "sample": (SAMPLE, ["RAW.ORDER_LINES", "RAW.`신규고객`", "RAW.`휴일달력`"], ["MART.`고객명부`", "MART.`주문합계`"]),
+    "cte": (CTE, ["RAW.`점포`", "RAW.`창고재고`"], ["MART.`창고요약`"]),
+    "merge": ("merge into MART.재고현황 s using RAW.입고 i on s.no = i.no", ["RAW.입고"], ["MART.재고현황"]),
     "comma": (
-        "INSERT INTO BM.`회사`\nSELECT *\n FROM DW.`회사목록` N1\n  , DW.`사무실` N2\n WHERE N1.회사ID = N2.회사ID;",
-        ["DW.`사무실`", "DW.`회사목록`"], ["BM.`회사`"],
+        "insert into MART.`배송` select 1\nfrom RAW.`주문` o,\n  RAW.`택배사` t where o.t = t.no;",
+        ["RAW.`주문`", "RAW.`택배사`"], ["MART.`배송`"],
     ),
     "quirks": (
         "DELETE FROM a.b WHERE x=1; DELETE c.d WHERE 1=1; select extract(day from ts) from `p`.`q`; select * from withdraw.x, y.z where 1",
@@ -143,8 +127,6 @@ def test_stats(spark):
 @pytest.mark.parametrize(
     ("expression", "text", "expected"),
     [
-        (N.clean_name, " a.b ,;) \r\n", "a.b"),
-        (N.clean_name_simple, "( (a.b) x)", "a.b)"),
         (N.upper_name, ' "dw".t1 ', "DW.T1"),
         (N.table_key, " dw.`a` ", "DW.A"),
         (N.base_name, "a.b.`c`", "c"),
@@ -177,13 +159,13 @@ def sample(spark, *extra):
 def test_steps(spark):
     rows = S.step_tables(sample(spark)).orderBy("step_ord").collect()
     assert [(r["step_ord"], r["step"], r["sources"], r["targets"]) for r in rows] == [
-        (1, "STEP001", ["DW.RED_CARE_SALES"], ["DM.`서비스1`"]),
-        (2, "STEP002", ["DW.`서비스멤버1`"], ["DM.`마스터가입자1`"]),
-        (3, "STEP003", ["DW.`마스터가입자1`"], ["DM.`서비스1`"]),
+        (1, "STEP001", ["RAW.ORDER_LINES"], ["MART.`주문합계`"]),
+        (2, "STEP002", ["RAW.`신규고객`"], ["MART.`고객명부`"]),
+        (3, "STEP003", ["RAW.`휴일달력`"], ["MART.`주문합계`"]),
     ]
     assert S.count_steps(sample(spark)).first()["steps"] == 3
     assert [tuple(r)[-2:] for r in S.step_counts(S.step_tables(sample(spark))).collect()] == [(1, 1)] * 3
-    assert S.tables_of_step(sample(spark), "STEP002").first()["targets"] == ["DM.`마스터가입자1`"]
+    assert S.tables_of_step(sample(spark), "STEP002").first()["targets"] == ["MART.`고객명부`"]
 
 
 def test_repeated_and_empty_steps(spark):
@@ -199,7 +181,7 @@ def test_step_summary_merges_same_names(spark):
     bar = "=" * 60
     assert rows["n.sql"]["steps"] == "" and rows["n.sql"]["total_steps"] == 0
     assert rows["sample.sql"]["total_steps"] == 4
-    assert rows["sample.sql"]["source_tables"] == "DW.RED_CARE_SALES; DW.`마스터가입자1`; DW.`서비스멤버1`; zz"
+    assert rows["sample.sql"]["source_tables"] == "RAW.ORDER_LINES; RAW.`신규고객`; RAW.`휴일달력`; zz"
     assert rows["sample.sql"]["steps"].endswith(
         f"\n\n\n{bar}\nSTEP9\n{bar}\n[Source Tables]\nzz\n\n[Target Tables]\n(No target tables)\n"
     )
@@ -368,11 +350,11 @@ def test_lineage_job(spark, tmp_path):
     jobs.lineage_job(spark, str(corpus(tmp_path)), str(tmp_path / "out"))
     out = tmp_path / "out"
     assert (out / "sub" / "cte_sql_tables.txt").read_text(encoding="utf-8") == (
-        "[Source Tables]\nDW.`기지국05`\nDW.`부서05`\n\n[Target Tables]\nDM.`요약01`\n"
+        "[Source Tables]\nRAW.`점포`\nRAW.`창고재고`\n\n[Target Tables]\nMART.`창고요약`\n"
     )
-    assert text_of(out / "summary.csv").startswith("﻿File Name,Source Tables,Target Tables\ncte.sql,DW.`기지국05`; DW.`부서05`,DM.`요약01`\n")
-    assert text_of(out / "source_table_mapping.csv").splitlines()[1] == "sample.sql,DW.RED_CARE_SALES,DM.`마스터가입자1`; DM.`서비스1`"
-    assert text_of(out / "target_table_mapping.csv").splitlines()[-1] == "cte.sql,DM.`요약01`,DW.`기지국05`; DW.`부서05`"
+    assert text_of(out / "summary.csv").startswith("﻿File Name,Source Tables,Target Tables\ncte.sql,RAW.`점포`; RAW.`창고재고`,MART.`창고요약`\n")
+    assert text_of(out / "source_table_mapping.csv").splitlines()[1] == "sample.sql,RAW.ORDER_LINES,MART.`고객명부`; MART.`주문합계`"
+    assert text_of(out / "target_table_mapping.csv").splitlines()[-1] == "cte.sql,MART.`창고요약`,RAW.`점포`; RAW.`창고재고`"
 
 
 def test_step_check_and_scan_jobs(spark, tmp_path):
@@ -380,9 +362,9 @@ def test_step_check_and_scan_jobs(spark, tmp_path):
     jobs.step_job(spark, str(root), str(tmp_path / "steps"))
     assert (tmp_path / "steps" / "sample_step_tables.txt").exists()
     assert text_of(tmp_path / "steps" / "step_summary.csv").startswith("﻿File Name,Source Tables,Target Tables,Steps,Total Steps\n")
-    (tmp_path / "pk.list").write_text("DW.red_care_sales,k1,k2")
+    (tmp_path / "pk.list").write_text("raw.order_lines,k1,k2")
     assert jobs.check_job(spark, str(root), str(tmp_path / "checks"), pk_list=str(tmp_path / "pk.list"))[0] == 4
-    assert "select k1,k2,count(1) from DW.RED_CARE_SALES" in (tmp_path / "checks" / "sample_bq.sql").read_text(encoding="utf-8")
+    assert "select k1,k2,count(1) from RAW.ORDER_LINES" in (tmp_path / "checks" / "sample_bq.sql").read_text(encoding="utf-8")
     assert jobs.scan_job(spark, str(root), str(tmp_path / "scan"), charset="UTF-8")[0] == 3
     assert (tmp_path / "scan" / "sub" / "other.source_target.txt").read_text() == (
         f"FILE: {root}/sub/other.SQL\n\n[Source Tables]\n  1. zz\n"
@@ -402,7 +384,7 @@ def test_line_count_and_block_jobs(spark, tmp_path):
     left_out = {(r["path"], r["reason"]) for r in small["skipped"].collect()}
     assert left_out and {reason for _, reason in left_out} == {"too large"} and len(left_out) + small["files"].count() == 4
     assert {tuple(r) for r in found["extensions"].collect()} == {("sql", 3), ("txt", 1)}
-    assert {r[0] for r in found["sources"].collect()} == {"DW.RED_CARE_SALES", "DW."}
+    assert {r[0] for r in found["sources"].collect()} == {"RAW.ORDER_LINES", "RAW."}
     totals = jobs.block_job(spark, str(root), str(tmp_path / "blocks"))["totals"].first()
     assert totals["blocks"] == 2
     assert text_of(tmp_path / "blocks" / "output.csv").splitlines()[0] == "Step,Table,Column,Condition,Alias->Original,Error"
