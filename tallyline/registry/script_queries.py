@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tallyline.functions.names import KEYWORDS
@@ -394,7 +396,7 @@ _STEPS = rf"""scripts AS ({I.SCRIPTS_SQL}),
   steps AS (SELECT path, name, row_number() OVER (PARTITION BY path ORDER BY first_ord) AS step_ord, step, raw FROM named)"""
 _WITH_STEPS = f"WITH {_STEPS}, {_std_ctes('steps', 'path, name, step')}"
 # The same, with every part worked out once although it is read up to four times.
-_STORED_STEPS = _WITH_STEPS.replace(" AS (", " AS MATERIALIZED (")
+_STORED_STEPS = re.sub(r"\b([a-z_]+) AS \(", r"\1 AS MATERIALIZED (", _WITH_STEPS)
 _STEP_TABLES = f"""SELECT s.path, s.name, s.step_ord, s.step, a.tables AS src_list, b.tables AS tgt_list, a.lines AS src_lines, b.lines AS tgt_lines,
   coalesce(a.n, 0) AS n_sources, coalesce(b.n, 0) AS n_targets FROM steps s
   LEFT JOIN (SELECT path, step, string_agg(t, '; ' ORDER BY t) AS tables, string_agg(concat(t, chr(10)), '' ORDER BY t) AS lines, count(*) AS n FROM src GROUP BY 1, 2) a USING (path, step)
