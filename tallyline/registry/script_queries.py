@@ -89,6 +89,16 @@ def lineage_linecount(spark, sf):
     return _lists(L.extract_tables(_scripts(spark, sf), "linecount"))
 
 
+# Scripts of more than 600,000 characters: a comment and a WITH stand behind all of them.
+LONG_SQL = """SELECT concat('s', CAST(s_suppkey AS STRING), '.sql') AS path, concat('SELECT 1 FROM DW.`월마감`, DUAL JOIN WH_A ON 1 JOIN DW.S', CAST(s_suppkey AS STRING), chr(13), chr(10),
+  repeat('x = 1 AND ', 60000), ' /* FROM OLD.T */ INSERT INTO DM.L WITH DBA_TABLE AS (SELECT 1 FROM DW.N', CAST(s_nationkey AS STRING), ') SELECT 1 FROM DBA_TABLE') AS raw FROM supplier"""
+
+
+def lineage_linecount_long(spark, sf):
+    """Long scripts are read to their end."""
+    return _lists(L.extract_tables(I.run_sql(spark, sf, LONG_SQL, supplier="supplier"), "linecount"))
+
+
 def lineage_file_summary(spark, sf):
     return LR.file_summary(_std(spark, sf), extra=("path",))
 
@@ -278,7 +288,7 @@ def statement_split(spark, sf):
 QUERIES = {
     q.__name__: q
     for q in (
-        lineage_targets, lineage_delete_nofrom, lineage_sources, lineage_with_from, lineage_comma_join,
+        lineage_targets, lineage_linecount_long, lineage_delete_nofrom, lineage_sources, lineage_with_from, lineage_comma_join,
         lineage_cte_names, lineage_tables, lineage_long, lineage_scan, lineage_simple, lineage_linecount,
         lineage_file_summary, lineage_source_map, lineage_target_map, lineage_source_map_by_path, lineage_counts,
         distinct_sources, lineage_file_text, lineage_numbered_text, step_split, step_count, step_tables, step_lookup,
@@ -601,6 +611,9 @@ ORACLES = {
     "lineage_file_text": f"""{_WITH_STD} SELECT s.path, concat('[Source Tables]', chr(10), coalesce(a.lines, ''), chr(10),
       '[Target Tables]', chr(10), coalesce(b.lines, '')) AS content
       FROM scripts s LEFT JOIN {_listing('src')} a USING (path) LEFT JOIN {_listing('tgt')} b USING (path)""",
+    "lineage_linecount_long": """SELECT concat('s', CAST(s_suppkey AS VARCHAR), '.sql') AS path,
+      list_aggregate(list_sort(['DW.', concat('DW.S', CAST(s_suppkey AS VARCHAR)), concat('DW.N', CAST(s_nationkey AS VARCHAR))]), 'string_agg', '; ') AS sources,
+      'DM.L' AS targets FROM supplier""",
     "lineage_numbered_text": f"""{_WITH_SCAN} SELECT s.path, concat('FILE: ', s.path, chr(10), chr(10),
       CASE WHEN b.lines IS NULL THEN '' ELSE concat('[Target Tables]', chr(10), b.lines, chr(10)) END,
       CASE WHEN a.lines IS NULL THEN '' ELSE concat('[Source Tables]', chr(10), a.lines) END) AS content

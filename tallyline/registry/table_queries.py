@@ -92,6 +92,20 @@ def csv_scan(spark, sf):
     return read_csv(spark, path, multi_line=True)
 
 
+LINES_SQL = """SELECT CASE WHEN c_custkey % 4 = 0 THEN '' WHEN c_custkey % 4 = 1 THEN concat('k', CAST(c_custkey AS STRING), ',a"b, ""', c_name, repeat(chr(34), 3))
+  WHEN c_custkey % 4 = 2 THEN concat('"k', CAST(c_custkey AS STRING), '"') ELSE concat('k', CAST(c_custkey AS STRING), ',', c_mktsegment, ',extra') END AS value
+  FROM customer"""
+
+
+def csv_line_scan(spark, sf):
+    """Files read by line: blank and short rows, quotes in mid-field, extra fields, a header in each file."""
+    path = scratch_path(spark, "csv-lines")
+    rows = I.run_sql(spark, sf, LINES_SQL, customer="customer").repartition(3)
+    headed = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.array_join(F.collect_list("value"), "\n").alias("value"))
+    headed.select(F.concat(F.lit("id,note\n"), "value").alias("value")).repartition("value").write.text(path)
+    return read_csv(spark, path)
+
+
 def csv_report_lines(spark, sf):
     """The ordered report read back as raw lines (the customers without line breaks)."""
     rows = I.run_sql(spark, sf, AWKWARD_SQL, customer="customer").withColumn("segment", F.replace("segment", F.lit("\n"), F.lit("|")))
@@ -168,7 +182,7 @@ QUERIES = {
     q.__name__: q
     for q in (
         check_rows, check_rows_at_date, check_count, check_count_at_date, check_count_by_date, check_pk_duplicates,
-        check_summary, pivot_eav, pivot_excel_guard, csv_scan, csv_report_lines, eav_arity_filter, eav_scan,
+        check_summary, pivot_eav, pivot_excel_guard, csv_scan, csv_line_scan, csv_report_lines, eav_arity_filter, eav_scan,
         pk_list_parse, pk_list_scan, pk_lookup,
     )
 } | {"run_script": run_script_query}
@@ -187,6 +201,8 @@ ORACLES = {
       CASE WHEN click <> '' THEN concat('="', click, '"') ELSE click END AS click,
       CASE WHEN view <> '' THEN concat('="', view, '"') ELSE view END AS view FROM ({_PIVOT_SQL})""",
     "csv_scan": _AWKWARD,
+    "csv_line_scan": """SELECT CASE WHEN c_custkey % 4 = 0 THEN '' ELSE concat('k', CAST(c_custkey AS VARCHAR)) END AS id,
+      CASE WHEN c_custkey % 4 = 1 THEN concat('ab, "', c_name, '"') WHEN c_custkey % 4 = 3 THEN c_mktsegment ELSE '' END AS note FROM customer""",
     "csv_report_lines": f"""SELECT 'id,name,segment' AS value UNION ALL
       SELECT concat(id, ',"', replace(name, '"', '""'), '",', replace(segment, chr(10), '|')) FROM ({_AWKWARD})""",
     "eav_arity_filter": _EAV_ORACLE.format(extra=", event_id"),

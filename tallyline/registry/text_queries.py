@@ -10,7 +10,7 @@ from tallyline.operators.line_stats import extension_counts
 from tallyline.registry import inputs as I
 from tallyline.session import charset_support, scratch_path
 from tallyline.sinks.file_tree import write_files
-from tallyline.sources.scripts import decode_text, encode_text, read_scripts
+from tallyline.sources.scripts import decode_text, encode_text, read_scripts, skipped_scripts
 
 # Every turn of a conversation is a file; one in five has another extension.
 FILES_SQL = """SELECT concat('c', CAST(conv_id % 10 AS STRING), '/', CAST(conv_id AS STRING), '_', CAST(turn AS STRING),
@@ -33,6 +33,15 @@ def corpus_scan_any_case(spark, sf):
     return read_scripts(spark, _write_turns(spark, sf), glob="*.[sS][qQ][lL]", max_bytes=400)
 
 
+def corpus_skipped(spark, sf):
+    """What a strict scan with a size limit leaves out, and why."""
+    root = scratch_path(spark, "corpus")
+    turns = I.run_sql(spark, sf, FILES_SQL, conversations="conversations")
+    content = F.when(F.col("text").contains("a"), F.encode("text", "UTF-8")).otherwise(F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FF"))))
+    write_files(turns, root, F.col("path"), content)
+    return skipped_scripts(spark, root, strict=True, max_bytes=400)
+
+
 def decode_replaced(spark, sf):
     """Every text as bytes with a bad byte at the end."""
     docs = I.documents(spark, sf, "doc_id, concat(encode(text, 'UTF-8'), X'FF') AS content")
@@ -101,7 +110,7 @@ def ext_counts(spark, sf):
 QUERIES = {
     q.__name__: q
     for q in (
-        corpus_scan, corpus_scan_any_case, decode_replaced, decode_strict, text_transcode, sql_strip_comments,
+        corpus_scan, corpus_scan_any_case, corpus_skipped, decode_replaced, decode_strict, text_transcode, sql_strip_comments,
         strip_comment_backticks, text_trailing_spaces, text_tabs_to_spaces, sql_statistics,
         sql_statistics_documents, ext_counts,
     )
@@ -123,6 +132,9 @@ ORACLES = {
       FROM ({FILES_SQL}) WHERE path LIKE '%.sql'""",
     "corpus_scan_any_case": f"""SELECT path, split_part(path, '/', 2) AS name, strlen(text) AS length, text AS raw
       FROM ({FILES_SQL}) WHERE lower(path) LIKE '%.sql' AND strlen(text) <= 400""",
+    "corpus_skipped": f"""SELECT path, length, CASE WHEN length > 400 THEN 'too large' ELSE 'not UTF-8' END AS reason FROM (
+      SELECT path, strlen(text) + CASE WHEN contains(text, 'a') THEN 0 ELSE 1 END AS length, NOT contains(text, 'a') AS bad FROM ({FILES_SQL}) WHERE path LIKE '%.sql')
+      WHERE length > 400 OR bad""",
     "decode_replaced": "SELECT doc_id, concat(text, chr(65533)) AS text FROM documents",
     "decode_strict": "SELECT doc_id, text FROM documents WHERE doc_id % 3 <> 0",
     "text_transcode": r"SELECT doc_id, regexp_replace(text, '[^\x{00}-\x{FF}]', '?', 'g') AS text FROM documents",
