@@ -102,7 +102,7 @@ def csv_line_scan(spark, sf):
     path = scratch_path(spark, "csv-lines")
     rows = I.run_sql(spark, sf, LINES_SQL, customer="customer").repartition(3)
     headed = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.array_join(F.collect_list("value"), "\n").alias("value"))
-    headed.select(F.concat(F.lit("id,note\n"), "value").alias("value")).repartition("value").write.text(path)
+    headed.select("part", F.concat(F.lit("id,note\n"), "value").alias("value")).write.partitionBy("part").text(path)
     return read_csv(spark, path)
 
 
