@@ -214,10 +214,10 @@ def _hash(text: str) -> int:
 
 
 def parsed_pages(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
-    """Stored rows ``row``, ``page_id``, ``url``, ``host``, ``path``, ``article`` (text of marked lines), ``unmarked`` (lines), ``outside``, ``open``.
+    """Rows ``row``, ``page_id``, ``url``, ``host``, ``path``, ``article`` (text of marked lines), ``unmarked`` (lines), ``outside``, ``open``.
 
-    ``outside`` has a hash per line that is not in an article element, in page order; ``open`` has the place in it of
-    every unmarked line. Whole pages are read; null is an empty page.
+    ``row`` is a 64-bit hash of the page's id, URL and markup. ``outside`` has a hash per line that is not in an article
+    element, in page order; ``open`` has the place in it of every unmarked line. Whole pages are read; null is an empty page.
     """
 
     @F.arrow_udf("struct<article:string,marked:boolean,unmarked:array<string>,outside:array<bigint>,open:array<int>>")
@@ -242,10 +242,10 @@ def parsed_pages(pages: DataFrame, id_column: str = "page_id", url_column: str =
     url = F.col(f"`{url_column}`").cast("string")
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract(F.coalesce(url, F.lit("")), "^[^?#/]*//[^/?#]*([^?#]*)", 1)
-    rows = pages.select(
-        F.col(f"`{id_column}`").alias("page_id"), F.col(f"`{url_column}`").alias("url"), host.alias("host"), path.alias("path"), parse(F.col(f"`{html_column}`").cast("string")).alias("p")
-    )
-    return materialize(rows.select("page_id", "url", "host", "path", "p.*").withColumn("row", F.monotonically_increasing_id()), "parsed")
+    own, html_text = F.col(f"`{id_column}`"), F.col(f"`{html_column}`").cast("string")
+    told = [F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-")) for c in (own, url, html_text)]
+    rows = pages.select(F.xxhash64(*told).alias("row"), own.alias("page_id"), F.col(f"`{url_column}`").alias("url"), host.alias("host"), path.alias("path"), parse(html_text).alias("p"))
+    return rows.select("row", "page_id", "url", "host", "path", "p.*")
 
 
 def _alike(a: Column, b: Column) -> Column:
@@ -278,17 +278,21 @@ def main_texts(pages: DataFrame, id_column: str = "page_id", url_column: str = "
     Every page is aligned with the page of the nearest URL by a longest common subsequence of the lines outside article
     elements. Lines of article and main elements are text; lines of navigation, notices, adverts, forms and the like are
     not. Where a page marks no article, its unmarked lines are text unless the neighbour shares them; if nearly all are
-    shared the two are versions of one page and all stay. Null and empty pages give an empty text; repeated rows are pages
-    of their own; other columns are ignored; no pages give no rows.
+    shared the two are versions of one page and all stay. Null and empty pages give an empty text; rows that repeat a page
+    are no neighbours of each other and get the same text; other columns are ignored; no pages give no rows.
+
+    Pages are parsed twice, once for the hashes of their lines, which are stored, and once for their texts, which are
+    shuffled once and never stored.
     """
     parsed = parsed_pages(pages, id_column, url_column, html_column)
+    lines = materialize(parsed.select("row", "host", "path", "outside").dropDuplicates(["row"]), "lines")
 
     @F.arrow_udf("array<boolean>")
     def align(own: pa.Array, other: pa.Array) -> pa.Array:
         return pa.array([shared_lines(a.as_py(), b.as_py()).tolist() for a, b in zip(own, other)], pa.list_(pa.bool_()))
 
-    lines = parsed.select("row", "outside")
-    paired = lines.join(neighbours(parsed), "row").join(lines.toDF("near", "theirs"), "near")
+    hashes = lines.select("row", "outside")
+    paired = hashes.join(neighbours(lines), "row").join(hashes.toDF("near", "theirs"), "near")
     aligned = paired.select("row", align("outside", "theirs").alias("shared"))
     joined = parsed.join(aligned, "row", "left").withColumn("hit", F.transform("open", lambda k: F.coalesce(F.get("shared", k), F.lit(False))))
     n_hit = F.size(F.filter("hit", lambda x: x))
