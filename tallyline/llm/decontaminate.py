@@ -15,6 +15,8 @@ from tallyline.session import materialize
 WINDOW = 10
 #: The term filter sent to the tasks has this many one-byte slots, whatever the size of the benchmark.
 FILTER_BITS = 20
+#: Parts of a posting list, by document.
+LIST_PARTS = 64
 _UNUSED = 255
 
 
@@ -103,9 +105,13 @@ def postings(docs: DataFrame, terms: DataFrame, id_column: str = "doc_id", text_
 
 
 def inverted_index(rows: DataFrame) -> DataFrame:
-    """``term``, ``doc``, ``pos``: the posting lists, grouped by term and in document order, as a stored table."""
+    """``term``, ``doc``, ``pos``: the posting lists, in document order, as a stored table.
+
+    Lists are cut into ``LIST_PARTS`` by document, so that a very common term fills several tasks.
+    """
     lists = rows.select("doc", F.inline(F.arrays_zip("term", "pos"))).select("term", "doc", "pos")
-    return materialize(lists.repartition("term").sortWithinPartitions("term", "doc", "pos"), "index")
+    dealt = lists.repartition("term", F.pmod(F.xxhash64("doc"), F.lit(LIST_PARTS)))
+    return materialize(dealt.sortWithinPartitions("term", "doc", "pos"), "index")
 
 
 def _anchors(terms: DataFrame, index: DataFrame, window: int) -> DataFrame:
