@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm.words import SPACE_BREAKS, Block, hash_words, word_blocks
+from tallyline.llm.words import SPACE_BREAKS, Block, hash_words, row_slices, word_blocks
 from tallyline.session import materialize
 
 FEATURE_BITS = 16
@@ -18,6 +18,8 @@ FEATURE_BITS = 16
 TRAINING_ROWS = 20_000
 ROUNDS = 40
 _STEP, _DECAY = 0.5, 1e-5
+#: Bytes of text whose features are in memory at once; a longer text counts alone.
+_SLICE = 4 << 20
 
 # Classes of bytes for word shapes: a run of one class counts once.
 _SHAPE = np.arange(256, dtype=np.uint8)
@@ -119,8 +121,9 @@ def profiles(docs: DataFrame, text: Column, *keep: Column) -> DataFrame:
     @F.arrow_udf("struct<" + ",".join(f"{c}:bigint" for c in _COUNTS) + ">")
     def count(texts: pa.Array) -> pa.Array:
         total = np.zeros((len(texts), len(_COUNTS)), dtype=np.int64)
-        for block in _blocks(texts):
-            total += _block_counts(block, len(texts))
+        for first, part in row_slices(texts, _SLICE):
+            for block in _blocks(part):
+                total[first : first + len(part)] += _block_counts(block, len(part))
         return pa.StructArray.from_arrays([pa.array(total[:, k]) for k in range(len(_COUNTS))], names=list(_COUNTS))
 
     return docs.select(*keep, count(text.cast("string")).alias("counts")).select("*", "counts.*").drop("counts")
@@ -258,8 +261,7 @@ def train_scorer(sample: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
 def score(text: Column, weights: np.ndarray) -> Column:
     """Probability of a good text; null and empty texts get that of the bias alone."""
 
-    @F.arrow_udf("double")
-    def scored(texts: pa.Array) -> pa.Array:
+    def of(texts: pa.Array) -> np.ndarray:
         count = len(texts)
         # Counts of a slot join before they are squared, so rows are put together over all blocks of a batch.
         parts = []
@@ -273,7 +275,12 @@ def score(text: Column, weights: np.ndarray) -> Column:
         row, slot = key >> FEATURE_BITS, key & ((1 << FEATURE_BITS) - 1)
         norm = np.sqrt(np.maximum(np.bincount(row, weights=n * n, minlength=count), 1e-12))
         total = np.bincount(row, weights=weights[slot] * n, minlength=count) / norm + weights[-1]
-        return pa.array(1 / (1 + np.exp(-total)), pa.float64())
+        return 1 / (1 + np.exp(-total))
+
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        parts = [of(part) for _, part in row_slices(texts, _SLICE)]
+        return pa.array(np.concatenate(parts) if parts else np.empty(0), pa.float64())
 
     return scored(text.cast("string"))
 
