@@ -20,7 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near duplicates stays: five-word shingles, similarity of about 0.8 and more."""
+    """One document of every group of near duplicates stays: five-word shingles, similarity of 0.8 and more."""
     return simhash.deduplicate_similar(docs)
 
 

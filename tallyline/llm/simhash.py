@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -187,28 +188,50 @@ def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 
 #: Long fingerprints: 64-bit words, and bits and number of the segments that are looked up.
-WIDE_WORDS, SEGMENT_BITS, SEGMENTS = 8, 24, 21
-#: Bits of a long fingerprint that may differ: texts with a Jaccard similarity of 0.8 differ in 78 on average, of 0.7 in 98.
-WIDE_DISTANCE = 84
+WIDE_WORDS, SEGMENT_BITS, SEGMENTS = 8, 20, 25
+#: Bits in which candidates may differ: texts with a Jaccard similarity of 0.8 differ in 78 on average (standard
+#: deviation 8), sets of a handful of shingles in up to 96. Shingle sets decide, not this distance.
+WIDE_DISTANCE = 120
+#: Least Jaccard similarity of linked texts, as a fraction.
+SIMILAR = (4, 5)
+#: Nodes up to which the list of texts to be compared is sent to the tasks.
+SENT_NODES = 200_000
 #: Values under one key from which on one of them stands for those close to it.
 WIDE_CROWD = 4
-#: Of the first 64 bits, similar texts differ in 10 on average (3 standard deviations: 19), unrelated ones in 32.
-LIKELY_BITS = 24
+#: Of the first 64 bits, similar texts differ in 10 on average (4 standard deviations: 21), unrelated ones in 32.
+LIKELY_BITS = 22
 _SPREAD = (np.arange(WIDE_WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
 
 
-def _wide(text: str | None, words_in_shingle: int) -> np.ndarray:
+def _shingles(text: str | None, words_in_shingle: int) -> np.ndarray:
+    """The different shingles of a text, as sorted hashes."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return np.zeros(WIDE_WORDS, dtype=np.uint64)
+        return np.empty(0, dtype=np.uint64)
     joined = b" ".join(words)
     if len(words) <= words_in_shingle:
-        values = np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype=np.uint64)
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = np.concatenate(([0], ends[:-1]))
-        digest = xxhash.xxh64_intdigest
-        values = np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), (ends[words_in_shingle - 1 :] - 1).tolist())], dtype=np.uint64))
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype=np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = np.concatenate(([0], ends[:-1]))
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), (ends[words_in_shingle - 1 :] - 1).tolist())], dtype=np.uint64))
+
+
+def shingle_set(text: Column, words_in_shingle: int = 5) -> Column:
+    """The different shingles of a text, as sorted hashes; words and shingles as in ``fingerprint``."""
+
+    @F.arrow_udf("array<bigint>")
+    def shingles(texts: pa.Array) -> pa.Array:
+        sets = [_shingles(t.as_py(), words_in_shingle).view(np.int64) for t in texts]
+        return pa.array(sets, pa.list_(pa.int64()))
+
+    return shingles(text.cast("string"))
+
+
+def _wide(text: str | None, words_in_shingle: int) -> np.ndarray:
+    values = _shingles(text, words_in_shingle)
+    if not len(values):
+        return np.zeros(WIDE_WORDS, dtype=np.uint64)
     ones = np.zeros(64 * WIDE_WORDS, dtype=np.int64)
     for at in range(0, len(values), 255 * 16):
         part = mix(values[at : at + 255 * 16, None] + _SPREAD).astype(">u8").view(np.uint8).reshape(-1, 8 * WIDE_WORDS)
@@ -239,13 +262,25 @@ def wide_fingerprint(text: Column, words_in_shingle: int = 5) -> Column:
     return wide(text.cast("string"))
 
 
-def similar_pairs(prints: DataFrame, distance: int = WIDE_DISTANCE, crowd: int = WIDE_CROWD) -> DataFrame:
-    """Links ``a``, ``b`` that connect the values of ``prints`` (``fp``, ``wide``, ``keys``) at most ``distance`` bits apart.
+def _similar_sets(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The pairs whose shingle sets have a Jaccard similarity of at least ``SIMILAR``; sets are made for their nodes only."""
+    pairs = materialize(pairs, "candidates")
+    nodes = materialize(pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct(), "nodes")
+    found = materialize(sets(nodes).select("fp", "shingles"), "shingles")
+    both = pairs.join(found.toDF("a", "set_a"), "a").join(found.toDF("b", "set_b"), "b")
+    part, whole = SIMILAR
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    return both.where(common * (part + whole) >= (F.size("set_a") + F.size("set_b")) * part).select("a", "b")
+
+
+def similar_pairs(prints: DataFrame, distance: int = WIDE_DISTANCE, crowd: int = WIDE_CROWD, sets: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Links ``a``, ``b`` that connect the similar values of ``prints`` (``fp``, ``wide``, ``keys``).
 
     ``fp`` is the first 64 bits of ``wide`` and unique. Every value is filed under its segments and looks up, in each,
     its own key and those one bit away (of these the half that sets the bit, as the other value looks up the rest). Of
-    texts with a Jaccard similarity of 0.8, 0.85 and 0.9 that finds about 90, 98 and 99.9 in a hundred; full distances
-    verify what is met.
+    texts with a Jaccard similarity of 0.8 and 0.85 that meets about 99.1 and 99.9 in a hundred. Those at most
+    ``distance`` bits apart are candidates; ``sets``, given nodes (``fp``), returns their ``shingles``, and candidates
+    are linked if these have a similarity of at least ``SIMILAR``. Without ``sets`` all candidates are linked.
 
     Copies that share a key must not become pairs. A key with more than ``crowd`` values is compared with its least
     value, which then stands for all that are close to it; the others are compared with all values of the key. Where a
@@ -261,7 +296,8 @@ def similar_pairs(prints: DataFrame, distance: int = WIDE_DISTANCE, crowd: int =
         pairs = met.where(F.col("fp") != F.col("other")).where(likely).select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
         both = pairs.join(wide.toDF("a", "wide_a"), "a").join(wide.toDF("b", "wide_b"), "b")
         apart = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
-        return both.where(apart <= distance).select("a", "b")
+        close = both.where(apart <= distance).select("a", "b")
+        return close if sets is None else _similar_sets(close, sets)
 
     def without(met: DataFrame, links: DataFrame) -> DataFrame:
         known = links.toDF("fp", "other").unionByName(links.toDF("other", "fp"))
@@ -291,20 +327,27 @@ def similar_pairs(prints: DataFrame, distance: int = WIDE_DISTANCE, crowd: int =
 
 
 def deduplicate_similar(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words_in_shingle: int = 5) -> DataFrame:
-    """One row of every group of texts that long fingerprints link (similarity of about 0.8 and more), with all columns.
+    """One row of every group of texts linked by a Jaccard similarity of 0.8 and more, with all columns.
 
-    The row with the smallest id stays (a null id only if there is no other); rows that repeat its id and fingerprint go
+    Long fingerprints find the candidates, their shingle sets decide. The row with the smallest id stays (a null id only if there is no other); rows that repeat its id and fingerprint go
     too. Texts that agree in the first 64 bits are one node. Null and empty texts are copies of each other.
     """
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_column}`").alias("doc_id"), wide_fingerprint(F.col(f"`{text_column}`"), words_in_shingle).alias("w")
     )
-    rows = materialize(rows.select("row", "doc_id", F.get("w.wide", F.lit(0)).alias("fp"), "w.wide", "w.keys"), "prints")
+    rows = materialize(rows.select("row", "doc_id", F.get("w.wide", F.lit(0)).alias("fp"), "w.wide", "w.keys").withColumn("place", F.monotonically_increasing_id()), "prints")
     firsts = rows.groupBy("fp").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("first"), F.min(F.struct("wide", "keys")).alias("own")
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("first"), F.min(F.struct("wide", "keys", "place")).alias("own")
     )
     firsts = materialize(firsts, "firsts")
-    components = connected_components(similar_pairs(firsts.select("fp", "own.*")))
+
+    def sets(nodes: DataFrame) -> DataFrame:
+        places = firsts.select("fp", "own.place").join(nodes, "fp", "left_semi")
+        small = nodes.count() <= SENT_NODES
+        texts = rows.select("place", F.col(f"row.`{text_column}`").alias("text")).join(F.broadcast(places) if small else places, "place")
+        return texts.select("fp", shingle_set(F.col("text"), words_in_shingle).alias("shingles"))
+
+    components = connected_components(similar_pairs(firsts.select("fp", "own.wide", "own.keys"), sets=sets))
     placed = firsts.select("fp", "first").join(components.select(F.col("node").alias("fp"), "root"), "fp", "left")
     kept = placed.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select("first.doc_id", "first.fp")
     chosen = rows.select("row", "doc_id", "fp").alias("r").join(kept.alias("k"), F.expr("r.fp = k.fp and r.doc_id <=> k.doc_id"), "left_semi")

@@ -118,3 +118,24 @@ def test_crowded_keys_of_long_fingerprints_give_the_same_components(spark):
         nodes = S.connected_components(S.similar_pairs(prints, crowd=crowd))
         groups.append({(r["node"], r["root"]) for r in nodes.collect()})
     assert groups[0] == groups[1] == groups[2] and len({r for _, r in groups[0]}) == 8
+
+
+def test_similar_texts_are_told_by_their_shingle_sets(spark):
+    pick = random.Random(9)
+    word = lambda: "".join(pick.choice("abcdefghijklm") for _ in range(7))
+    wanted, rows = {}, []
+    for k in range(300):
+        n = pick.choice([12, 40, 300])
+        base = [word() for _ in range(n + 4)]
+        # A tail of m new words leaves n - m shingles in common: similarity (n - m) / (n + m).
+        m = round(n * (1 - s) / (1 + s)) if (s := 0.76 + 0.09 * k / 299) else 0
+        other = base[: len(base) - m] + [word() for _ in range(m)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+        one, two = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (base, other))
+        wanted[k] = len(one & two) / len(one | two)
+    kept = {r["doc_id"] for r in S.deduplicate_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(2 * k in kept for k in wanted)
+    found = {k for k in wanted if 2 * k + 1 not in kept}
+    similar = {k for k, s in wanted.items() if s >= 0.8}
+    assert found <= similar and len(similar - found) <= 0.03 * len(similar)
+    assert len(similar) > 100 and len(wanted) - len(similar) > 100
