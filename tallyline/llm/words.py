@@ -72,8 +72,12 @@ def hash_words(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix(np.add.reduceat(value, first) + length.astype(np.uint64))
 
 
-def _pieces(offsets: np.ndarray, raw: np.ndarray, breaks: np.ndarray, block: int) -> Iterator[tuple[int, int, int, int]]:
-    """(first row, last row, from, to) of each block; blocks end at row ends or, in a long row, at a break byte."""
+def _pieces(offsets: np.ndarray, raw: np.ndarray, breaks: np.ndarray, block: int, lower: bool) -> Iterator[tuple[int, int, int, int]]:
+    """(first row, last row, from, to) of each block; blocks end at row ends or, in a long row, at a break byte.
+
+    ``breaks`` holds for lower-case bytes if ``lower``, so A-Z are looked up as a-z.
+    """
+    breaks = breaks[LOWER] if lower else breaks
     row, at, rows = 0, int(offsets[0]), len(offsets) - 1
     while row < rows:
         stop = int(np.searchsorted(offsets, at + block, side="right")) - 1
@@ -106,7 +110,7 @@ def word_blocks(texts: pa.Array, breaks: np.ndarray = SPACE_BREAKS, block: int =
     if offsets[-1] == offsets[0]:
         return
     raw = np.frombuffer(data, dtype=np.uint8)
-    for first, last, begin, end in _pieces(offsets, raw, breaks, block):
+    for first, last, begin, end in _pieces(offsets, raw, breaks, block, lower):
         part = LOWER[raw[begin:end]] if lower else raw[begin:end]
         if not len(part):
             continue

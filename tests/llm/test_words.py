@@ -60,3 +60,12 @@ def test_connected_components(spark):
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a int, b int")).collect()}
     assert got == {n: find(n) for n in root}
     assert connected_components(spark.createDataFrame([], "a int, b int")).count() == 0
+
+
+def test_words_with_capitals_are_whole_whatever_the_block():
+    array = pa.array(["HELLO iPhone McDonald", "ab CDEFGHIJKLM-nO 9Z", "é9ÄB tail"])
+    whole = [(int(r), bytes(b.raw[s:e])) for b in word_blocks(array, SIGN_BREAKS) for r, s, e in zip(b.row, b.start, b.end)]
+    assert (0, b"mcdonald") in whole and (1, b"cdefghijklm") in whole
+    for block in (3, 8):
+        found = [(int(r), bytes(b.raw[s:e])) for b in word_blocks(array, SIGN_BREAKS, block=block) for r, s, e in zip(b.row, b.start, b.end)]
+        assert found == whole
