@@ -17,7 +17,7 @@ from tallyline.session import materialize
 
 #: Where a line stands: in an element that is never article, unmarked, or in an article or main element.
 ASIDE, UNMARKED, ARTICLE = 0, 1, 2
-#: From this share of shared unmarked lines on, two pages are versions of one text and nothing is deleted.
+#: From this share of shared unmarked lines on, two pages may be versions of one text and a second page is asked.
 SAME_PAGE = 0.8
 
 # Elements and the words of class, id and role that say what an element holds.
@@ -143,6 +143,35 @@ def lines_of(page: str) -> list[Line]:
     return lines
 
 
+def _entries(lines: list[Line]) -> tuple[list[str], list[int]]:
+    """Texts that may be main text, in page order, and for each its place among the lines outside articles (-1: article text).
+
+    On a page with article text, unmarked lines are left out.
+    """
+    marked = [k for k, line in enumerate(lines) if line.place == ARTICLE]
+    left = {k for k in range(len(lines)) if marked}
+    texts: list[str] = []
+    places: list[int] = []
+    outside = 0
+    run: list[str] = []
+    for k, line in enumerate(lines):
+        if line.place == ARTICLE:
+            run.append(line.text)
+            continue
+        if line.place == UNMARKED and k not in left:
+            if run:
+                texts.append("\n\n".join(run))
+                places.append(-1)
+                run = []
+            texts.append(line.text)
+            places.append(outside)
+        outside += 1
+    if run:
+        texts.append("\n\n".join(run))
+        places.append(-1)
+    return texts, places
+
+
 def _ones(value: int, bits: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(value.to_bytes((bits + 7) // 8, "little"), dtype=np.uint8), bitorder="little")[:bits]
 
@@ -214,29 +243,20 @@ def _hash(text: str) -> int:
 
 
 def parsed_pages(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
-    """Rows ``row``, ``page_id``, ``url``, ``host``, ``path``, ``article`` (text of marked lines), ``unmarked`` (lines), ``outside``, ``open``.
+    """Rows ``row``, ``page_id``, ``url``, ``host``, ``path``, ``texts``, ``open``, ``outside``.
 
     ``row`` is a 64-bit hash of the page's id, URL and markup. ``outside`` has a hash per line that is not in an article
-    element, in page order; ``open`` has the place in it of every unmarked line. Whole pages are read; null is an empty page.
+    element, in page order; ``texts`` and ``open`` are those of ``_entries``. Whole pages are read; null is an empty page.
     """
 
-    @F.arrow_udf("struct<article:string,marked:boolean,unmarked:array<string>,outside:array<bigint>,open:array<int>>")
+    @F.arrow_udf("struct<texts:array<string>,open:array<int>,outside:array<bigint>>")
     def parse(values: pa.Array) -> pa.Array:
         rows = []
         for value in values:
             lines = lines_of(value.as_py() or "")
-            outside = [line for line in lines if line.place != ARTICLE]
-            marked = len(outside) < len(lines)
-            rows.append(
-                {
-                    "article": "\n\n".join(line.text for line in lines if line.place == ARTICLE),
-                    "marked": marked,
-                    "unmarked": [] if marked else [line.text for line in lines if line.place == UNMARKED],
-                    "outside": [_hash(line.text) for line in outside],
-                    "open": [k for k, line in enumerate(outside) if line.place == UNMARKED],
-                }
-            )
-        kind = pa.struct([("article", pa.string()), ("marked", pa.bool_()), ("unmarked", pa.list_(pa.string())), ("outside", pa.list_(pa.int64())), ("open", pa.list_(pa.int32()))])
+            texts, places = _entries(lines)
+            rows.append({"texts": texts, "open": places, "outside": [_hash(line.text) for line in lines if line.place != ARTICLE]})
+        kind = pa.struct([("texts", pa.list_(pa.string())), ("open", pa.list_(pa.int32())), ("outside", pa.list_(pa.int64()))])
         return pa.array(rows, kind)
 
     url = F.col(f"`{url_column}`").cast("string")
@@ -256,7 +276,9 @@ def _alike(a: Column, b: Column) -> Column:
 
 
 def neighbours(parsed: DataFrame) -> DataFrame:
-    """``row``, ``near``: for every page the one of its host before or after it in path order that shares more leading segments.
+    """``row``, ``near``, ``second``: for every page the one of its host before or after it in path order that shares more leading segments.
+
+    ``second`` is the one on the other side, or if that is missing the one beyond ``near``; null if the host has two pages.
 
     Pages are numbered in the order of host, path and row by running totals, so a host with a third of all pages is
     spread over many ranges, and the pages before and after are found by joins on the number. A page that is alone on its
@@ -266,10 +288,15 @@ def neighbours(parsed: DataFrame) -> DataFrame:
     order = materialize(order, "order")
     beside = lambda step, name: order.select((F.col("number") - step).alias("number"), F.struct("row", "host", "path").alias(name))
     placed = order.join(beside(-1, "before"), "number", "left").join(beside(1, "after"), "number", "left")
-    likeness = lambda side: F.when((F.col(f"{side}.host") == F.col("host")) & (F.col("host") != ""), _alike(F.col("path"), F.col(f"{side}.path"))).otherwise(0)
+    placed = placed.join(beside(-2, "earlier"), "number", "left").join(beside(2, "later"), "number", "left")
+    own = lambda side: (F.col(f"{side}.host") == F.col("host")) & (F.col("host") != "")
+    likeness = lambda side: F.when(own(side), _alike(F.col("path"), F.col(f"{side}.path"))).otherwise(0)
+    at = lambda side: F.when(own(side), F.col(f"{side}.row"))
     before, after = likeness("before"), likeness("after")
-    near = F.when((before > 0) & (before >= after), F.col("before.row")).when(after > 0, F.col("after.row"))
-    return placed.select("row", near.alias("near")).where("near is not null")
+    back = (before > 0) & (before >= after)
+    near = F.when(back, F.col("before.row")).when(after > 0, F.col("after.row"))
+    second = F.when(back, F.coalesce(at("after"), at("earlier"))).otherwise(F.coalesce(at("before"), at("later")))
+    return placed.select("row", near.alias("near"), second.alias("second")).where("near is not null")
 
 
 def main_texts(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
@@ -277,31 +304,45 @@ def main_texts(pages: DataFrame, id_column: str = "page_id", url_column: str = "
 
     Every page is aligned with the page of the nearest URL by a longest common subsequence of the lines outside article
     elements. Lines of article and main elements are text; lines of navigation, notices, adverts, forms and the like are
-    not. Where a page marks no article, its unmarked lines are text unless the neighbour shares them; if nearly all are
-    shared the two are versions of one page and all stay. Null and empty pages give an empty text; rows that repeat a page
-    are no neighbours of each other and get the same text; other columns are ignored; no pages give no rows.
+    not. Where a page marks no article, its unmarked lines are text unless the neighbour shares them. If nearly all unmarked lines are shared, only those that a second page of
+    the host shares too are deleted (with two pages on the host: those that the neighbour shares), and none if the pages'
+    lines are equal. Null and empty pages give an empty text; rows that repeat a page are no neighbours of each other and
+    get the same text; other columns are ignored; no pages give no rows.
 
     Pages are parsed twice, once for the hashes of their lines, which are stored, and once for their texts, which are
     shuffled once and never stored.
     """
     parsed = parsed_pages(pages, id_column, url_column, html_column)
-    lines = materialize(parsed.select("row", "host", "path", "outside").dropDuplicates(["row"]), "lines")
+    lines = materialize(parsed.select("row", "host", "path", "outside", F.filter("open", lambda k: k >= 0).alias("open")).dropDuplicates(["row"]), "lines")
 
     @F.arrow_udf("array<boolean>")
     def align(own: pa.Array, other: pa.Array) -> pa.Array:
         return pa.array([shared_lines(a.as_py(), b.as_py()).tolist() for a, b in zip(own, other)], pa.list_(pa.bool_()))
 
     hashes = lines.select("row", "outside")
-    paired = hashes.join(neighbours(lines), "row").join(hashes.toDF("near", "theirs"), "near")
-    aligned = paired.select("row", align("outside", "theirs").alias("shared"))
-    joined = parsed.join(aligned, "row", "left").withColumn("hit", F.transform("open", lambda k: F.coalesce(F.get("shared", k), F.lit(False))))
-    n_hit = F.size(F.filter("hit", lambda x: x))
-    kept = F.when(n_hit >= F.ceil(F.size("hit") * F.lit(SAME_PAGE)), F.col("unmarked")).otherwise(F.filter("unmarked", lambda _, k: ~F.get("hit", k)))
-    text = F.when(F.col("marked"), F.col("article")).otherwise(F.array_join(kept, "\n\n"))
+    paired = lines.select("row", "outside", "open").join(neighbours(lines), "row").join(hashes.toDF("near", "theirs"), "near")
+    n_hit = F.size(F.filter("open", lambda k: F.get("shared", k)))
+    aligned = paired.withColumn("shared", align("outside", "theirs")).select(
+        "row",
+        F.size(F.filter("shared", lambda x: x)).alias("n_shared"),
+        F.when(F.size("open") > 0, F.col("shared")).alias("shared"),
+        (F.col("outside") == F.col("theirs")).alias("equal"),
+        ((F.size("open") > 0) & (n_hit >= F.ceil(F.size("open") * F.lit(SAME_PAGE)))).alias("close"),
+        "second",
+    )
+    aligned = materialize(aligned, "aligned")
+    asked = aligned.where("close and second is not null").select("row", "second").join(hashes, "row").join(hashes.toDF("second", "others"), "second")
+    asked = asked.select("row", align("outside", "others").alias("also"), (F.col("outside") == F.col("others")).alias("equal_too"))
+    both = F.zip_with("shared", "also", lambda x, y: x & y)
+    equal = F.col("close") & F.col("equal") & F.coalesce("equal_too", F.lit(True))
+    deleted = F.when(equal, F.lit(None)).when(F.col("also").isNotNull(), both).otherwise(F.col("shared"))
+    judged = aligned.join(asked, "row", "left").select("row", "n_shared", deleted.alias("deleted"))
+    joined = parsed.join(judged, "row", "left")
+    kept = F.filter("texts", lambda _, k: ~F.coalesce(F.get("deleted", F.get("open", k)), F.lit(False)))
     return joined.select(
         "page_id",
         "url",
-        text.alias("text"),
+        F.array_join(kept, "\n\n").alias("text"),
         F.size("outside").cast("bigint").alias("n_outside"),
-        F.coalesce(F.size(F.filter("shared", lambda x: x)), F.lit(0)).cast("bigint").alias("n_shared"),
+        F.coalesce("n_shared", F.lit(0)).cast("bigint").alias("n_shared"),
     )

@@ -79,3 +79,21 @@ def test_main_texts(spark):
         (9, ""),
     ]
     assert P.main_texts(pages.limit(0)).count() == 0
+
+
+def texts_of(spark, rows):
+    return {r["page_id"]: r["text"] for r in P.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_large_template_goes_and_versions_of_a_page_stay(spark):
+    frame = "".join(f"<p>Menu entry {k}" for k in range(16))
+    own = {k: [f"Line {j} of page {k}" for j in range(4)] for k in range(4)}
+    rows = [(k, f"http://h.example/{k}", page(*own[k], frame=frame)) for k in own]
+    rows += [(10 + k, f"http://two.example/{k}", page(*own[k], frame=frame)) for k in (0, 1)]
+    same = [f"Sentence {j}" for j in range(20)]
+    rows += [(20, "http://v.example/a", page(*same, "x", frame=frame)), (21, "http://v.example/b", page(*same, "y", frame=frame)), (22, "http://v.example/c", page("z", frame=frame))]
+    rows += [(30 + k, f"http://eq.example/{k}", page("six", "seven")) for k in range(3)]
+    got = texts_of(spark, rows)
+    assert all(got[k] == "\n\n".join(own[k]) for k in own) and all(got[10 + k] == "\n\n".join(own[k]) for k in (0, 1))
+    assert got[20] == "\n\n".join([*same, "x"]) and got[21] == "\n\n".join([*same, "y"]) and got[22] == "z"
+    assert all(got[30 + k] == "Menu of the site\n\nSign up today\n\nsix\n\nseven\n\nAll rights reserved" for k in range(3))
