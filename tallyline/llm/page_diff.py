@@ -19,6 +19,8 @@ from tallyline.session import materialize
 ASIDE, UNMARKED, ARTICLE = 0, 1, 2
 #: From this share of shared unmarked lines on, two pages may be versions of one text and a second page is asked.
 SAME_PAGE = 0.8
+#: A line with so many words or characters, or a short one that ends a sentence, is prose and no link.
+PROSE_WORDS, PROSE_CHARS, SENTENCE_WORDS = 10, 60, 4
 
 # Elements and the words of class, id and role that say what an element holds.
 _NEVER = frozenset("nav footer aside form script style noscript template iframe svg head menu dialog select button object canvas audio video map".split())
@@ -143,13 +145,20 @@ def lines_of(page: str) -> list[Line]:
     return lines
 
 
+def _is_prose(text: str) -> bool:
+    words = len(text.split())
+    return words >= PROSE_WORDS or len(text) >= PROSE_CHARS or text.endswith(("。", "！", "？")) or (words >= SENTENCE_WORDS and text.rstrip("\"'»”’)").endswith((".", "!", "?", "…")))
+
+
 def _entries(lines: list[Line]) -> tuple[list[str], list[int]]:
     """Texts that may be main text, in page order, and for each its place among the lines outside articles (-1: article text).
 
-    On a page with article text, unmarked lines are left out.
+    On a page with article text, unmarked lines before all of it or after all of it are left out if none of them is prose.
     """
     marked = [k for k, line in enumerate(lines) if line.place == ARTICLE]
-    left = {k for k in range(len(lines)) if marked}
+    first, last = (marked[0], marked[-1] + 1) if marked else (0, 0)
+    edges = [range(0, first), range(last, len(lines))] if marked else []
+    left = {k for edge in edges if not any(lines[k].place == UNMARKED and _is_prose(lines[k].text) for k in edge) for k in edge}
     texts: list[str] = []
     places: list[int] = []
     outside = 0
@@ -304,7 +313,8 @@ def main_texts(pages: DataFrame, id_column: str = "page_id", url_column: str = "
 
     Every page is aligned with the page of the nearest URL by a longest common subsequence of the lines outside article
     elements. Lines of article and main elements are text; lines of navigation, notices, adverts, forms and the like are
-    not. Where a page marks no article, its unmarked lines are text unless the neighbour shares them. If nearly all unmarked lines are shared, only those that a second page of
+    not. Every unmarked line is text unless the neighbour shares it; on a page with article text, those before or after all
+    of it are left out if none of them is prose. If nearly all unmarked lines are shared, only those that a second page of
     the host shares too are deleted (with two pages on the host: those that the neighbour shares), and none if the pages'
     lines are equal. Null and empty pages give an empty text; rows that repeat a page are no neighbours of each other and
     get the same text; other columns are ignored; no pages give no rows.

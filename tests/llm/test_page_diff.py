@@ -85,6 +85,20 @@ def texts_of(spark, rows):
     return {r["page_id"]: r["text"] for r in P.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
 
 
+def test_unmarked_story_beside_a_marked_teaser_stays(spark):
+    story = "<div>The harbour was closed for the whole of the winter, and no ship came in.</div><p>Why it happened</p><p>Nobody had asked for it.</p>"
+    rows = [
+        (1, "http://h.example/a", f"<p>Home<p>Contact</p>{story}<article class=card><p>Teaser</article><p>Imprint"),
+        (2, "http://h.example/b", "<p>Home<p>Contact<p>Another story that nobody else has told so far.</p><main><h1>Heading</h1></main><p>It goes on after the heading of the page.<p>Imprint"),
+        (3, "http://lone.example/b", "<article><p>one</article><div>A sentence between two marked parts.</div><article><p>two</article><p>Imprint"),
+    ]
+    assert texts_of(spark, rows) == {
+        1: "The harbour was closed for the whole of the winter, and no ship came in.\n\nWhy it happened\n\nNobody had asked for it.\n\nTeaser",
+        2: "Another story that nobody else has told so far.\n\nHeading\n\nIt goes on after the heading of the page.",
+        3: "one\n\nA sentence between two marked parts.\n\ntwo",
+    }
+
+
 def test_large_template_goes_and_versions_of_a_page_stay(spark):
     frame = "".join(f"<p>Menu entry {k}" for k in range(16))
     own = {k: [f"Line {j} of page {k}" for j in range(4)] for k in range(4)}
