@@ -100,12 +100,19 @@ LINES_SQL = """SELECT CASE WHEN c_custkey % 4 = 0 THEN '' WHEN c_custkey % 4 = 1
 def csv_line_scan(spark, sf):
     """Files read by line: blank and short rows, quotes in mid-field, extra fields, a header in each file."""
     path = scratch_path(spark, "csv-lines")
-    rows = I.run_sql(spark, sf, LINES_SQL, customer="customer").repartition(3)
-    headed = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.array_join(F.collect_list("value"), "\n").alias("value"))
-    headed.select("part", F.concat(F.lit("id,note\n"), "value").alias("value")).write.partitionBy("part").text(path)
+    write_headed_lines(I.run_sql(spark, sf, LINES_SQL, customer="customer"), "id,note", path)
     return read_csv(spark, path)
 
 
+def write_headed_lines(rows, header, path):
+    """Text files of the lines ``value``, each with the header first; files grow in number with the input, a row is one line."""
+    parts = max(3, rows.rdd.getNumPartitions())
+    dealt = rows.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).alias("part"), F.lit(1).alias("place"), "value")
+    heads = rows.sparkSession.range(parts).select(F.col("id").alias("part"), F.lit(0).alias("place"), F.lit(header).alias("value"))
+    ordered = dealt.unionByName(heads).repartition(parts, "part").sortWithinPartitions("part", "place")
+    ordered.select("part", "value").write.partitionBy("part").text(path)
+
+
 def csv_report_lines(spark, sf):
     """The ordered report read back as raw lines (the customers without line breaks)."""
     rows = I.run_sql(spark, sf, AWKWARD_SQL, customer="customer").withColumn("segment", F.replace("segment", F.lit("\n"), F.lit("|")))

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameWriter
 
 from tallyline.operators import checks as K
 from tallyline.operators.check_sql import check_file_rows, check_files, check_statements, with_pk_columns
@@ -11,6 +13,7 @@ from tallyline.operators.joins import fits_broadcast, lookup
 from tallyline.operators.pivot import JOB_KEYS, pivot_last
 from tallyline.operators.statements import run_script, split_statements
 from tallyline.plans.tables import pivot_job_list, run_script_job
+from tallyline.registry import table_queries
 from tallyline.sinks.csv_files import write_csv
 from tallyline.sources.csv_files import read_csv, read_eav
 from tallyline.sources.jdbc import ScriptRunSettings, jdbc_options
@@ -238,3 +241,17 @@ def test_run_settings():
     for missing, label in (("url", "JDBC URL"), ("user", "user"), ("script_path", "script"), ("output_dir", "output")):
         with pytest.raises(ValueError, match=label):
             ScriptRunSettings(**{**settings.__dict__, missing: " "}).validate()
+
+
+def test_headed_lines_are_rows_of_their_own(spark, tmp_path, monkeypatch):
+    rows = spark.range(5000).selectExpr("case when id % 4 = 0 then '' else concat('k', id, ',x') end as value").repartition(7)
+    written = []
+    text = DataFrameWriter.text
+    monkeypatch.setattr(DataFrameWriter, "text", lambda self, path, **o: (written.append(path), text(self, path, **o))[1])
+    monkeypatch.setattr(F, "collect_list", lambda *_: pytest.fail("lines gathered in one value"))
+    monkeypatch.setattr(table_queries.I, "run_sql", lambda *_, **__: rows)
+    got = table_queries.csv_line_scan(spark, "")
+    assert got.columns == ["id", "note"] and got.count() == 5000 and got.where("id = 'id'").count() == 0
+    files = sorted(Path(written[0]).rglob("part-*"))
+    lines = [f.read_text().split("\n") for f in files]
+    assert len(files) == 7 and all(x[0] == "id,note" and x.count("id,note") == 1 for x in lines)
