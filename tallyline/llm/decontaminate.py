@@ -156,27 +156,30 @@ def phrase_matches(index: DataFrame, terms: DataFrame, window: int = WINDOW) ->
 def proximity_matches(index: DataFrame, terms: DataFrame, window: int = WINDOW, slop: int = 5, share: float = 0.8) -> DataFrame:
     """Windows whose terms lie close together in any order: ``doc``, ``item``, ``item_id``, ``at``, ``pos``, ``n_terms``.
 
-    ``pos`` is a place of the window's rarest term with at least ``share`` of the window's distinct terms within
-    ``window + slop`` words on either side. Windows that hold a term the index lacks can match through the others, so
-    their rarest indexed term is used. The index keeps benchmark terms in long runs only; build it with ``window=1`` to
-    have every position of every benchmark term.
+    ``pos`` is a place of one of the window's terms with at least ``share`` of the window's distinct terms within
+    ``window + slop`` words on either side; of places that close in one document the first is given. A match may lack
+    some terms, so each window is sought from as many of its rarest terms, and one more: a match holds one of them. Terms
+    that the index lacks count as the rarest. The index keeps benchmark terms in long runs only; build it with
+    ``window=1`` to have every position of every benchmark term.
     """
     frequency = index.groupBy("term").count()
     windows = _windows(terms, window).withColumn("wanted", F.array_distinct("words"))
-    rarest = (
-        windows.select("item", "at", "wanted", F.explode("wanted").alias("term"))
-        .join(frequency, "term")
-        .groupBy("item", "at", "wanted")
-        .agg(F.min(F.struct("count", "term")).alias("first"))
-        .select("item", "at", "wanted", F.col("first.term").alias("term"))
-    )
+    least = F.ceil(F.size("wanted") * F.lit(share))
+    counted = windows.select("item", "at", "wanted", F.explode("wanted").alias("term")).join(frequency, "term", "left")
+    rarest = counted.groupBy("item", "at", "wanted").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "term"))).alias("terms"))
+    sought = rarest.select("item", "at", "wanted", F.explode(F.slice("terms", F.lit(1), (F.size("wanted") - least + 1).cast("int"))).alias("t"))
+    sought = sought.where("t.count > 0").select("item", "at", "wanted", F.col("t.term").alias("term"))
+    # What lies around a place is gathered once, however many windows are sought there.
     reach = window + slop
-    seeds = rarest.join(index, "term").select("item", "at", "wanted", "doc", "pos")
-    spots = seeds.withColumn("spot", F.explode(F.sequence(F.col("pos") - reach, F.col("pos") + reach)))
-    near = spots.join(index.select("doc", F.col("pos").alias("spot"), F.col("term").alias("seen")), ["doc", "spot"]).where(F.array_contains("wanted", F.col("seen")))
-    counted = near.groupBy("item", "at", "doc", "pos").agg(F.count_distinct("seen").alias("n_terms"), F.first(F.size("wanted")).alias("size"))
-    close = counted.where(F.col("n_terms") >= F.ceil(F.col("size") * F.lit(share)))
-    return close.join(terms.select("item", "item_id"), "item").select("doc", "item", "item_id", "at", "pos", "n_terms")
+    places = index.join(sought.select("term").distinct(), "term", "left_semi").select("doc", "pos")
+    spots = places.withColumn("spot", F.explode(F.sequence(F.col("pos") - reach, F.col("pos") + reach)))
+    around = spots.join(index.select("doc", F.col("pos").alias("spot"), F.col("term").alias("seen")), ["doc", "spot"])
+    around = around.groupBy("doc", "pos").agg(F.collect_set("seen").alias("seen"))
+    seeds = index.join(around, ["doc", "pos"]).join(sought, "term")
+    close = seeds.withColumn("n_terms", F.size(F.array_intersect("wanted", "seen")).cast("bigint")).where(F.col("n_terms") >= least)
+    before = F.lag("pos").over(Window.partitionBy("item", "at", "doc").orderBy("pos"))
+    first = close.withColumn("gap", F.col("pos") - before).where(F.col("gap").isNull() | (F.col("gap") > reach))
+    return first.join(terms.select("item", "item_id"), "item").select("doc", "item", "item_id", "at", "pos", "n_terms")
 
 
 def hit_summary(spans: DataFrame) -> DataFrame:
@@ -222,6 +225,21 @@ def contamination(docs: DataFrame, items: DataFrame, id_column: str = "doc_id",
     )
 
 
+def proximity(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW) -> DataFrame:
+    """``doc_id``, ``n_near`` (matches of ``proximity_matches``), ``near_items`` (sorted as strings) for every row of ``docs``.
+
+    The index has every position of every benchmark term. Null and empty texts have no matches; repeated rows and ids are
+    rows of their own.
+    """
+    terms = item_terms(items)
+    rows = postings(docs, terms, id_column, text_column, window=1)
+    found = proximity_matches(inverted_index(rows), terms, window)
+    names = F.sort_array(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit(""))))
+    hits = found.groupBy("doc").agg(F.count(F.lit(1)).alias("n_near"), names.alias("near_items"))
+    none = F.array().cast("array<string>")
+    return rows.select("doc", "doc_id").join(hits, "doc", "left").select("doc_id", F.coalesce("n_near", F.lit(0).cast("bigint")).alias("n_near"), F.coalesce("near_items", none).alias("near_items"))
+
+
 def clean_documents(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` in which no benchmark window occurs, with all their columns.
 

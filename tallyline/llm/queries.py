@@ -48,6 +48,12 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", decontaminate.items_digest(F.col("item_ids")).alias("items_sha256"), "contaminated")
 
 
+def op6_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows of every document whose terms lie close together in any order."""
+    found = decontaminate.proximity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_near", F.size("near_items").cast("bigint").alias("n_near_items"), decontaminate.items_digest(F.col("near_items")).alias("near_items_sha256"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of near duplicates for every document."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_brown": op4_brown,
     "op5_token_scan": op5_token_scan,
     "op6_decontaminate": op6_decontaminate,
+    "op6_proximity": op6_proximity,
     "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,
     "op9_secret_scan": op9_secret_scan,

@@ -78,3 +78,17 @@ def test_proximity_finds_terms_in_another_order(spark):
     assert {(r["doc_id"], r["item_id"]) for r in near.collect()} == {(1, 5), (3, 5)}
     exact = D.phrase_matches(index, terms).join(rows.select("doc", "doc_id"), "doc")
     assert [(r["doc_id"], r["start"], r["stop"]) for r in exact.collect()] == [(3, 0, 10)]
+
+
+def test_proximity_finds_a_match_without_its_rarest_term(spark):
+    item = "red green blue cyan black white grey brown pink gold"
+    docs = [(1, "x gold pink brown grey white black y cyan blue green z changed"), (2, "only red here"), (3, "pink gold " * 9 + "blue"), (4, None)]
+    bench = spark.createDataFrame([(5, item), (6, "")], "item_id long, text string")
+    got = D.proximity(spark.createDataFrame(docs, "doc_id long, text string"), bench)
+    assert {r["doc_id"]: (r["n_near"], r["near_items"]) for r in got.collect()} == {1: (1, ["5"]), 2: (0, []), 3: (0, []), 4: (0, [])}
+
+
+def test_proximity_is_a_registered_query():
+    from tallyline.llm.queries import QUERIES
+
+    assert "op6_proximity" in QUERIES and next(n for n in QUERIES if n.startswith("op6_")) == "op6_decontaminate"
