@@ -128,9 +128,38 @@ SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS
 FROM d JOIN t USING (key) LEFT JOIN g USING (k)
 """
 
+OP13 = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+k AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+    100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e
+  FROM w LEFT JOIN k USING (doc_id)
+),
+g AS (SELECT part, good, toxic, map(['A', 'B', 'C', 'D', 'E'], [a, b, c, d, e]) AS fails, count(*) AS n FROM f GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT [p.x, q.x, r.x, s.x, t.x] AS o FROM l p, l q, l r, l s, l t
+  WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5
+),
+z AS (SELECT part, n, good, toxic, fails, o, step, o[step] AS own, list_filter(o, lambda x, i: i <= step AND fails[x]) AS hit FROM g, o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (
+  SELECT part, array_to_string(o, '') AS filter_order, own, CAST(step AS INT) AS step, sum(CASE WHEN len(hit) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN hit = [own] THEN n ELSE 0 END) AS removed, sum(CASE WHEN fails[own] AND len(hit) > 1 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails[own] AND len(list_filter(map_values(fails), lambda v: v)) = 1 THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN hit = [own] AND good = 1 THEN n ELSE 0 END) AS good_lost, sum(CASE WHEN hit = [own] AND toxic = 1 THEN n ELSE 0 END) AS toxic_lost
+  FROM z GROUP BY ALL
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM r
+"""
+
 ORACLES: dict[str, str] = {
     "op1_warc": OP1,
     "op2_quality_rules": OP2,
     "op6_decontaminate": OP6,
     "op8_mixing": OP8,
+    "op13_filter_audit": OP13,
 }

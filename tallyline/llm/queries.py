@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import brown, decontaminate, mixing, page_diff, quality_rules, secret_scan, simhash, token_scan, warc, weak_labels
+from tallyline.llm import brown, decontaminate, filter_audit, mixing, page_diff, periodic_runs, quality_rules, secret_scan, sharding, simhash, token_scan, warc, weak_labels
 from tallyline.llm.oracles import ORACLES
 
 
@@ -86,6 +86,53 @@ def op10_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.round("quality_score", 6).alias("quality_score"), "accepted")
 
 
+def _with_repeats(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text`` as words with one space between them; a tenth of the texts, by checksum of the id, ends in repeats.
+
+    Of n words, those from place a on repeat the p words from there, a and p by the same checksum.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+    def repeated(own: Column) -> Column:
+        n, g = F.size(own).cast("bigint"), F.floor(h / 10)
+        a = g % n
+        p = 1 + F.call_function("div", n - a, 3 + g % 8)
+        block = F.slice(own, (a + 1).cast("int"), p.cast("int"))
+        tail = F.flatten(F.array_repeat(block, F.ceil((n - a) / p).cast("int")))
+        return F.concat(F.slice(own, F.lit(1), a.cast("int")), F.slice(tail, F.lit(1), (n - a).cast("int")))
+
+    changed = F.transform(F.array(words), lambda own: F.when(F.size(own) > 0, F.array_join(repeated(own), " ")).otherwise(""))[0]
+    return docs.select("doc_id", F.when(h % 10 == 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number, longest and digests of the periodic runs of every document."""
+    found = periodic_runs.periodic_runs(_with_repeats(_table(spark, sf_dir, "documents")))
+    longest = found.withColumn("longest", periodic_runs.longest_run(F.col("runs")))
+    return longest.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "longest.start",
+        "longest.length",
+        "longest.period",
+        F.expr("1000 * longest.length div longest.period").alias("exponent_milli"),
+        F.sha2(periodic_runs.written(F.col("runs")).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document by rendezvous hashing, and its shard among one more."""
+    found = sharding.assign(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in every order, per language, with their shares of the removal."""
+    return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_quality_rules": op2_quality_rules,
@@ -98,6 +145,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_secret_scan": op9_secret_scan,
     "op10_weak_labels": op10_weak_labels,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_sharding": op12_sharding,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
