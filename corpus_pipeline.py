@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near duplicates stays: five-word shingles, similarity of 0.8 and more."""
-    return simhash.deduplicate_similar(docs)
+    """One document of every group linked by fingerprints of three-word shingles at most three bits apart stays."""
+    return simhash.deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

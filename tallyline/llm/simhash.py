@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -12,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.llm.components import connected_components
-from tallyline.llm.words import mix
 from tallyline.session import materialize
 
 SEED = 42
@@ -174,181 +172,14 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", distance: int = 3, words_in_shingle: int = 3) -> DataFrame:
     """One row of every component of near duplicates, with the columns of ``docs``.
 
-    The row with the smallest id stays (a null id only if there is no other). Rows that repeat its id and fingerprint
-    go too. Columns named like the helper columns are safe, as those are put beside the whole row.
+    The row with the smallest id stays (a null id only if there is no other), one of them if rows repeat it. Columns
+    named like the helper columns are safe, as those are put beside the whole row; whole rows move once.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_column}`").alias("doc_id"), fingerprint(F.col(f"`{text_column}`"), words_in_shingle).alias("fp"))
-    rows = materialize(rows, "prints")
-    prints = rows.select("doc_id", "fp")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(whole, F.col(f"`{id_column}`").alias("doc_id"), fingerprint(F.col(f"`{text_column}`"), words_in_shingle).alias("fp"))
+    rows = materialize(rows.withColumn("place", F.monotonically_increasing_id()), "prints")
+    prints = rows.select("doc_id", "fp", "place")
+    firsts = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("first"))
     roots = components_of(prints, distance).select("fp", "root")
-    ids = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("first"))
-    kept = ids.join(roots, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.fp")
-    chosen = rows.alias("r").join(kept.alias("k"), F.expr("r.fp = k.fp and r.doc_id <=> k.doc_id"), "left_semi")
-    return chosen.dropDuplicates(["fp", "doc_id"]).select("row.*")
-
-
-#: Long fingerprints: 64-bit words, and bits and number of the segments that are looked up.
-WIDE_WORDS, SEGMENT_BITS, SEGMENTS = 8, 20, 25
-#: Bits in which candidates may differ: texts with a Jaccard similarity of 0.8 differ in 78 on average (standard
-#: deviation 8), sets of a handful of shingles in up to 96. Shingle sets decide, not this distance.
-WIDE_DISTANCE = 120
-#: Least Jaccard similarity of linked texts, as a fraction.
-SIMILAR = (4, 5)
-#: Nodes up to which the list of texts to be compared is sent to the tasks.
-SENT_NODES = 200_000
-#: Values under one key from which on one of them stands for those close to it.
-WIDE_CROWD = 4
-#: Of the first 64 bits, similar texts differ in 10 on average (4 standard deviations: 21), unrelated ones in 32.
-LIKELY_BITS = 22
-_SPREAD = (np.arange(WIDE_WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
-
-
-def _shingles(text: str | None, words_in_shingle: int) -> np.ndarray:
-    """The different shingles of a text, as sorted hashes."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    joined = b" ".join(words)
-    if len(words) <= words_in_shingle:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype=np.uint64)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = np.concatenate(([0], ends[:-1]))
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), (ends[words_in_shingle - 1 :] - 1).tolist())], dtype=np.uint64))
-
-
-def shingle_set(text: Column, words_in_shingle: int = 5) -> Column:
-    """The different shingles of a text, as sorted hashes; words and shingles as in ``fingerprint``."""
-
-    @F.arrow_udf("array<bigint>")
-    def shingles(texts: pa.Array) -> pa.Array:
-        sets = [_shingles(t.as_py(), words_in_shingle).view(np.int64) for t in texts]
-        return pa.array(sets, pa.list_(pa.int64()))
-
-    return shingles(text.cast("string"))
-
-
-def _wide(text: str | None, words_in_shingle: int) -> np.ndarray:
-    values = _shingles(text, words_in_shingle)
-    if not len(values):
-        return np.zeros(WIDE_WORDS, dtype=np.uint64)
-    ones = np.zeros(64 * WIDE_WORDS, dtype=np.int64)
-    for at in range(0, len(values), 255 * 16):
-        part = mix(values[at : at + 255 * 16, None] + _SPREAD).astype(">u8").view(np.uint8).reshape(-1, 8 * WIDE_WORDS)
-        bits = np.unpackbits(part, axis=1)
-        for low in range(0, len(bits), 255):
-            ones += bits[low : low + 255].sum(axis=0, dtype=np.uint8)
-    return np.frombuffer(np.packbits(ones * 2 > len(values)).tobytes(), dtype=">u8").astype(np.uint64)
-
-
-def wide_fingerprint(text: Column, words_in_shingle: int = 5) -> Column:
-    """(``wide``, ``keys``): a SimHash of 512 bits over the different shingles of a text, and its segments.
-
-    The share of bits in which two texts differ tells the angle between their shingle sets, and so their Jaccard
-    similarity; 64 bits are too few to tell 0.8 from 0.6. Words and shingles as in ``fingerprint``.
-    """
-
-    @F.arrow_udf("struct<wide:array<bigint>,keys:array<int>>")
-    def wide(texts: pa.Array) -> pa.Array:
-        values = np.array([_wide(t.as_py(), words_in_shingle) for t in texts], dtype=np.uint64).reshape(-1, WIDE_WORDS)
-        bits = np.unpackbits(values.astype(">u8").view(np.uint8).reshape(-1, 8 * WIDE_WORDS), axis=1)[:, : SEGMENTS * SEGMENT_BITS]
-        keys = bits.reshape(-1, SEGMENTS, SEGMENT_BITS) @ (1 << np.arange(SEGMENT_BITS, dtype=np.int64))
-        lists = [
-            pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * n, pa.int32()), pa.array(flat))
-            for n, flat in ((WIDE_WORDS, values.view(np.int64).reshape(-1)), (SEGMENTS, keys.astype(np.int32).reshape(-1)))
-        ]
-        return pa.StructArray.from_arrays(lists, names=["wide", "keys"])
-
-    return wide(text.cast("string"))
-
-
-def _similar_sets(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The pairs whose shingle sets have a Jaccard similarity of at least ``SIMILAR``; sets are made for their nodes only."""
-    pairs = materialize(pairs, "candidates")
-    nodes = materialize(pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct(), "nodes")
-    found = materialize(sets(nodes).select("fp", "shingles"), "shingles")
-    both = pairs.join(found.toDF("a", "set_a"), "a").join(found.toDF("b", "set_b"), "b")
-    part, whole = SIMILAR
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    return both.where(common * (part + whole) >= (F.size("set_a") + F.size("set_b")) * part).select("a", "b")
-
-
-def similar_pairs(prints: DataFrame, distance: int = WIDE_DISTANCE, crowd: int = WIDE_CROWD, sets: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Links ``a``, ``b`` that connect the similar values of ``prints`` (``fp``, ``wide``, ``keys``).
-
-    ``fp`` is the first 64 bits of ``wide`` and unique. Every value is filed under its segments and looks up, in each,
-    its own key and those one bit away (of these the half that sets the bit, as the other value looks up the rest). Of
-    texts with a Jaccard similarity of 0.8 and 0.85 that meets about 99.1 and 99.9 in a hundred. Those at most
-    ``distance`` bits apart are candidates; ``sets``, given nodes (``fp``), returns their ``shingles``, and candidates
-    are linked if these have a similarity of at least ``SIMILAR``. Without ``sets`` all candidates are linked.
-
-    Copies that share a key must not become pairs. A key with more than ``crowd`` values is compared with its least
-    value, which then stands for all that are close to it; the others are compared with all values of the key. Where a
-    standing value is not close to what it meets, the two keys' values are compared in full. So every two values that
-    the lookup brings together are linked or connected through links, and groups of copies cost a link per value.
-    """
-    part = F.expr(f"cast(seg as bigint) * {1 << SEGMENT_BITS} + own")
-    filed = materialize(prints.select("fp", F.posexplode("keys").alias("seg", "own")).select("fp", part.alias("key")), "filed")
-    wide = prints.select("fp", "wide")
-    likely = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= LIKELY_BITS
-
-    def verified(met: DataFrame) -> DataFrame:
-        pairs = met.where(F.col("fp") != F.col("other")).where(likely).select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
-        both = pairs.join(wide.toDF("a", "wide_a"), "a").join(wide.toDF("b", "wide_b"), "b")
-        apart = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
-        close = both.where(apart <= distance).select("a", "b")
-        return close if sets is None else _similar_sets(close, sets)
-
-    def without(met: DataFrame, links: DataFrame) -> DataFrame:
-        known = links.toDF("fp", "other").unionByName(links.toDF("other", "fp"))
-        return met.join(known, ["fp", "other"], "left_anti")
-
-    heads = materialize(filed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("other")).where(F.col("n") > crowd).select("key", "other"), "heads")
-    star = filed.join(heads, "key").where("fp <> other")
-    near = materialize(verified(star), "near")
-    far = materialize(without(star, near).select("key", "fp"), "far")
-    light = filed.join(heads.select("key"), "key", "left_anti").withColumn("heavy", F.lit(False))
-    standing = heads.select(F.col("other").alias("fp"), "key").unionByName(far.select("fp", "key")).withColumn("heavy", F.lit(True))
-    standing = materialize(light.unionByName(standing), "standing")
-    masks = ",".join(f"struct({m}L as m)" for m in [0, *(1 << b for b in range(SEGMENT_BITS))])
-    asked = standing.select("fp", "heavy", F.col("key").alias("own"), F.inline(F.expr(f"array({masks})"))).where("m = 0 or own & m = 0")
-    asked = asked.select("fp", "own", F.col("heavy").alias("asks_heavy"), (F.col("own").bitwiseXOR(F.col("m"))).alias("key"))
-    found = standing.select(F.col("fp").alias("other"), "key", "heavy")
-    new = (F.col("asked.own") != F.col("asked.key")) | (F.col("fp") < F.col("other"))
-    met = asked.alias("asked").join(found.alias("found"), (F.col("asked.key") == F.col("found.key")) & new & (likely | F.col("asks_heavy") | F.col("heavy")))
-    met = materialize(met.select("fp", "other", "own", F.col("asked.key").alias("key"), (F.col("asks_heavy") | F.col("heavy")).alias("stands")), "met")
-    pairs = materialize(verified(met), "pairs")
-    missed = without(met.where("stands and own <> key and fp <> other"), pairs).select("own", "key").distinct()
-    ours, theirs = filed.select(F.col("key").alias("own"), "fp"), filed.select("key", F.col("fp").alias("other"))
-    crossed = missed.join(ours, "own").join(theirs, "key").where(likely)
-    inner = far.join(theirs, "key").where(likely)
-    more = verified(crossed.select("fp", "other").unionByName(inner.select("fp", "other")))
-    return near.unionByName(pairs).unionByName(more).distinct()
-
-
-def deduplicate_similar(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words_in_shingle: int = 5) -> DataFrame:
-    """One row of every group of texts linked by a Jaccard similarity of 0.8 and more, with all columns.
-
-    Long fingerprints find the candidates, their shingle sets decide. The row with the smallest id stays (a null id only if there is no other); rows that repeat its id and fingerprint go
-    too. Texts that agree in the first 64 bits are one node. Null and empty texts are copies of each other.
-    """
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_column}`").alias("doc_id"), wide_fingerprint(F.col(f"`{text_column}`"), words_in_shingle).alias("w")
-    )
-    rows = materialize(rows.select("row", "doc_id", F.get("w.wide", F.lit(0)).alias("fp"), "w.wide", "w.keys").withColumn("place", F.monotonically_increasing_id()), "prints")
-    firsts = rows.groupBy("fp").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("first"), F.min(F.struct("wide", "keys", "place")).alias("own")
-    )
-    firsts = materialize(firsts, "firsts")
-
-    def sets(nodes: DataFrame) -> DataFrame:
-        places = firsts.select("fp", "own.place").join(nodes, "fp", "left_semi")
-        small = nodes.count() <= SENT_NODES
-        texts = rows.select("place", F.col(f"row.`{text_column}`").alias("text")).join(F.broadcast(places) if small else places, "place")
-        return texts.select("fp", shingle_set(F.col("text"), words_in_shingle).alias("shingles"))
-
-    components = connected_components(similar_pairs(firsts.select("fp", "own.wide", "own.keys"), sets=sets))
-    placed = firsts.select("fp", "first").join(components.select(F.col("node").alias("fp"), "root"), "fp", "left")
-    kept = placed.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select("first.doc_id", "first.fp")
-    chosen = rows.select("row", "doc_id", "fp").alias("r").join(kept.alias("k"), F.expr("r.fp = k.fp and r.doc_id <=> k.doc_id"), "left_semi")
-    return chosen.dropDuplicates(["fp", "doc_id"]).select("row.*")
+    kept = firsts.join(roots, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.place")
+    return rows.join(kept, "place", "left_semi").select("row.*")

@@ -4,11 +4,12 @@ import random
 
 import corpus_pipeline as P
 from __spark_entry__ import oracle_sql, queries
+from test_simhash import plain_fingerprint
 
 
 def test_registration():
     names = queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
     assert set(oracle_sql()) <= set(names)
 
 
@@ -41,7 +42,9 @@ def test_stages(spark, tmp_path):
             assert kept.columns == docs.columns
     ids = lambda part: {i for i, _ in part}
     assert not ids(junk) & set(seen["quality"]) and len(ids(clean) & set(seen["quality"])) >= 0.98 * len(clean)
-    assert not ids(copies) & set(seen["near_dedup"]) and len(seen["near_dedup"]) == len(set(seen["near_dedup"]))
+    # Fingerprints of three-word shingles: exact copies go, and near copies where at most three bits differ.
+    close = [i for i, t in copies if bin(plain_fingerprint(t) ^ plain_fingerprint(clean[i % 100][1])).count("1") <= 3]
+    assert len(close) >= 5 and not set(close) & set(seen["near_dedup"]) and len(seen["near_dedup"]) == len(set(seen["near_dedup"]))
     assert set(seen["near_dedup"]) >= ids(clean) & set(seen["quality"])
     assert not ids(leaks) & set(seen["decontamination"]) and ids(clean) & set(seen["quality"]) <= set(seen["decontamination"])
     assert seen["secrets"] and sorted(seen["secrets"]) == sorted(seen["decontamination"])

@@ -83,59 +83,23 @@ def test_pairs_match_brute_force_and_crowds_lose_no_connection(spark):
     assert crowded <= brute and components(crowded) == components(brute)
 
 
-def similar_docs():
-    pick = random.Random(4)
-    word = lambda: "".join(pick.choice("abcdefghij") for _ in range(6))
-    bases = [[word() for _ in range(300)] for _ in range(8)]
-    rows = []
-    for base in bases:
-        rows.append(" ".join(base))
-        for _ in range(12):
-            near = list(base)
-            for at in pick.sample(range(300), 3):
-                near[at] = word()
-            rows.append(" ".join(near))
-    return rows + [" ".join(word() for _ in range(200)) for _ in range(20)]
-
-
-def test_similar_texts_leave_one_row(spark):
-    rows = similar_docs()
-    docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(rows)] + [(0, rows[0], 0), (None, "only one of its kind here", 1), (500, None, 2), (501, "", 2)], "doc_id long, text string, row int")
-    kept = S.deduplicate_similar(docs)
+def test_one_row_of_every_component_stays(spark):
+    pick, base = random.Random(4), [t or "" for t in texts(40, 7)]
+    rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, t.upper()) for i, t in enumerate(base[:20])] + [(3, base[3]), (None, base[5]), (None, "one of its kind, without id"), (500, None), (501, "")]
+    long = [f"w{pick.randrange(5000)}" for _ in range(20_000)]
+    rows += [(600, " ".join(long)), (601, " ".join([*long[:9000], "changed", *long[9001:]])), (602, " ".join(reversed(long)))]
+    pick.shuffle(rows)
+    docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, fp int, row int, place int")
+    kept = S.deduplicate(docs)
     assert kept.columns == docs.columns
-    expected = [13 * k for k in range(8)] + list(range(104, 124)) + [500, None]
-    assert sorted((r["doc_id"] for r in kept.collect()), key=lambda x: (x is None, x)) == expected
-    assert S.deduplicate_similar(docs.limit(0)).count() == 0
-    again = sorted((r["doc_id"] for r in S.deduplicate(docs.withColumn("text", F.upper("text"))).collect()), key=lambda x: (x is None, x))
-    assert len(again) >= len(expected) and again[-1] is None
-
-
-def test_crowded_keys_of_long_fingerprints_give_the_same_components(spark):
-    docs = spark.createDataFrame(list(enumerate(similar_docs())), "doc_id long, text string")
-    prints = docs.select(S.wide_fingerprint(F.col("text")).alias("w")).select(F.get("w.wide", F.lit(0)).alias("fp"), "w.wide", "w.keys").dropDuplicates(["fp"])
-    groups = []
-    for crowd in (1000, 4, 1):
-        nodes = S.connected_components(S.similar_pairs(prints, crowd=crowd))
-        groups.append({(r["node"], r["root"]) for r in nodes.collect()})
-    assert groups[0] == groups[1] == groups[2] and len({r for _, r in groups[0]}) == 8
-
-
-def test_similar_texts_are_told_by_their_shingle_sets(spark):
-    pick = random.Random(9)
-    word = lambda: "".join(pick.choice("abcdefghijklm") for _ in range(7))
-    wanted, rows = {}, []
-    for k in range(300):
-        n = pick.choice([12, 40, 300])
-        base = [word() for _ in range(n + 4)]
-        # A tail of m new words leaves n - m shingles in common: similarity (n - m) / (n + m).
-        m = round(n * (1 - s) / (1 + s)) if (s := 0.76 + 0.09 * k / 299) else 0
-        other = base[: len(base) - m] + [word() for _ in range(m)]
-        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
-        one, two = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (base, other))
-        wanted[k] = len(one & two) / len(one | two)
-    kept = {r["doc_id"] for r in S.deduplicate_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(2 * k in kept for k in wanted)
-    found = {k for k in wanted if 2 * k + 1 not in kept}
-    similar = {k for k, s in wanted.items() if s >= 0.8}
-    assert found <= similar and len(similar - found) <= 0.03 * len(similar)
-    assert len(similar) > 100 and len(wanted) - len(similar) > 100
+    prints = [plain_fingerprint(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for b in range(len(rows)):
+        for a in range(b):
+            if bin(prints[a] ^ prints[b]).count("1") <= 3 and root[a] != root[b]:
+                root = [root[a] if r == root[b] else r for r in root]
+    order = lambda i: (i is None, i)
+    expected = sorted((min((rows[k][0] for k in range(len(rows)) if root[k] == r), key=order) for r in set(root)), key=order)
+    got = sorted((r["doc_id"] for r in kept.collect()), key=order)
+    assert got == expected and 601 not in got and {600, 602} <= set(got)
+    assert S.deduplicate(docs.limit(0)).count() == 0
