@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from tallyline.operators import checks as K
@@ -9,7 +11,7 @@ from tallyline.operators.check_sql import with_pk_columns
 from tallyline.operators.pivot import guard_text, pivot_last
 from tallyline.operators.statements import run_script
 from tallyline.registry import inputs as I
-from tallyline.session import scratch_path
+from tallyline.session import materialize, scratch_path
 from tallyline.sinks.csv_files import write_csv, write_report
 from tallyline.sources.csv_files import EAV_COLUMNS, eav_rows, read_csv, read_eav
 from tallyline.sources.pk_list import parse_pk_lines, read_pk_list
@@ -92,6 +94,27 @@ def csv_scan(spark, sf):
     return read_csv(spark, path, multi_line=True)
 
 
+@contextmanager
+def small_blocks(spark, path, count=150):
+    """Cut files into about ``count`` blocks, of 300 bytes at least, for what runs inside."""
+    whole = spark.read.format("binaryFile").load(path).agg(F.sum("length").alias("n")).first()["n"] or 0
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, str(max(300, whole // count)))
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def csv_block_scan(spark, sf):
+    """Files cut into many small blocks, inside quoted values too, read by as many tasks."""
+    path = scratch_path(spark, "csv-blocks")
+    write_csv(I.run_sql(spark, sf, AWKWARD_SQL, customer="customer"), path)
+    with small_blocks(spark, path):
+        return materialize(read_csv(spark, path, multi_line=True), "csv-block-rows")
+
+
 LINES_SQL = """SELECT CASE WHEN c_custkey % 4 = 0 THEN '' WHEN c_custkey % 4 = 1 THEN concat('k', CAST(c_custkey AS STRING), ',a"b, ""', c_name, repeat(chr(34), 3))
   WHEN c_custkey % 4 = 2 THEN concat('"k', CAST(c_custkey AS STRING), '"') ELSE concat('k', CAST(c_custkey AS STRING), ',', c_mktsegment, ',extra') END AS value
   FROM customer"""
@@ -189,7 +212,7 @@ QUERIES = {
     q.__name__: q
     for q in (
         check_rows, check_rows_at_date, check_count, check_count_at_date, check_count_by_date, check_pk_duplicates,
-        check_summary, pivot_eav, pivot_excel_guard, csv_scan, csv_line_scan, csv_report_lines, eav_arity_filter, eav_scan,
+        check_summary, pivot_eav, pivot_excel_guard, csv_scan, csv_block_scan, csv_line_scan, csv_report_lines, eav_arity_filter, eav_scan,
         pk_list_parse, pk_list_scan, pk_lookup,
     )
 } | {"run_script": run_script_query}
@@ -208,6 +231,7 @@ ORACLES = {
       CASE WHEN click <> '' THEN concat('="', click, '"') ELSE click END AS click,
       CASE WHEN view <> '' THEN concat('="', view, '"') ELSE view END AS view FROM ({_PIVOT_SQL})""",
     "csv_scan": _AWKWARD,
+    "csv_block_scan": _AWKWARD,
     "csv_line_scan": """SELECT CASE WHEN c_custkey % 4 = 0 THEN '' ELSE concat('k', CAST(c_custkey AS VARCHAR)) END AS id,
       CASE WHEN c_custkey % 4 = 1 THEN concat('ab, "', c_name, '"') WHEN c_custkey % 4 = 3 THEN c_mktsegment ELSE '' END AS note FROM customer""",
     "csv_report_lines": f"""SELECT 'id,name,segment' AS value UNION ALL

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.functions.text import MARK, trim_blanks
+from tallyline.operators.joins import lookup
 from tallyline.session import charset_support
+from tallyline.sources.csv_blocks import block_facts, file_lines, outside_quotes
 
 ROW_ORDER = "_row_order"
 _RECORD = "\ufffe"
@@ -75,6 +77,24 @@ def _whole_records(spark: SparkSession, path: str, charset: str) -> DataFrame:
     return texts.select("file", F.posexplode(csv_records(F.col("text"))).alias("at", "fields"))
 
 
+#: Charsets in which a byte of a quote or a line feed is not always one: their files are read whole.
+_WIDE_CHARSETS = ("UTF-16", "UTF-32", "UTF16", "UTF32", "UCS-2", "UNICODE")
+
+
+def _block_records(spark: SparkSession, path: str, charset: str) -> tuple[DataFrame, DataFrame]:
+    """(file, block, at, fields) of every record of files read block by block, and (file, path)."""
+    lines = file_lines(spark, path)
+    blocks = block_facts(lines)
+    text = F.decode("value", charset)
+    first = (F.col("block") == 0) & (F.col("at") == 0)
+    with charset_support(spark):
+        pieces = outside_quotes(lines, blocks).select("file", "block", "at", F.when(first, _without_bom(text)).otherwise(text).alias("text"))
+    # The line feed that ended a piece makes a blank line a record of its own.
+    records = F.when(F.contains("text", F.lit("\r")), csv_records(F.concat("text", F.lit("\n")))).otherwise(F.array(csv_fields(F.col("text"))))
+    found = pieces.select("file", "block", "at", F.posexplode(records).alias("part", "fields"))
+    return found, blocks.where("block = 0").select("file", "path")
+
+
 def _line_records(spark: SparkSession, path: str, charset: str) -> DataFrame:
     """(file, block, row, fields) of every line, split by Spark; a quote that is open at a line's end is an error."""
     raw = spark.read.text(path).select("value", scan_order().alias("order"))
@@ -106,13 +126,23 @@ def read_csv(
     a quote. Short rows are padded with empty values, a blank line is a row of
     empty values, extra fields are dropped, and of columns with the same name
     the last one counts. The files of a folder must have one header, or reading
-    stops with an error. Files split into tasks; a line break inside quotes is
-    then an error, and ``multi_line`` reads it, at one task per file.
-
-    The headers are looked at when this is called, in one job over the first
-    split of every file.
+    stops with an error. Files split into tasks. A line break inside quotes is
+    an error; with ``multi_line`` it belongs to the value, which may go over
+    any number of a file's blocks (:mod:`csv_blocks`). A quote that is never
+    closed makes the rest of its file one record then. Files in UTF-16 and the
+    like are read whole, by one task each, as are compressed ones.
+
+    The headers are looked at when this is called, in one job; ``multi_line``
+    counts the quotes of all blocks in a job before it.
     """
-    if multi_line:
+    if multi_line and not charset.upper().startswith(_WIDE_CHARSETS):
+        rows, paths = _block_records(spark, path, charset)
+        head = "block = 0 and at = 0 and part = 0"
+        firsts, body = rows.where(head), rows.where(f"not ({head})")
+        order = F.struct(F.col("path").alias("file"), "block", F.struct("at", "part").alias("row"))
+        if row_order:
+            body = lookup(body, paths, "file")
+    elif multi_line:
         rows = _whole_records(spark, path, charset)
         firsts = rows.where("at = 0").select("file", "fields")
         body, order = rows.where("at > 0"), F.struct("file", F.lit(0).cast("bigint").alias("block"), F.col("at").cast("bigint").alias("row"))
