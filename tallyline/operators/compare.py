@@ -123,20 +123,19 @@ def _key_text(keyed: _Keys, sep: str) -> Column:
     return F.concat_ws(sep, *[_shown_key(keyed, name) for name in keyed.shown])
 
 
-def _once(keyed: _Keys, side: DataFrame, tag: str, null_keys: bool) -> Column:
-    """True, or an error for the second row of a key (and for a null key, if there should be none).
+def _once(keyed: _Keys, side: DataFrame, tag: str, null_keys: bool) -> DataFrame:
+    """The rows of a side, or an error for a key that has two of them (and for a null key, if there should be none).
 
-    The running number needs the rows by key, which the join needs too, so it
-    adds neither an exchange nor a sort; it stops at the second row of a key.
+    Counting needs the rows by key, which the join needs too, so it adds neither an exchange nor a sort. The check is a
+    condition on rows, not a column, so it holds whatever is asked of the result, a count included.
     """
-    order = Window.partitionBy(*keyed.names).orderBy(*keyed.names)
-    again = F.row_number().over(order) > 1
+    again = F.count(F.lit(1)).over(Window.partitionBy(*keyed.names)) > 1
     fault = F.raise_error(F.concat(F.lit(f"duplicate key on {tag}: "), _key_text(keyed, ", "))).cast("boolean")
     verdict = F.when(again, fault)
     if not null_keys:
         null = reduce(lambda x, y: x | y, [F.col(n).isNull() for n in keyed.shown])
         verdict = verdict.when(null, F.raise_error(F.lit(f"null key on {tag}")).cast("boolean"))
-    return verdict.otherwise(F.lit(True))
+    return side.withColumn("_once", verdict.otherwise(F.lit(True))).where("_once")
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -152,7 +151,8 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def _present(keyed: _Keys, df: DataFrame, side: DataFrame, prefix: str, tag: str, names: list[str], null_keys: bool) -> DataFrame:
     cols = [_col(side, c).alias(f"{prefix}{i}") for i, c in enumerate(names) if c in df.columns]
     order = [_col(side, ROW_ORDER).alias(f"{prefix}order")] if ROW_ORDER in df.columns else []
-    return side.select(*keyed.names, _once(keyed, side, tag, null_keys).alias(f"{prefix}here"), *cols, *order)
+    named = side.select(*keyed.names, F.lit(True).alias(f"{prefix}here"), *cols, *order)
+    return _once(keyed, named, tag, null_keys).drop("_once")
 
 
 def _both(df1: DataFrame, df2: DataFrame, keys: Keys, null_keys: bool) -> tuple[_Keys, list[str], DataFrame, DataFrame]:
@@ -187,8 +187,10 @@ def compare(df1: DataFrame, df2: DataFrame, keys: Keys = None, *, null_keys: boo
 
     Nothing runs until the result is asked for; each side is read once and
     shuffled once. A repeated key then ends the query with
-    :class:`DuplicateKeyError`, at its second row, so no key is ever joined
-    many to many. With ``null_keys=False`` the keys are used as stored, without
+    :class:`DuplicateKeyError` before its rows reach the join, so no key is
+    ever joined many to many, also where only a count or one column is asked
+    for. A limit raises for the keys that it reads; :func:`duplicate_keys`
+    lists all. With ``null_keys=False`` the keys are used as stored, without
     a shuffle for tables bucketed by them, and a null key is an error.
 
     If a side carries ``_row_order`` the result does too, side 1 first.

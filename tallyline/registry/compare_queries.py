@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyline.operators import compare as C
+from tallyline.operators import compare_digests as D
 from tallyline.registry import inputs as I
 
 KEY = ["o_orderkey"]
@@ -49,6 +50,10 @@ _BLANKS_SQL = """SELECT o_orderkey, concat(chr(9), o_orderstatus, chr(10)) AS o_
   concat('  ', o_orderpriority) AS o_orderpriority FROM orders"""
 _PLAIN_SQL = "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders"
 
+# One row in a thousand is changed or gone, all others differ in blanks at most.
+_NEAR_SQL = """SELECT o_orderkey, CASE WHEN o_orderkey % 1999 = 0 THEN 'changed' ELSE concat(o_orderstatus, ' ') END AS o_orderstatus,
+  o_orderpriority FROM orders WHERE o_orderkey % 2003 <> 0"""
+
 # Side 2 lost one column and gained two, one of them blank.
 _DRIFT_SQL = """SELECT o_orderkey, o_orderstatus, ' ' AS remark,
   CASE WHEN o_orderkey % 4 = 0 THEN 'new' ELSE '' END AS flag FROM orders"""
@@ -70,6 +75,15 @@ def compare_full(spark, sf):
     return C.compare(*I.orders_pair(spark, sf), KEY)
 
 
+def compare_by_digest(spark, sf):
+    return D.compare_by_digest(*I.orders_pair(spark, sf), KEY)
+
+
+def compare_nearly_equal(spark, sf):
+    """One order in a thousand differs."""
+    return D.compare_by_digest(*_sides(spark, sf, _PLAIN_SQL, _NEAR_SQL), KEY)
+
+
 def compare_summary(spark, sf):
     return C.summarize(C.compare(*I.orders_pair(spark, sf), KEY))
 
@@ -118,7 +132,7 @@ def compare_duplicate_keys(spark, sf):
 QUERIES = {
     q.__name__: q
     for q in (
-        compare_full, compare_summary, compare_cells, compare_only_left, compare_only_right, compare_key_union,
+        compare_full, compare_by_digest, compare_nearly_equal, compare_summary, compare_cells, compare_only_left, compare_only_right, compare_key_union,
         compare_whitespace, compare_schema_drift, compare_default_key, compare_composite_key, compare_key_function,
         compare_duplicate_keys,
     )
@@ -134,6 +148,8 @@ _PAIR = f"WITH a AS ({I.ORDERS_A_SQL}), b AS ({I.ORDERS_B_SQL})"
 
 ORACLES = {
     "compare_full": _FULL,
+    "compare_by_digest": _FULL,
+    "compare_nearly_equal": compare_sql(_PLAIN_SQL, _NEAR_SQL, KEY, ["o_orderkey", "o_orderstatus", "o_orderpriority"]),
     "compare_summary": f'SELECT "RESULT", count(*) AS rows FROM ({_FULL}) GROUP BY "RESULT"',
     "compare_cells": f"{_PAIR} {_CELLS}",
     "compare_only_left": f"{_PAIR} SELECT * FROM a WHERE o_orderkey NOT IN (SELECT o_orderkey FROM b)",

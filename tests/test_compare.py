@@ -177,3 +177,28 @@ def test_reconcile_files(spark, tmp_path):
         "1,\"l1\nl2\",n,MISMATCHED,NOTE: 'n' -> 'm'\r\n"
         '3,"q""q",,ONLY_IN_FILE2,\r\n'
     )
+
+
+def test_a_repeated_key_is_an_error_whatever_is_asked(spark):
+    a = strings(spark, ["k", "v"], [("1", "a"), ("1", "b"), ("2", "c")])
+    b = strings(spark, ["k", "v"], [("1", "a"), ("1", "b"), ("1", "c")])
+    unique = strings(spark, ["k", "v"], [("1", "a"), ("2", "c")])
+    for one, two, side in ((a, b, "FILE[12]"), (a, unique, "FILE1"), (unique, b, "FILE2")):
+        for ask in (
+            lambda df: df.count(),
+            lambda df: df.select("v").collect(),
+            lambda df: df.select("RESULT").distinct().collect(),
+            lambda df: df.limit(1).collect(),
+            lambda df: C.summarize(df).collect(),
+        ):
+            with pytest.raises(C.DuplicateKeyError, match=f"duplicate key on {side}: 1"):
+                ask(C.compare(one, two, ["k"]))
+        with pytest.raises(C.DuplicateKeyError):
+            C.differing_cells(one, two, ["k"]).count()
+    assert C.compare(unique, unique, ["k"]).count() == 2
+
+
+def test_the_check_for_repeated_keys_adds_no_exchange(spark):
+    a = spark.range(10).select("id", F.lit("x").alias("v"))
+    plan = C.compare(a, a, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
