@@ -17,6 +17,8 @@ from math import factorial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyline.session import materialize
+
 FILTERS = "ABCDE"
 #: Limits of the filters on texts.
 LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS = 200, 50, 3
@@ -81,6 +83,7 @@ def failure_counts(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"
     groups = facts.groupBy("digest", "failed", "part", "good", "toxic").agg(
         F.sum("n").alias("n"), F.min("doc_id").alias("first"), F.min_by("n", "doc_id").alias("n_first"), F.sum(F.when(F.col("doc_id").isNull(), F.col("n"))).alias("n_none")
     )
+    groups = materialize(groups, "copies")
     least = groups.groupBy("digest").agg(F.min("first").alias("least"))
     held = F.when(F.col("first") == F.col("least"), F.col("n_first")).otherwise(0) + F.coalesce("n_none", F.lit(0))
     split = groups.join(least, "digest").select(
