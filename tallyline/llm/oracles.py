@@ -43,21 +43,37 @@ v AS (
   SELECT lang, source, measure, value - value % (1::BIGINT << greatest(length(bin(value)) - 6, 0)) AS bucket
   FROM (SELECT * FROM m WHERE NOT base_failed) UNPIVOT (value FOR measure IN (symbol_share, line_repeat_share, word_repeat_share, shout_share, word_length))
 ),
+o AS (SELECT lang, source, measure, bucket, count(*)::HUGEINT AS n FROM v GROUP BY ALL),
+g3 AS (SELECT measure, bucket, sum(n)::HUGEINT AS w FROM o GROUP BY ALL),
+t3 AS (SELECT measure, sum(w)::HUGEINT AS t FROM g3 GROUP BY ALL),
+g2 AS (
+  SELECT lang, measure, bucket, sum(w)::HUGEINT AS w
+  FROM (
+    SELECT lang, measure, bucket, n * t AS w FROM (SELECT lang, measure, bucket, sum(n)::HUGEINT AS n FROM o GROUP BY ALL) JOIN t3 USING (measure)
+    UNION ALL SELECT lang, measure, bucket, 100 * w FROM (SELECT DISTINCT lang, measure FROM o) JOIN g3 USING (measure)
+  ) GROUP BY ALL
+),
+t2 AS (SELECT lang, measure, sum(w)::HUGEINT AS t FROM g2 GROUP BY ALL),
+g1 AS (
+  SELECT lang, source, measure, bucket, sum(w)::HUGEINT AS w
+  FROM (
+    SELECT o.lang, o.source, o.measure, o.bucket, o.n * t2.t AS w FROM o JOIN t2 ON o.lang IS NOT DISTINCT FROM t2.lang AND o.measure = t2.measure
+    UNION ALL
+    SELECT x.lang, x.source, x.measure, g2.bucket, 100 * g2.w
+    FROM (SELECT DISTINCT lang, source, measure FROM o) x JOIN g2 ON x.lang IS NOT DISTINCT FROM g2.lang AND x.measure = g2.measure
+  ) GROUP BY ALL
+),
+u AS (
+  SELECT *, sum(w) OVER (PARTITION BY lang, source, measure ORDER BY bucket) AS upto, sum(w) OVER (PARTITION BY lang, source, measure) AS total FROM g1
+),
 q AS (
-  SELECT lang, source, measure, g, count(*) AS rows, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3
-  FROM (SELECT lang, source, measure, bucket, 1 AS g FROM v UNION ALL SELECT lang, NULL, measure, bucket, 2 FROM v UNION ALL SELECT NULL, NULL, measure, bucket, 3 FROM v)
-  GROUP BY ALL
+  SELECT lang, source, measure, min(bucket) FILTER (WHERE 4 * upto >= total) AS q1, min(bucket) FILTER (WHERE 4 * upto >= 3 * total) AS q3 FROM u GROUP BY ALL
 ),
 c AS (
   SELECT *, 4 * greatest(q3 - q1, CASE measure WHEN 'symbol_share' THEN 10 WHEN 'line_repeat_share' THEN 100 WHEN 'word_repeat_share' THEN 50 WHEN 'shout_share' THEN 25 ELSE 60 END) AS reach
   FROM q
 ),
-e AS (SELECT lang, source, measure, g, rows, CASE WHEN measure = 'word_length' THEN q1 - reach ELSE -1 END AS low, q3 + reach AS high FROM c),
-cuts AS (
-  SELECT o.lang, o.source, o.measure, CASE WHEN o.rows >= 200 THEN o.low WHEN l.rows >= 200 THEN l.low ELSE a.low END AS low,
-    CASE WHEN o.rows >= 200 THEN o.high WHEN l.rows >= 200 THEN l.high ELSE a.high END AS high
-  FROM e o JOIN e l ON o.g = 1 AND l.g = 2 AND o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure JOIN e a ON a.g = 3 AND a.measure = o.measure
-),
+cuts AS (SELECT lang, source, measure, CASE WHEN measure = 'word_length' THEN q1 - reach ELSE -1 END AS low, q3 + reach AS high FROM c),
 bad AS (
   SELECT DISTINCT k
   FROM (SELECT k, lang, source, measure, value FROM m UNPIVOT (value FOR measure IN (symbol_share, line_repeat_share, word_repeat_share, shout_share, word_length))) x

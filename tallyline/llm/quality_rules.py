@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyline.operators.joins import lookup
+from tallyline.operators.joins import fits_broadcast, lookup
 from tallyline.session import materialize
 
 #: Fixed values of the rules: characters that count as symbols, and the blanks between words.
@@ -19,8 +19,8 @@ SYMBOLS = "[#*$%&|<>]"
 BLANKS = r"[\x09-\x0D\x20]+"
 REPEAT_WINDOW = 5
 
-#: Rows a group needs for thresholds of its own; smaller ones take those of their language, then of all rows.
-LEAST_ROWS = 200
+#: Rows that a language's sketch counts for in those of its sources, and that of all rows in those of the languages.
+PRIOR_ROWS = 100
 #: Distance of a threshold from the outer quartile, in times the spread between the quartiles.
 REACH = 4
 
@@ -151,36 +151,51 @@ def _group_key(lang: Column, source: Column) -> Column:
     return F.concat_ws("\u0001", F.coalesce(F.concat(F.lit("0"), lang), F.lit("1")), F.coalesce(F.concat(F.lit("0"), source), F.lit("1")))
 
 
-def _quartiles(parts: DataFrame, keys: list[str], reach: int, measures: tuple[Measure, ...], name: str) -> DataFrame:
-    """Merged sketches by ``keys``: ``name`` is the struct (rows, low, high) of each group and measure."""
+_WEIGHT = "decimal(38,0)"
+
+
+def _pooled(own: DataFrame, parent: DataFrame, prior_rows: int) -> DataFrame:
+    """``key``, ``measure``, ``bucket``, ``w``: the sketches of ``own`` (``key``, ``up``, ``measure``, ``bucket``, ``n``), each with its parent's.
+
+    The parent, found by ``up``, counts like ``prior_rows`` rows that are spread as it is. Weights are whole numbers: own rows
+    times the parent's total, and the parent's weights times ``prior_rows``.
+    """
+    above = F.broadcast(parent) if fits_broadcast(parent) else parent
+    above = above.select(F.col("key").alias("up"), "measure", F.col("bucket").alias("b"), "w")
+    totals = above.groupBy("up", "measure").agg(F.sum("w").alias("t"))
+    leaned = own.select("key", "up", "measure").distinct().join(above, ["up", "measure"]).select("key", "measure", F.col("b").alias("bucket"), (F.col("w") * prior_rows).cast(_WEIGHT).alias("w"))
+    scaled = own.join(totals, ["up", "measure"]).select("key", "measure", "bucket", (F.col("n") * F.col("t")).cast(_WEIGHT).alias("w"))
+    return leaned.unionByName(scaled).groupBy("key", "measure", "bucket").agg(F.sum("w").cast(_WEIGHT).alias("w"))
+
+
+def _quartiles(pooled: DataFrame, reach: int, measures: tuple[Measure, ...]) -> DataFrame:
+    """``key``, ``measure``, ``low``, ``high`` of every sketch."""
     spread = F.element_at(F.create_map(*[x for m in measures for x in (F.lit(m.name), F.lit(m.spread))]), F.col("measure"))
-    merged = parts.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy(*keys, "measure")
-    ranked = merged.withColumn("total", F.sum("n").over(group)).withColumn("upto", F.sum("n").over(group.orderBy("bucket")))
+    group = Window.partitionBy("key", "measure")
+    ranked = pooled.withColumn("total", F.sum("w").over(group)).withColumn("upto", F.sum("w").over(group.orderBy("bucket")))
     at = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, F.col("bucket")))
-    cut = ranked.groupBy(*keys, "measure").agg(F.max("total").alias("rows"), at(1).alias("q1"), at(3).alias("q3"))
+    cut = ranked.groupBy("key", "measure").agg(at(1).alias("q1"), at(3).alias("q3"))
     wide = cut.withColumn("spread", F.greatest(F.col("q3") - F.col("q1"), spread))
-    ends = F.struct("rows", (F.col("q1") - F.col("spread") * reach).alias("low"), (F.col("q3") + F.col("spread") * reach).alias("high"))
-    return wide.select(*keys, "measure", ends.alias(name))
+    return wide.select("key", "measure", (F.col("q1") - F.col("spread") * reach).alias("low"), (F.col("q3") + F.col("spread") * reach).alias("high"))
 
 
-def thresholds(parts: DataFrame, measures: tuple[Measure, ...] = MEASURES, least_rows: int = LEAST_ROWS, reach: int = REACH) -> DataFrame:
+def thresholds(parts: DataFrame, measures: tuple[Measure, ...] = MEASURES, prior_rows: int = PRIOR_ROWS, reach: int = REACH) -> DataFrame:
     """``group`` and, per measure, ``<name>_low`` and ``<name>_high`` for every language and source in ``parts``.
 
-    Sketches of sources are merged into sketches of languages and of everything; each level gives the quartiles, and a
-    group with fewer than ``least_rows`` rows takes the next level's. high = upper quartile + reach * spread, low =
-    lower quartile - reach * spread, where spread is the distance of the quartiles but at least the measure's own.
+    Sketches of sources are merged into sketches of languages and of everything. Then every language's has that of
+    everything added with the weight of ``prior_rows`` rows, and every source's that of its language: each group has
+    thresholds of its own, and the fewer rows it has, the more it leans on the larger ones. high = upper quartile + reach
+    * spread, low = lower quartile - reach * spread, where spread is the distance of the quartiles but at least the
+    measure's own.
     """
-    own = _quartiles(parts, ["lang", "source"], reach, measures, "of_own").alias("o")
-    lang = _quartiles(parts, ["lang"], reach, measures, "of_lang").alias("l")
-    every = _quartiles(parts, [], reach, measures, "of_all").alias("e")
-    levels = own.join(lang, F.expr("o.lang <=> l.lang and o.measure = l.measure")).join(every, F.expr("o.measure = e.measure"))
-    cut = F.when(F.col("of_own.rows") >= least_rows, F.col("of_own")).when(F.col("of_lang.rows") >= least_rows, F.col("of_lang")).otherwise(F.col("of_all"))
-    chosen = levels.select(_group_key(F.col("o.lang"), F.col("o.source")).alias("group"), F.col("o.measure").alias("measure"), cut.alias("cut"))
-    ends = [
-        F.max(F.when(F.col("measure") == m.name, F.col(f"cut.{end}"))).alias(f"{m.name}_{end}") for m in measures for end, used in (("low", m.low), ("high", m.high)) if used
-    ]
-    return chosen.groupBy("group").agg(*ends)
+    lang, pair = _group_key(F.col("lang"), F.lit(None).cast("string")), _group_key(F.col("lang"), F.col("source"))
+    counted = materialize(parts.select(pair.alias("key"), lang.alias("up"), F.lit("all").alias("top"), "measure", "bucket", "n"), "sketches")
+    every = counted.groupBy(F.col("top").alias("key"), "measure", "bucket").agg(F.sum("n").cast(_WEIGHT).alias("w"))
+    langs = counted.groupBy(F.col("up").alias("key"), F.col("top").alias("up"), "measure", "bucket").agg(F.sum("n").alias("n"))
+    of_langs = materialize(_pooled(langs, every, prior_rows), "language-sketches")
+    cut = _quartiles(_pooled(counted.drop("top"), of_langs, prior_rows), reach, measures)
+    ends = [F.max(F.when(F.col("measure") == m.name, F.col(end))).alias(f"{m.name}_{end}") for m in measures for end, used in (("low", m.low), ("high", m.high)) if used]
+    return cut.groupBy(F.col("key").alias("group")).agg(*ends)
 
 
 def quality_verdicts(
@@ -190,7 +205,7 @@ def quality_verdicts(
     lang_column: str = "lang",
     source_column: str = "source",
     measures: tuple[Measure, ...] = MEASURES,
-    least_rows: int = LEAST_ROWS,
+    prior_rows: int = PRIOR_ROWS,
     reach: int = REACH,
 ) -> DataFrame:
     """The counts of every row, ``base_failed``, and ``kept``: base rules passed and every measure within its thresholds.
@@ -200,7 +215,7 @@ def quality_verdicts(
     Null and empty texts fail the base rules; repeated rows are rows of their own; other columns are ignored.
     """
     rows = measured(docs, id_column, text_column, lang_column, source_column)
-    cuts = materialize(thresholds(sketches(rows, measures), measures, least_rows, reach), "thresholds")
+    cuts = materialize(thresholds(sketches(rows, measures), measures, prior_rows, reach), "thresholds")
     joined = lookup(rows.withColumn("group", _group_key(F.col("lang"), F.col("source"))), cuts, "group")
     inside = F.lit(True)
     for m in measures:
