@@ -190,7 +190,7 @@ def _of_slice(texts: pa.Array) -> tuple[np.ndarray, pa.StructArray, list[bytes]]
     return np.column_stack((lengths, np.bincount(text, minlength=len(words)))), runs, out
 
 
-def runs_of(text: Column) -> Column:
+def runs_of(text: Column, slice_bytes: int = SLICE_BYTES) -> Column:
     """``n_words``, ``runs`` (``start``, ``length``, ``period`` in words, by start and period) and ``collapsed`` of a text.
 
     Words are the runs without spaces and control blanks, told apart by case. ``collapsed`` is the text with one space
@@ -201,7 +201,7 @@ def runs_of(text: Column) -> Column:
     @F.arrow_udf(_FOUND)
     def find(texts: pa.Array) -> pa.Array:
         facts, runs, out = [np.empty((0, 2), dtype=np.int64)], [], []
-        for _, part in row_slices(texts, SLICE_BYTES):
+        for _, part in row_slices(texts, slice_bytes):
             of_text, found, collapsed = _of_slice(part)
             facts.append(of_text)
             runs.append(found)

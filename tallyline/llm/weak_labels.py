@@ -19,7 +19,7 @@ TRAINING_ROWS = 20_000
 ROUNDS = 40
 _STEP, _DECAY = 0.5, 1e-5
 #: Bytes of text whose features are in memory at once; a longer text counts alone.
-_SLICE = 4 << 20
+_SLICE = 1 << 20
 
 # Classes of bytes for word shapes: a run of one class counts once.
 _SHAPE = np.arange(256, dtype=np.uint8)
@@ -58,8 +58,38 @@ LABELLERS = (
 _COUNTS = ("n_words", "n_chars", "n_signs", "n_sign_words", "n_upper_words", "n_shout_words", "n_stops", "n_stutters", "n_distinct")
 
 
-def _block_counts(block: Block, rows: int) -> np.ndarray:
-    """The counts of a block, (rows, counts); words are told apart within the block."""
+class _Part(NamedTuple):
+    """Words of some rows, and what the row of the first one has had in earlier parts: its last word, or None, and all its words."""
+
+    block: Block
+    last: np.uint64 | None
+    seen: np.ndarray
+
+
+def _parts(texts: pa.Array) -> Iterator[_Part]:
+    """The words of a string array in parts; a text longer than a part comes in several, the last of which may go on with other rows."""
+    row, last, seen = -1, None, np.empty(0, dtype=np.uint64)
+    for block in word_blocks(texts, SPACE_BREAKS, lower=False):
+        if not len(block.row):
+            continue
+        if block.row[0] != row:
+            last, seen = None, np.empty(0, dtype=np.uint64)
+        yield _Part(block, last, seen)
+        one_row = block.row[0] == block.row[-1]
+        seen = np.union1d(seen, block.hash) if one_row else np.empty(0, dtype=np.uint64)
+        row, last = int(block.row[-1]), block.hash[-1]
+
+
+def _repeats(part: _Part) -> np.ndarray:
+    """Places of the words that equal the one before in their text."""
+    block = part.block
+    same = np.flatnonzero((block.hash[1:] == block.hash[:-1]) & (block.row[1:] == block.row[:-1])) + 1
+    return np.concatenate(([0], same)) if part.last is not None and part.last == block.hash[0] else same
+
+
+def _part_counts(part: _Part, rows: int) -> np.ndarray:
+    """The counts of a part, (rows, counts); added up over the parts of a text they are those of the whole."""
+    block = part.block
     raw, row, start, end = block.raw, block.row, block.start, block.end
 
     def per_word(mask: np.ndarray) -> np.ndarray:
@@ -71,10 +101,12 @@ def _block_counts(block: Block, rows: int) -> np.ndarray:
     small = per_word((raw >= 97) & (raw <= 122))
     chars = per_word((raw & 0xC0) != 0x80)
     same = np.zeros(len(row), dtype=bool)
-    same[1:] = (block.hash[1:] == block.hash[:-1]) & (row[1:] == row[:-1])
+    same[_repeats(part)] = True
     order = np.lexsort((block.hash, row))
     fresh = np.ones(len(row), dtype=bool)
     fresh[1:] = (block.hash[order][1:] != block.hash[order][:-1]) | (row[order][1:] != row[order][:-1])
+    if len(part.seen):
+        fresh &= (row[order] != row[0]) | ~np.isin(block.hash[order], part.seen)
     columns = (
         np.ones(len(row)),
         chars,
@@ -100,30 +132,37 @@ def _shapes(block: Block) -> np.ndarray:
     return hash_words(shape[new], place[block.start], place[block.end])
 
 
-def _features(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Row and slot of every feature: words, shapes, and a mark for a word that repeats the one before."""
-    slots = np.concatenate([block.hash, _shapes(block) + np.uint64(0x9E3779B97F4A7C15)]) >> np.uint64(64 - FEATURE_BITS)
-    same = np.flatnonzero((block.hash[1:] == block.hash[:-1]) & (block.row[1:] == block.row[:-1])) + 1
-    row = np.concatenate([block.row, block.row, block.row[same]])
-    return row, np.concatenate([slots.astype(np.int64), np.full(len(same), 1, dtype=np.int64)])
-
-
-def _blocks(texts: pa.Array) -> Iterator[Block]:
-    return word_blocks(texts, SPACE_BREAKS, lower=False)
+def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, slot and weight (unit length per row) of the features: words, shapes, and a mark for a word that repeats the one before."""
+    keys, counts = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+    for part in _parts(texts):
+        block, same = part.block, _repeats(part)
+        slots = np.concatenate([block.hash, _shapes(block) + np.uint64(0x9E3779B97F4A7C15)]) >> np.uint64(64 - FEATURE_BITS)
+        row = np.concatenate([block.row, block.row, block.row[same]])
+        slot = np.concatenate([slots.astype(np.int64), np.full(len(same), 1, dtype=np.int64)])
+        key, n = np.unique(row * (1 << FEATURE_BITS) + slot, return_counts=True)
+        keys.append(key)
+        counts.append(n)
+    # Counts of a slot join before they are squared, so the parts of a text are put together first.
+    key, place = np.unique(np.concatenate(keys), return_inverse=True)
+    n = np.bincount(place, weights=np.concatenate(counts), minlength=len(key))
+    row, slot = key >> FEATURE_BITS, key & ((1 << FEATURE_BITS) - 1)
+    norm = np.sqrt(np.bincount(row, weights=n * n, minlength=len(texts)))
+    return row, slot, n / norm[row]
 
 
 def profiles(docs: DataFrame, text: Column, *keep: Column) -> DataFrame:
     """``keep`` columns and the counts the labellers read, for every row; null and empty texts count zero.
 
-    Whole texts are read. A text longer than a block (2 MB) has its distinct words counted per block.
+    Texts of any length count as a whole: of one longer than a part (``words.BLOCK_BYTES``) the different words and the last one are kept.
     """
 
     @F.arrow_udf("struct<" + ",".join(f"{c}:bigint" for c in _COUNTS) + ">")
     def count(texts: pa.Array) -> pa.Array:
         total = np.zeros((len(texts), len(_COUNTS)), dtype=np.int64)
         for first, part in row_slices(texts, _SLICE):
-            for block in _blocks(part):
-                total[first : first + len(part)] += _block_counts(block, len(part))
+            for piece in _parts(part):
+                total[first : first + len(part)] += _part_counts(piece, len(part))
         return pa.StructArray.from_arrays([pa.array(total[:, k]) for k in range(len(_COUNTS))], names=list(_COUNTS))
 
     return docs.select(*keep, count(text.cast("string")).alias("counts")).select("*", "counts.*").drop("counts")
@@ -199,21 +238,14 @@ def training_rows(docs: DataFrame, id_column: str, text: Column, model: LabelMod
 
     @F.arrow_udf("struct<slots:array<int>,values:array<float>>")
     def hashed(texts: pa.Array) -> pa.Array:
-        keys, counts = [], []
-        for block in _blocks(texts):
-            row, slot = _features(block)
-            key, n = np.unique(row * (1 << FEATURE_BITS) + slot, return_counts=True)
-            keys.append(key)
-            counts.append(n)
-        key = np.concatenate(keys) if keys else np.empty(0, np.int64)
-        key, place = np.unique(key, return_inverse=True)
-        n = np.bincount(place, weights=np.concatenate(counts) if counts else np.empty(0), minlength=len(key)).astype(float)
-        row = key >> FEATURE_BITS
-        norm = np.sqrt(np.bincount(row, weights=n * n, minlength=len(texts)))
-        offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(texts))))), pa.int32())
-        slots = pa.ListArray.from_arrays(offsets, pa.array((key & ((1 << FEATURE_BITS) - 1)).astype(np.int32)))
-        values = pa.ListArray.from_arrays(offsets, pa.array((n / norm[row]).astype(np.float32)))
-        return pa.StructArray.from_arrays([slots, values], names=["slots", "values"])
+        lists = []
+        for _, part in row_slices(texts, _SLICE):
+            row, slot, value = _features(part)
+            offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(part))))), pa.int32())
+            arrays = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (slot.astype(np.int32), value.astype(np.float32))]
+            lists.append(pa.StructArray.from_arrays(arrays, names=["slots", "values"]))
+        kind = pa.struct([("slots", pa.list_(pa.int32())), ("values", pa.list_(pa.float32()))])
+        return pa.concat_arrays(lists) if lists else pa.array([], kind)
 
     sample = docs.where(drawn).select(text.alias("text"))
     voted = profiles(sample, F.col("text"), F.col("text")).select("text", votes().alias("votes"))
@@ -262,19 +294,8 @@ def score(text: Column, weights: np.ndarray) -> Column:
     """Probability of a good text; null and empty texts get that of the bias alone."""
 
     def of(texts: pa.Array) -> np.ndarray:
-        count = len(texts)
-        # Counts of a slot join before they are squared, so rows are put together over all blocks of a batch.
-        parts = []
-        for block in _blocks(texts):
-            row, slot = _features(block)
-            parts.append(np.unique(row * (1 << FEATURE_BITS) + slot, return_counts=True))
-        key = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, np.int64)
-        n = np.concatenate([p[1] for p in parts]).astype(float) if parts else np.empty(0)
-        key, place = np.unique(key, return_inverse=True)
-        n = np.bincount(place, weights=n, minlength=len(key))
-        row, slot = key >> FEATURE_BITS, key & ((1 << FEATURE_BITS) - 1)
-        norm = np.sqrt(np.maximum(np.bincount(row, weights=n * n, minlength=count), 1e-12))
-        total = np.bincount(row, weights=weights[slot] * n, minlength=count) / norm + weights[-1]
+        row, slot, value = _features(texts)
+        total = np.bincount(row, weights=weights[slot] * value, minlength=len(texts)) + weights[-1]
         return 1 / (1 + np.exp(-total))
 
     @F.arrow_udf("double")

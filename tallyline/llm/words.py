@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 512 << 10
 
 #: Lower case for A-Z only; all other bytes, those of UTF-8 sequences included, stay.
 LOWER = np.arange(256, dtype=np.uint8)

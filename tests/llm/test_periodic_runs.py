@@ -103,13 +103,14 @@ def test_a_very_long_text_and_long_periods(spark):
     assert one["collapsed"] == " ".join(plain + base + ["end"]) and two["runs"] == [] and two["n_words"] == 150_000
 
 
-def test_slices_give_what_whole_batches_give(spark, monkeypatch):
+def test_slices_give_what_whole_batches_give(spark):
     rng = random.Random(3)
     texts = [" ".join(repetitive(rng)) for _ in range(40)] + ["", None]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     want = {i: (brute_runs((t or "").split()), collapsed((t or "").split(), brute_runs((t or "").split()))) for i, t in enumerate(texts)}
-    monkeypatch.setattr(R, "SLICE_BYTES", 64)
-    assert {r["doc_id"]: ([tuple(x) for x in r["runs"]], r["collapsed"]) for r in R.periodic_runs(docs).collect()} == want
+    for size in (64, 1 << 20):
+        found = docs.select("doc_id", R.runs_of(F.col("text"), size).alias("f")).select("doc_id", "f.*")
+        assert {r["doc_id"]: ([tuple(x) for x in r["runs"]], r["collapsed"]) for r in found.collect()} == want
 
 
 def test_the_query_equals_brute_force_on_every_document(spark, tmp_path):

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyline.llm import weak_labels as Q
@@ -56,3 +57,39 @@ def test_profiles_count_words(spark):
     row, empty = Q.profiles(docs, docs["text"]).collect()
     assert row.asDict() == {"n_words": 8, "n_chars": 24, "n_signs": 4, "n_sign_words": 2, "n_upper_words": 1, "n_shout_words": 1, "n_stops": 3, "n_stutters": 1, "n_distinct": 7}
     assert set(empty.asDict().values()) == {0}
+
+
+def test_texts_longer_than_a_part_count_as_a_whole(spark, monkeypatch):
+    words = ["alpha", "beta", "gamma", "delta", "epsilon"]
+    long = " ".join(words[k // 3 % 5] for k in range(800_000))
+    docs = spark.createDataFrame([(long,), ("x x",)], "text string")
+    row, short = sorted(Q.profiles(docs, docs["text"]).collect(), key=lambda r: -r["n_words"])
+    assert (row["n_words"], row["n_distinct"], row["n_stutters"]) == (800_000, 5, 533_333)
+    assert (short["n_distinct"], short["n_stutters"]) == (1, 1)
+    pick, whole = random.Random(3), Q.word_blocks
+    texts = pa.array([" ".join(pick.choice(words + ["A!", "##", "é."]) for _ in range(pick.randrange(60))) for _ in range(30)] + [None, ""])
+    counts = lambda: sum(Q._part_counts(p, len(texts)) for p in Q._parts(texts))
+    plain, features = counts(), Q._features(texts)
+    for size in (3, 17, 100):
+        monkeypatch.setattr(Q, "word_blocks", lambda t, b, lower, size=size: whole(t, b, size, lower=lower))
+        assert (counts() == plain).all()
+        assert all(np.allclose(a, b) for a, b in zip(Q._features(texts), features))
+    monkeypatch.undo()
+    for k, text in enumerate(texts.to_pylist()):
+        own = (text or "").split()
+        assert plain[k, 0] == len(own) and plain[k, 8] == len(set(own)) and plain[k, 7] == sum(a == b for a, b in zip(own, own[1:]))
+
+
+def test_the_scorer_is_logistic_regression_on_the_features(spark):
+    """Scores of the tasks against the plain formula, from the weights and one text's features."""
+    rows = corpus()[:80]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    model, weights = Q.fit(docs)
+    assert model.posterior and np.isfinite(weights).all()
+    got = {r["doc_id"]: r["s"] for r in docs.select("doc_id", Q.score(docs["text"], weights).alias("s")).collect()}
+    for i, (_, text) in enumerate(rows):
+        own = text.split()
+        _, slot, value = Q._features(pa.array([text]))
+        assert np.isclose((value**2).sum(), 1) and len(slot) <= 2 * len(set(own)) + 1
+        odds = sum(weights[s] * v for s, v in zip(slot, value)) + weights[-1]
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-odds)), abs=1e-9)
