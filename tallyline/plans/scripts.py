@@ -13,7 +13,7 @@ from tallyline.session import materialize
 from tallyline.sinks.csv_files import headed_lines, write_report
 from tallyline.sinks.file_tree import write_files
 from tallyline.sources.pk_list import read_pk_list
-from tallyline.sources.scripts import ANY, SQL_ANY_CASE, SQL_OR_BQ, read_scripts, skipped_scripts
+from tallyline.sources.scripts import ANY, SQL_ANY_CASE, SQL_OR_BQ, accepted, read_scripts, rejected, scan_scripts
 
 # Report headers.
 SUMMARY_HEADERS = ["File Name", "Source Tables", "Target Tables"]
@@ -78,23 +78,21 @@ def line_count_job(spark: SparkSession, source: str, *, charset: str = "UTF-8",
     ``files`` holds whole names, targets and sources, ``shown`` the values cut for display. Files above ``max_bytes``,
     if given, are listed in ``skipped`` with those that cannot be read.
     """
-    scripts = read_scripts(spark, source, glob=ANY, charset=charset, max_bytes=max_bytes)
-    stats = materialize(line_stats.file_line_stats(scripts), "lines")
+    scanned = scan_scripts(spark, source, glob=ANY, charset=charset, max_bytes=max_bytes)
+    stats = materialize(line_stats.file_line_stats(accepted(scanned)), "lines")
     return {
         "files": stats,
         "shown": line_stats.display_stats(stats),
         "extensions": line_stats.extension_counts(stats),
         "sources": lineage_reports.distinct_sources(stats),
-        "skipped": skipped_scripts(spark, source, glob=ANY, charset=charset, max_bytes=max_bytes),
+        "skipped": rejected(scanned),
     }
 
 
 def statistics_job(spark: SparkSession, source: str, *, charset: str = "UTF-8") -> dict[str, DataFrame]:
     """Tables and ``SELECT *`` of every ``.sql`` and ``.bq`` script, and the files left out."""
-    return {
-        "files": extract_stats(read_scripts(spark, source, glob=SQL_OR_BQ, charset=charset)),
-        "skipped": skipped_scripts(spark, source, glob=SQL_OR_BQ, charset=charset),
-    }
+    scanned = scan_scripts(spark, source, glob=SQL_OR_BQ, charset=charset)
+    return {"files": extract_stats(accepted(scanned)), "skipped": rejected(scanned)}
 
 
 def block_job(

@@ -9,8 +9,8 @@ from tallyline.operators.lineage import extract_stats
 from tallyline.operators.line_stats import extension_counts
 from tallyline.registry import inputs as I
 from tallyline.session import charset_support, scratch_path
-from tallyline.sinks.file_tree import write_files
-from tallyline.sources.scripts import decode_text, encode_text, read_scripts, skipped_scripts
+from tallyline.sinks.file_tree import read_manifest, tree_contents, tree_faults, write_files, write_tree
+from tallyline.sources.scripts import decode_text, encode_text, read_scripts, scan_scripts, skipped_scripts
 
 # Every turn of a conversation is a file; one in five has another extension.
 FILES_SQL = """SELECT concat('c', CAST(conv_id % 10 AS STRING), '/', CAST(conv_id AS STRING), '_', CAST(turn AS STRING),
@@ -42,6 +42,44 @@ def corpus_skipped(spark, sf):
     return skipped_scripts(spark, root, strict=True, max_bytes=400)
 
 
+# Scripts of which some are no UTF-8 and some do not fit their checksum file; most checksum files are not there at all.
+_BROKEN_SQL = f"""SELECT path, length(text) % 3 = 0 AS broken, CASE WHEN contains(text, 'a') THEN encode(text, 'UTF-8')
+  ELSE concat(encode(text, 'UTF-8'), X'FF') END AS content FROM ({FILES_SQL})"""
+
+
+def corpus_scan_tagged(spark, sf):
+    """Every script once, with its text or the reason why there is none: broken, too large, not UTF-8."""
+    root = scratch_path(spark, "corpus")
+    files = I.run_sql(spark, sf, _BROKEN_SQL, conversations="conversations")
+    # A checksum file in the local file system's form, with sums of zero.
+    sums = F.concat(F.unhex(F.lit("6372630000000200")), F.unhex(F.repeat(F.lit("00000000"), (F.octet_length("content") / 512 + 1).cast("int"))))
+    beside = F.concat(F.substring_index("path", "/", 1), F.lit("/."), F.substring_index("path", "/", -1), F.lit(".crc"))
+    both = files.select(F.explode(F.array(F.struct("path", "content"), F.struct(F.when(F.col("broken"), beside).alias("path"), sums.alias("content")))).alias("f")).select("f.*")
+    write_files(both.where("path is not null"), root, F.col("path"), F.col("content"))
+    return scan_scripts(spark, root, strict=True, max_bytes=400)
+
+
+def file_tree(spark, sf):
+    """A tree of files written twice over another one, with its manifest, read back."""
+    root = f"{scratch_path(spark, 'tree')}/files"
+    turns = I.run_sql(spark, sf, FILES_SQL, conversations="conversations")
+    write_tree(turns.select(F.concat(F.lit("old/"), "path").alias("path"), F.upper("text").alias("text")), root, F.col("path"), F.col("text"))
+    for _ in range(2):
+        write_tree(turns, root, F.col("path"), F.col("text"))
+    found = tree_contents(spark, root).select("path", F.col("sha256").alias("found"), F.decode("content", "UTF-8").alias("text"))
+    return read_manifest(spark, root).join(found, "path", "full_outer")
+
+
+def file_tree_faults(spark, sf):
+    """Files of a tree that were changed and added behind its manifest."""
+    root = f"{scratch_path(spark, 'tree')}/files"
+    turns = I.run_sql(spark, sf, FILES_SQL, conversations="conversations")
+    write_tree(turns, root, F.col("path"), F.col("text"))
+    changed = turns.select(F.when(F.col("path").endswith(".txt"), F.concat("path", F.lit(".new"))).otherwise(F.col("path")).alias("path"), F.concat("text", F.lit("!")).alias("text"))
+    write_files(changed.where(~F.col("path").endswith(".SQL")), root, F.col("path"), F.col("text"))
+    return tree_faults(spark, root)
+
+
 def decode_replaced(spark, sf):
     """Every text as bytes with a bad byte at the end."""
     docs = I.documents(spark, sf, "doc_id, concat(encode(text, 'UTF-8'), X'FF') AS content")
@@ -110,7 +148,7 @@ def ext_counts(spark, sf):
 QUERIES = {
     q.__name__: q
     for q in (
-        corpus_scan, corpus_scan_any_case, corpus_skipped, decode_replaced, decode_strict, text_transcode, sql_strip_comments,
+        corpus_scan, corpus_scan_any_case, corpus_skipped, corpus_scan_tagged, file_tree, file_tree_faults, decode_replaced, decode_strict, text_transcode, sql_strip_comments,
         strip_comment_backticks, text_trailing_spaces, text_tabs_to_spaces, sql_statistics,
         sql_statistics_documents, ext_counts,
     )
@@ -135,6 +173,15 @@ ORACLES = {
     "corpus_skipped": f"""SELECT path, length, CASE WHEN length > 400 THEN 'too large' ELSE 'not UTF-8' END AS reason FROM (
       SELECT path, strlen(text) + CASE WHEN contains(text, 'a') THEN 0 ELSE 1 END AS length, NOT contains(text, 'a') AS bad FROM ({FILES_SQL}) WHERE path LIKE '%.sql')
       WHERE length > 400 OR bad""",
+    "corpus_scan_tagged": f"""SELECT path, split_part(path, '/', 2) AS name, length,
+      CASE WHEN length <= 400 AND NOT broken AND NOT bad THEN text END AS raw,
+      CASE WHEN length > 400 THEN 'too large' WHEN broken THEN 'unreadable' WHEN bad THEN 'not UTF-8' END AS reason
+      FROM (SELECT path, text, length(text) % 3 = 0 AS broken, NOT contains(text, 'a') AS bad,
+        strlen(text) + CASE WHEN contains(text, 'a') THEN 0 ELSE 1 END AS length FROM ({FILES_SQL}))
+      WHERE path LIKE '%.sql'""",
+    "file_tree": f"SELECT path, CAST(strlen(text) AS BIGINT) AS bytes, sha256(text) AS sha256, sha256(text) AS found, text FROM ({FILES_SQL})",
+    "file_tree_faults": f"""SELECT path, CASE WHEN path LIKE '%.new' THEN 'unlisted' ELSE 'changed' END AS fault
+      FROM (SELECT CASE WHEN path LIKE '%.txt' THEN concat(path, '.new') ELSE path END AS path FROM ({FILES_SQL})) WHERE path NOT LIKE '%.SQL'""",
     "decode_replaced": "SELECT doc_id, concat(text, chr(65533)) AS text FROM documents",
     "decode_strict": "SELECT doc_id, text FROM documents WHERE doc_id % 3 <> 0",
     "text_transcode": r"SELECT doc_id, regexp_replace(text, '[^\x{00}-\x{FF}]', '?', 'g') AS text FROM documents",

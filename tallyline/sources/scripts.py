@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.functions.text import file_name
-from tallyline.session import charset_support
+from tallyline.session import charset_support, materialize
 
 # File-name globs of the jobs.
 SQL = "*.sql"
@@ -27,6 +27,11 @@ def _relative(path: Column, root: str) -> Column:
     return F.when(at > 0, below).otherwise(file_name(path))
 
 
+def _expressed(content: str, charset: str, out: str) -> Column:
+    """Whether all bytes of ``content`` mean something; a text that already held U+FFFD encodes back to the same bytes."""
+    return ~F.contains(F.col(out), F.lit(_REPLACEMENT)) | (F.encode(F.col(out), charset) == F.col(content))
+
+
 def decode_text(spark: SparkSession, df: DataFrame, content: str, charset: str, out: str, *, strict: bool = False) -> DataFrame:
     """Add ``out``: the bytes of ``content`` read in ``charset``.
 
@@ -35,11 +40,7 @@ def decode_text(spark: SparkSession, df: DataFrame, content: str, charset: str,
     """
     with charset_support(spark):
         decoded = df.withColumn(out, F.decode(F.col(content), charset))
-        if not strict:
-            return decoded
-        # A text that already held U+FFFD encodes back to the same bytes.
-        back = F.encode(F.col(out), charset)
-        return decoded.where(~F.contains(F.col(out), F.lit(_REPLACEMENT)) | (back == F.col(content)))
+        return decoded.where(_expressed(content, charset, out)) if strict else decoded
 
 
 def encode_text(spark: SparkSession, df: DataFrame, text: str, charset: str, out: str, *, strict: bool = False) -> DataFrame:
@@ -77,6 +78,58 @@ def read_scripts(
     return decode_text(spark, named, "content", charset, "raw", strict=strict).drop("content")
 
 
+def _found(spark: SparkSession, path: str, glob: str, charset: str, strict: bool, max_bytes: int | None) -> tuple[DataFrame, DataFrame]:
+    """The listing (``file``, ``path``, ``length``, ``large``), and what could be read of it: (``file``, ``raw``, ``bad``)."""
+    reader = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=glob)
+    large = F.lit(False) if max_bytes is None else F.col("length") > max_bytes
+    listed = reader.load(path).select(F.col("path").alias("file"), _relative(F.col("path"), path).alias("path"), "length", large.alias("large"))
+    files = reader.options(ignoreCorruptFiles=True).load(path).where(~large)
+    # The condition keeps the content in the plan whatever is asked for, so every file is opened.
+    opened = files.where(F.octet_length("content") >= 0).select(F.col("path").alias("file"), "content")
+    with charset_support(spark):
+        decoded = opened.withColumn("raw", F.decode("content", charset))
+        bad = ~_expressed("content", charset, "raw") if strict else F.lit(False)
+        return listed, decoded.select("file", "raw", bad.alias("bad"))
+
+
+_SCANNED = ("path", "name", "length", "raw", "reason")
+
+
+def scan_scripts(
+    spark: SparkSession,
+    path: str,
+    *,
+    glob: str = SQL,
+    charset: str = "UTF-8",
+    strict: bool = False,
+    max_bytes: int | None = None,
+) -> DataFrame:
+    """Every file of some bytes below ``path`` once (Spark's readers pass over empty ones): (path, name, length, raw, reason), of which ``raw`` or ``reason`` is null.
+
+    ``reason`` is ``too large``, ``unreadable`` or ``not <charset>``. Contents are read in one pass, as this is called, and
+    stored, so :func:`accepted` and :func:`rejected` are two views of the same reading; what the pass has not come back
+    with is told by the listing, which opens no file.
+    """
+    listed, found = _found(spark, path, glob, charset, strict, max_bytes)
+    raw = F.when(~F.col("bad"), F.col("raw"))
+    stored = materialize(found.select("file", raw.alias("raw"), F.when(F.col("bad"), f"not {charset}").alias("reason")), "scripts")
+    facts = listed.select("file", "path", file_name(F.col("path")).alias("name"), "length", "large")
+    read = stored.join(facts, "file").select(*_SCANNED)
+    lost = facts.join(stored.select("file"), "file", "left_anti")
+    reason = F.when(F.col("large"), "too large").otherwise("unreadable")
+    return read.unionByName(lost.select("path", "name", "length", F.lit(None).cast("string").alias("raw"), reason.alias("reason")))
+
+
+def accepted(scanned: DataFrame) -> DataFrame:
+    """The scripts of :func:`scan_scripts`, in the shape of :func:`read_scripts`."""
+    return scanned.where("reason is null").drop("reason")
+
+
+def rejected(scanned: DataFrame) -> DataFrame:
+    """The files that :func:`scan_scripts` found no text in: (path, length, reason)."""
+    return scanned.where("reason is not null").select("path", "length", "reason")
+
+
 def skipped_scripts(
     spark: SparkSession,
     path: str,
@@ -86,25 +139,14 @@ def skipped_scripts(
     strict: bool = False,
     max_bytes: int | None = None,
 ) -> DataFrame:
-    """Files that :func:`read_scripts` leaves out with the same arguments: (path, length, reason).
+    """Files that :func:`read_scripts` leaves out with the same arguments: (path, length, reason), reasons as in :func:`scan_scripts`.
 
-    ``reason`` is ``too large``, ``unreadable`` or ``not <charset>``. The listing is compared with what was read, so a
-    file is in exactly one of the two.
+    Reads the contents and stores nothing; :func:`scan_scripts` is for those who want the texts too.
     """
-    options = {"recursiveFileLookup": True, "pathGlobFilter": glob}
-    reader = spark.read.format("binaryFile").options(**options)
-    listed = reader.load(path).select("path", "length")
-    fits = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
-    found = reader.options(ignoreCorruptFiles=True).load(path).where(fits).select("path", "content")
-    read = found.select("path", F.lit(True).alias("_read"))
-    if strict:
-        kept = decode_text(spark, found, "content", charset, "raw", strict=True)
-        read = read.join(kept.select("path", F.lit(True).alias("_kept")), "path", "left")
-    else:
-        read = read.withColumn("_kept", F.lit(True))
-    reason = F.when(~fits, "too large").when(F.col("_read").isNull(), "unreadable").when(F.col("_kept").isNull(), f"not {charset}")
-    told = listed.join(read, "path", "left").select(_relative(F.col("path"), path).alias("path"), "length", reason.alias("reason"))
-    return told.where("reason is not null")
+    listed, found = _found(spark, path, glob, charset, strict, max_bytes)
+    told = listed.join(found.select("file", "bad"), "file", "left")
+    reason = F.when(F.col("large"), "too large").when(F.col("bad").isNull(), "unreadable").when(F.col("bad"), f"not {charset}")
+    return told.select("path", "length", reason.alias("reason")).where("reason is not null")
 
 
 def scripts_from_table(df: DataFrame, path: Column, text: Column) -> DataFrame:
