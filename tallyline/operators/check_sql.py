@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyline.functions.arrays import explode_items, sorted_set
 from tallyline.functions.names import date_column, quote_hangul, table_key
-from tallyline.operators.joins import lookup
+from tallyline.operators.joins import skewed_lookup
 from tallyline.operators.lineage import long_form
 
 DIALECTS = ("bq", "oracle")
@@ -18,7 +18,7 @@ def with_pk_columns(tables: DataFrame, pk_list: DataFrame | None, table: str = "
     """Add ``pk_cols`` of each table; null where the list does not hold it."""
     if pk_list is None:
         return tables.withColumn("pk_cols", F.lit(None).cast("array<string>"))
-    return lookup(tables.withColumn("table_key", table_key(F.col(table))), pk_list, "table_key").drop("table_key")
+    return skewed_lookup(tables.withColumn("table_key", table_key(F.col(table))), pk_list, "table_key").drop("table_key")
 
 
 def reference_columns(table: Column, pk_cols: Column, dialect: str) -> dict[str, Column]:

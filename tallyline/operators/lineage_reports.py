@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyline.functions.arrays import explode_items, sorted_set
 from tallyline.functions.text import csv_field
-from tallyline.operators.joins import lookup
+from tallyline.operators.joins import skewed_lookup
 from tallyline.operators.lineage import role_entries
 
 LIST_SEPARATOR = "; "
@@ -222,7 +222,7 @@ def step_report_lines(step_rows: DataFrame, key: str = "name") -> DataFrame:
     )
     lists = _united(rows, ["file_name"], "sources", "targets")
     frames = spans.join(lists, "file_name").withColumnsRenamed({"sources": "_all_sources", "targets": "_all_targets"})
-    met = lookup(rows, frames, "file_name")
+    met = skewed_lookup(rows, frames, "file_name")
 
     total = F.col("_total").cast("string")
     opening = F.concat(

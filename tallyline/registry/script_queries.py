@@ -405,8 +405,14 @@ _STEPS = rf"""scripts AS ({I.SCRIPTS_SQL}),
   named AS (SELECT path, name, step, min(ord) AS first_ord, max_by(body, ord) AS raw FROM all_steps WHERE body <> '' GROUP BY 1, 2, 3),
   steps AS (SELECT path, name, row_number() OVER (PARTITION BY path ORDER BY first_ord) AS step_ord, step, raw FROM named)"""
 _WITH_STEPS = f"WITH {_STEPS}, {_std_ctes('steps', 'path, name, step')}"
-# The same, with every part worked out once although it is read up to four times.
-_STORED_STEPS = re.sub(r"\b([a-z_]+) AS \(", r"\1 AS MATERIALIZED (", _WITH_STEPS)
+_WITH_ONE_STEP = f"WITH {_STEPS}, one AS (SELECT * FROM steps WHERE step = 'STEP003'), {_std_ctes('one', 'path, step')}"
+
+
+def _step_lists(steps: str) -> str:
+    return f"""SELECT s.path, s.step, coalesce(a.tables, '') AS sources, coalesce(b.tables, '') AS targets FROM {steps} s
+      LEFT JOIN {_agg('src', 'path, step')} a USING (path, step) LEFT JOIN {_agg('tgt', 'path, step')} b USING (path, step)"""
+
+
 _STEP_TABLES = f"""SELECT s.path, s.name, s.step_ord, s.step, a.tables AS src_list, b.tables AS tgt_list, a.lines AS src_lines, b.lines AS tgt_lines,
   coalesce(a.n, 0) AS n_sources, coalesce(b.n, 0) AS n_targets FROM steps s
   LEFT JOIN (SELECT path, step, string_agg(t, '; ' ORDER BY t) AS tables, string_agg(concat(t, chr(10)), '' ORDER BY t) AS lines, count(*) AS n FROM src GROUP BY 1, 2) a USING (path, step)
@@ -620,9 +626,8 @@ ORACLES = {
       FROM scripts s LEFT JOIN {_numbering('src')} a USING (path) LEFT JOIN {_numbering('tgt')} b USING (path)""",
     "step_split": f"WITH {_STEPS} SELECT path, step_ord, step, raw AS body FROM steps",
     "step_count": f"WITH {_STEPS} SELECT path, count(*) AS steps FROM all_steps WHERE body <> '' GROUP BY path",
-    "step_tables": f"""{_STORED_STEPS} SELECT path, step, coalesce(src_list, '') AS sources, coalesce(tgt_list, '') AS targets FROM ({_STEP_TABLES})""",
-    "step_lookup": f"""{_STORED_STEPS} SELECT path, step, coalesce(src_list, '') AS sources, coalesce(tgt_list, '') AS targets
-      FROM ({_STEP_TABLES}) WHERE step = 'STEP003'""",
+    "step_tables": f"{_WITH_STEPS} {_step_lists('steps')}",
+    "step_lookup": f"{_WITH_ONE_STEP} {_step_lists('one')}",
     "step_table_counts": f"{_WITH_STEPS} SELECT path, step_ord, step, n_sources, n_targets FROM ({_STEP_TABLES})",
     "lineage_step_summary": _step_summary_oracle("name"),
     "lineage_step_summary_by_path": _step_summary_oracle("path"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyline.operators import checks as K
 from tallyline.operators.check_sql import with_pk_columns
+from tallyline.operators.joins import skewed_lookup
 from tallyline.operators.pivot import guard_text, pivot_last
 from tallyline.operators.statements import run_script
 from tallyline.registry import inputs as I
@@ -194,6 +195,22 @@ def pk_lookup(spark, sf):
     return with_pk_columns(names, _pk(spark, sf), "table_name").withColumn("pk_cols", F.array_join("pk_cols", ","))
 
 
+_HOT_SQL = """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <= 2 THEN 7 WHEN l_linenumber = 3 THEN NULL ELSE l_suppkey END AS s_suppkey
+  FROM lineitem"""
+
+
+def lookup_heavy_key(spark, sf):
+    """Lines of which a third and more share one supplier and some have none, with the supplier's name, as a shuffle join."""
+    lines, listed = I.run_sql(spark, sf, _HOT_SQL, lineitem="lineitem"), I.run_sql(spark, sf, "SELECT s_suppkey, s_name FROM supplier", supplier="supplier")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "-1")
+        return materialize(skewed_lookup(lines, listed, "s_suppkey"), "heavy")
+    finally:
+        spark.conf.set(key, before)
+
+
 # --- script run --------------------------------------------------------------------
 
 _SCRIPT = """SELECT o_orderstatus AS status, count(*) AS n FROM {orders} GROUP BY o_orderstatus;
@@ -213,7 +230,7 @@ QUERIES = {
     for q in (
         check_rows, check_rows_at_date, check_count, check_count_at_date, check_count_by_date, check_pk_duplicates,
         check_summary, pivot_eav, pivot_excel_guard, csv_scan, csv_block_scan, csv_line_scan, csv_report_lines, eav_arity_filter, eav_scan,
-        pk_list_parse, pk_list_scan, pk_lookup,
+        pk_list_parse, pk_list_scan, pk_lookup, lookup_heavy_key,
     )
 } | {"run_script": run_script_query}
 
@@ -242,6 +259,7 @@ ORACLES = {
     "pk_list_scan": I.PK_LIST_SQL,
     "pk_lookup": f"""SELECT n.o_orderkey, n.table_name, p.pk_cols FROM ({_TABLE_NAMES_SQL}) n
       LEFT JOIN ({I.PK_LIST_SQL}) p ON p.table_key = upper(trim(replace(n.table_name, '`', '')))""",
+    "lookup_heavy_key": f"SELECT l.*, s.s_name FROM ({_HOT_SQL}) l LEFT JOIN supplier s ON l.s_suppkey = s.s_suppkey",
     "run_script": """SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1
       UNION ALL SELECT concat(c_mktsegment, ';'), count(*) FROM customer GROUP BY 1""",
 }
