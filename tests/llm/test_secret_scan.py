@@ -79,7 +79,7 @@ def test_redaction(spark, corpus):
 def test_transitions_count_across_blocks():
     texts = ["abc-def ghi", "xyzxyzéabcdef", "", "k" * 100]
     counts = S.transitions(texts, 6, 1000)
-    assert S.transitions(texts).sum() == 19
+    assert S.transitions(texts, 6, 19).sum() == 19 + 100 and S.transitions(["1" * 100, "a-" * 30], 6, 19).sum() == 0
     strings = [s for t in texts for s in re.findall("[A-Za-z0-9+/_=-]{6,}", t)]
     assert counts.sum() == sum(map(len, strings)) and counts.reshape(S._SIZE + 1, S._SIZE)[S._SIZE].sum() == len(strings)
     before, S._BLOCK = S._BLOCK, 7
@@ -87,3 +87,64 @@ def test_transitions_count_across_blocks():
         assert np.array_equal(S.transitions(texts, 6, 1000), counts)
     finally:
         S._BLOCK = before
+
+
+def corpus_of(n, seed=3):
+    """Texts of made-up words, names and numbers, with some capitals and paths."""
+    pick = random.Random(seed)
+    parts = "con fig ura tion man ager hand ler inter nal ize syn chro user acc ount repo sit ory parse doc ument build client fact ory get name set item url".split()
+    word = lambda: "".join(pick.choice(parts) for _ in range(pick.randrange(1, 5)))
+    made = lambda: pick.choice([word, word, word, lambda: word().capitalize() + word().capitalize(), lambda: word().upper(), lambda: "/".join(word() for _ in range(3)), lambda: str(pick.randrange(10**6)), lambda: f"{word()}_{word()}-{pick.randrange(99)}"])()
+    return [" ".join(made() for _ in range(60)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("n", [200, 1000, 10_000])
+def test_short_and_embedded_keys_are_found_in_corpora_of_any_size(n):
+    pick, texts = random.Random(n), corpus_of(n)
+    odds = S.fit_odds(S.transitions(["0123456789abcdef" * 2], 1, S._BLOCK), S.transitions(texts))
+    for length, least in ((12, 0.9), (15, 0.95), (19, 0.98)):
+        for before, after in (("", ""), ("/account/document/factory/", ""), ("user_", "-name"), ("key=", "=="), ("x+", "")):
+            found = 0
+            for _ in range(200):
+                key = "".join(pick.choice(S.ALPHABET[:62]) for _ in range(length))
+                text = f"é see {before}{key}{after} here"
+                start = text.index(key)
+                found += any(a <= start and start + length <= b and b - a <= length + 3 for a, b in S.random_stretches(text, odds))
+            assert found >= least * 200, (length, before, found)
+    plain = corpus_of(300, seed=99)
+    assert sum(bool(list(S.random_stretches(t, odds))) for t in plain) <= 3
+
+
+def test_best_stretches_equal_brute_force():
+    draw = np.random.default_rng(6)
+    for _ in range(300):
+        scores = draw.integers(-9, 8, draw.integers(1, 40)).astype(float)
+        threshold = float(draw.integers(5, 30))
+        got = list(S._stretches(scores, threshold))
+        assert all(scores[a:b].sum() >= threshold and a < b for a, b in got) and all(x[1] <= y[0] for x, y in zip(got, got[1:]))
+        best = max((scores[a:b].sum() for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)), default=0)
+        assert bool(got) == (best >= threshold)
+
+
+def test_random_stretches_do_not_depend_on_blocks_and_touch_no_base_span(monkeypatch):
+    pick, texts = random.Random(8), corpus_of(300)
+    odds = S.fit_odds(S.transitions([], 1, S._BLOCK), S.transitions(texts))
+    key = lambda n: "".join(pick.choice(S.ALPHABET[:62]) for _ in range(n))
+    text = " é\n".join(f"{t} token={key(30)} {key(20)} AKIA{'Q' * 20}/{key(25)} {'0123456789abcdef' * 2}" for t in texts[:40])
+    whole = S.all_spans(text, odds)
+    base = S.base_spans(text)
+    extra = [s for s in whole if s.kind == 3]
+    assert len(extra) >= 75 and [s for s in whole if s.kind < 3] == sorted(base, key=lambda s: (s.start, s.kind))
+    assert not any(r.start < b.end and b.start < r.end for r in extra for b in base)
+    monkeypatch.setattr(S, "_BLOCK", 50)
+    assert S.all_spans(text, odds) == whole
+
+
+def test_a_very_long_text_of_keys(spark):
+    pick, texts = random.Random(1), corpus_of(100)
+    key = lambda: "".join(pick.choice(S.ALPHABET[:62]) for _ in range(24))
+    long = " ".join(f"{key()} token={key()} word" for _ in range(20_000))
+    docs = spark.createDataFrame([(1, long), (2, texts[0]), (3, None)], "doc_id long, text string")
+    odds = S.fit_odds(S.transitions([], 1, S._BLOCK), S.transitions(texts))
+    rows = {r["doc_id"]: r for r in S.scan_documents(docs, odds=odds).select("doc_id", F.size("found").alias("n"), F.size(F.filter("found", lambda s: s["kind"] == 0)).alias("base")).collect()}
+    assert rows[1]["base"] == 20_000 and rows[1]["n"] >= 39_500 and rows[3]["n"] == 0
