@@ -35,11 +35,19 @@ _SIDE_WORDS = frozenset(
     "overlay newsletter subscribe subscription signup nav navbar navigation menu breadcrumb breadcrumbs sidebar masthead topbar footer comment comments "
     "disqus respond share sharing social related recommended widget toolbar login pagination pager copyright disclaimer skip".split()
 )
+# What may stand beside such a word in a name: a name of the first, or with the first in front, is that of the thing itself.
+_PARTS = frozenset(
+    "area bar block body bottom box button buttons center column container content element form fixed group header heading holder icon icons inner inside item items "
+    "left link links list main mobile outer overlay page panel post posts primary region right row secondary section site slot sticky text title top unit widget wrap wrapper".split()
+)
+# Words in front that say the thing is not this element, and those of lists of teasers, which may hold articles of their own.
+_DENIALS = frozenset("no not non has have with without is hide hidden after before under above below".split())
+_TEASERS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments disqus respond related recommended widget sidebar footer nav menu".split())
 _SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _OPEN_ENDED = frozenset("html body main".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]++|=\s*+\"[^\"]*\"|=\s*+'[^']*'|[=\"'])*+)>",
+    r"<!--.*?(?:-->|\Z)|<[!?][^<>]*+>|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"'=]++|=\s*+\"[^\"]*\"|=\s*+'[^']*'|[=\"'])*+)>",
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -50,6 +58,23 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 class Line(NamedTuple):
     text: str
     place: int
+    heading: bool = False
+
+
+def _side_name(name: str) -> str | None:
+    """The word of a class or id that makes its element no part of an article, or null.
+
+    The word is the whole name, its end (``left-sidebar``), or its beginning before parts of pages only
+    (``comments-area``); with a denial in front (``no-comments``, ``has-sidebar``) the name is of something else.
+    """
+    parts = _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower())
+    if not parts or parts[0] in _DENIALS:
+        return None
+    if "".join(parts) in _SIDE_WORDS:
+        return "".join(parts)
+    if parts[-1] in _SIDE_WORDS and not _DENIALS.intersection(parts):
+        return parts[-1]
+    return parts[0] if parts[0] in _SIDE_WORDS and all(p in _PARTS or p in _SIDE_WORDS or p.isdigit() for p in parts[1:]) else None
 
 
 def _is_aside(tag: str, attributes: str, place: int) -> bool:
@@ -62,7 +87,18 @@ def _is_aside(tag: str, attributes: str, place: int) -> bool:
         return True
     if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", re.sub(r"=\s*(?:\"[^\"]*\"|'[^']*')", "=", attributes).lower()) or named.get("aria-hidden", "").lower() == "true":
         return True
-    return any(word in _SIDE_WORDS for key in ("class", "id") for word in _WORD.findall(named.get(key, "").lower()))
+    if tag == "article" or re.search(r"\bmain\b", named.get("role", "").lower()):
+        return False
+    return any(_side_name(name) for key in ("class", "id") for name in named.get(key, "").split())
+
+
+def _may_hold_article(tag: str, attributes: str) -> bool:
+    """Whether an element that is aside by its class or id alone may be the frame of a page: none of its names is of a list of teasers."""
+    if tag in _NEVER or tag == "header":
+        return False
+    named = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
+    words = {_side_name(name) for key in ("class", "id") for name in named.get(key, "").split()} - {None}
+    return bool(words) and not words & _TEASERS and named.get("role", "").strip().lower() not in _SIDE_ROLES
 
 
 def lines_of(page: str) -> list[Line]:
@@ -74,13 +110,13 @@ def lines_of(page: str) -> list[Line]:
     lines: list[Line] = []
     parts: list[str] = []
     stack: list[list] = []
-    place, own, at, end = UNMARKED, UNMARKED, 0, len(page)
+    place, own, at, end, heading = UNMARKED, UNMARKED, 0, len(page), False
 
     def flush() -> None:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                lines.append(Line(text, own))
+                lines.append(Line(text, own, heading))
             parts.clear()
 
     while at < end:
@@ -99,6 +135,7 @@ def lines_of(page: str) -> list[Line]:
         tag = tag.lower()
         if tag in _BLOCK:
             flush()
+            heading = tag in ("h1", "h2") and not token[1]
         elif tag in ("br", "td", "th", "img") and parts:
             parts.append(" ")
         if token[1]:
@@ -124,17 +161,18 @@ def lines_of(page: str) -> list[Line]:
             flush()
             stack.pop()
             place = stack[-1][1] if stack else UNMARKED
-        wanted = place
-        if place != ASIDE:
+        # An element that is aside by its name alone may be the frame of a page, so what is in it is looked at too.
+        wanted, frame, framed = place, False, place == ASIDE and stack and stack[-1][4]
+        if place != ASIDE or framed:
             if _is_aside(tag, token[3], place):
-                wanted = ASIDE
+                wanted, frame = ASIDE, _may_hold_article(tag, token[3])
             elif tag in ("article", "main") or re.search(r"role\s*=\s*[\"']?main\b", token[3]):
                 wanted = ARTICLE
-        if wanted != place:
+        if wanted != place or framed and wanted == ASIDE and not frame and _is_aside(tag, token[3], place):
             inline = tag not in _BLOCK and tag not in _NEVER
             if not inline:
                 flush()
-            stack.append([tag, wanted, 1, inline])
+            stack.append([tag, wanted, 1, inline, frame])
             place = wanted
         elif stack:
             for entry in reversed(stack):
@@ -153,12 +191,17 @@ def _is_prose(text: str) -> bool:
 def _entries(lines: list[Line]) -> tuple[list[str], list[int]]:
     """Texts that may be main text, in page order, and for each its place among the lines outside articles (-1: article text).
 
-    On a page with article text, unmarked lines before all of it or after all of it are left out if none of them is prose.
+    On a page with article text, unmarked lines before all of it or after all of it are left out if none of them is prose,
+    but for headlines with no other unmarked line between them and the article text.
     """
     marked = [k for k, line in enumerate(lines) if line.place == ARTICLE]
     first, last = (marked[0], marked[-1] + 1) if marked else (0, 0)
     edges = [range(0, first), range(last, len(lines))] if marked else []
     left = {k for edge in edges if not any(lines[k].place == UNMARKED and _is_prose(lines[k].text) for k in edge) for k in edge}
+    k = first - 1
+    while k >= 0 and (lines[k].place == ASIDE or lines[k].heading):
+        left.discard(k)
+        k -= 1
     texts: list[str] = []
     places: list[int] = []
     outside = 0
@@ -314,7 +357,7 @@ def main_texts(pages: DataFrame, id_column: str = "page_id", url_column: str = "
     Every page is aligned with the page of the nearest URL by a longest common subsequence of the lines outside article
     elements. Lines of article and main elements are text; lines of navigation, notices, adverts, forms and the like are
     not. Every unmarked line is text unless the neighbour shares it; on a page with article text, those before or after all
-    of it are left out if none of them is prose. If nearly all unmarked lines are shared, only those that a second page of
+    of it are left out if none of them is prose, but for headlines just before it. If nearly all unmarked lines are shared, only those that a second page of
     the host shares too are deleted (with two pages on the host: those that the neighbour shares), and none if the pages'
     lines are equal. Null and empty pages give an empty text; rows that repeat a page are no neighbours of each other and
     get the same text; other columns are ignored; no pages give no rows.

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 from tallyline.llm import page_diff as P
 
@@ -111,3 +112,43 @@ def test_large_template_goes_and_versions_of_a_page_stay(spark):
     assert all(got[k] == "\n\n".join(own[k]) for k in own) and all(got[10 + k] == "\n\n".join(own[k]) for k in (0, 1))
     assert got[20] == "\n\n".join([*same, "x"]) and got[21] == "\n\n".join([*same, "y"]) and got[22] == "z"
     assert all(got[30 + k] == "Menu of the site\n\nSign up today\n\nsix\n\nseven\n\nAll rights reserved" for k in range(3))
+
+
+def article_lines(page):
+    return [x.text for x in P.lines_of(page) if x.place == P.ARTICLE]
+
+
+def kept_lines(page):
+    return [x.text for x in P.lines_of(page) if x.place != P.ASIDE]
+
+
+def test_names_that_only_mention_something_keep_their_text():
+    for name in ("post no-comments", "content has-sidebar", "share-of-voters", "without-ads", "menu-of-the-day", "commentary", "with-related", "navigable adverse", "before-footer"):
+        assert article_lines(f"<article class='{name}'><p>story</article>") == ["story"], name
+        assert kept_lines(f"<div class='{name}'><p>story</div>") == ["story"], name
+    for name in ("sidebar", "left-sidebar", "comments-area", "cookie-banner", "site_footer", "navBar", "related-posts", "ad", "ad-slot-2", "post share-buttons", "newsletter-signup", "skip-link", "menu"):
+        assert kept_lines(f"<div class='{name}'><p>story</div>") == [], name
+        assert kept_lines(f"<div id={name.split()[-1]}><p>story</div>") == [], name
+
+
+def test_an_article_in_a_frame_is_an_article_and_a_teaser_is_not():
+    for frame in ("banner-wrapper", "overlay", "navbar-page masthead"):
+        page = f"<div class='{frame}'><p>frame<main><article><p>story<div class='related'><article><p>teaser</article></div></article></main></div>"
+        assert article_lines(page) == ["story"], frame
+    for teasers in ("related-posts", "sidebar", "widget promo"):
+        assert article_lines(f"<div class='{teasers}'><article><p>teaser</article></div><article><p>story</article>") == ["story"], teasers
+    assert article_lines("<nav><article><p>x</article></nav><aside><main><p>y</main></aside>") == []
+
+
+def test_a_headline_before_the_article_is_text():
+    texts = lambda page: P._entries(P.lines_of(page))[0]
+    assert texts("<p>Home<p>News<h1>River news</h1><nav>m</nav><article><p>story</article><p>Back") == ["River news", "story"]
+    assert texts("<h1>Site</h1><p>Home<p>News<article><p>story</article>") == ["story"]
+    assert texts("<h1>River news</h1><h2>and more</h2><div class=share>s</div><article><h1>in</h1><p>story</article><h2>Next</h2>") == ["River news", "and more", "in\n\nstory"]
+
+
+def test_unclosed_tags_take_linear_time():
+    for piece in ("<a b ", "<a b='", "<!a ", "<a=\"x ", "</a ", "<aaa"):
+        start = time.perf_counter()
+        P.lines_of(piece * 100_000)
+        assert time.perf_counter() - start < 3, piece
