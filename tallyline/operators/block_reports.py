@@ -50,14 +50,34 @@ def block_duplicates(facts: DataFrame, items: str, by: tuple[str, ...] = ("path"
     )
 
 
-def _duplicates_text(facts: DataFrame, items: str) -> DataFrame:
-    entry = F.struct(
-        (-F.col("count")).alias("rank"),
-        "first_seen",
-        F.concat("value", F.lit("("), F.col("count").cast("string"), F.lit(")")).alias("text"),
-    )
-    ordered = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["text"])
-    return block_duplicates(facts, items).groupBy("path").agg(F.array_join(ordered, ", ").alias(f"dup_{items}"))
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _duplicates_text(values: Column) -> Column:
+    """``value(count)`` of the values found more than once, the most frequent first, of equal ones the first found.
+
+    Sorted with their places, equal values are neighbours: n log n in the number of values of one script.
+    """
+
+    def told(ordered: Column) -> Column:
+        first = lambda i: (i == 0) | (F.get(ordered, i)["v"] != F.get(ordered, i - 1)["v"])
+        starts = F.filter(F.transform(ordered, lambda _, i: i), first)
+
+        def groups(found: Column) -> Column:
+            each = F.transform(
+                found,
+                lambda s, k: F.struct(
+                    (s - F.coalesce(F.get(found, k + 1), F.size(ordered))).alias("rank"), F.get(ordered, s)["i"].alias("place"), F.get(ordered, s)["v"].alias("v")
+                ),
+            )
+            return F.array_sort(F.filter(each, lambda g: g["rank"] < -1))
+
+        text = lambda g: F.concat(g["v"], F.lit("("), (-g["rank"]).cast("string"), F.lit(")"))
+        return F.array_join(F.transform(_let(starts, groups), text), ", ")
+
+    return _let(F.array_sort(F.transform(values, lambda v, i: F.struct(v.alias("v"), i.alias("i")))), told)
 
 
 def _list_items(items: Column, attributes: str = "") -> Column:
@@ -70,38 +90,40 @@ def _text(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
+def _section(block: Column) -> Column:
+    aliases = F.transform(block["aliases"], lambda a: F.concat(a["name"], F.lit(" → "), a["value"]))
+    return _text(
+        "<hr><h3>", block["step"], "</h3>\n<b>테이블:</b><ul>\n", _list_items(block["tables"]),
+        "</ul><b>컬럼:</b><ul>\n", _list_items(block["columns"]),
+        "</ul><b>조건:</b><ul>\n", _list_items(block["conditions"]),
+        "</ul><b>테이블 변경 추적:</b><ul>\n", _list_items(aliases),
+        "</ul><b>오류:</b><ul>\n", _list_items(block["errors"], " style='color:red;'"), "</ul>\n",
+    )
+
+
 def html_report(facts: DataFrame, version: int = 4) -> DataFrame:
     """(path, content): one page per script with totals and the lists of every block.
 
-    From version 4 on the facts are read three times, so hand in a stored frame.
+    The facts are read once and grouped once by script; the page, its duplicates included, is made of what has come
+    together, so no text is shuffled.
     """
-    section = _text(
-        "<hr><h3>", F.col("step"), "</h3>\n<b>테이블:</b><ul>\n", _list_items(F.col("tables")),
-        "</ul><b>컬럼:</b><ul>\n", _list_items(F.col("columns")),
-        "</ul><b>조건:</b><ul>\n", _list_items(F.col("conditions")),
-        "</ul><b>테이블 변경 추적:</b><ul>\n", _list_items(_alias_texts(" → ")),
-        "</ul><b>오류:</b><ul>\n", _list_items(F.col("errors"), " style='color:red;'"), "</ul>\n",
-    )
     counts = {"tables": "테이블", "columns": "컬럼", "conditions": "조건절"}
-    pages = facts.withColumn("_section", section).groupBy("path").agg(
-        F.count(F.lit(1)).alias("blocks"),
-        *[F.sum(F.size(c)).alias(c) for c in (*counts, "errors")],
-        F.array_sort(F.collect_list(F.struct("block_ord", F.col("_section").alias("text")))).alias("_sections"),
-    )
+    block = F.struct("block_ord", "step", *counts, "aliases", "errors")
+    pages = facts.groupBy("path").agg(*[F.sum(F.size(c)).alias(c) for c in (*counts, "errors")], F.array_sort(F.collect_list(block)).alias("_blocks"))
     duplicates: list[Column | str] = []
     if version >= 4:
         for items in ("tables", "columns"):
-            pages = pages.join(_duplicates_text(facts, items), "path", "left")
-            duplicates += [f"<li>중복 {counts[items]}: ", F.coalesce(F.col(f"dup_{items}"), F.lit("")), "</li>\n"]
+            found = F.flatten(F.transform("_blocks", lambda b: b[items]))  # noqa: B023
+            duplicates += [f"<li>중복 {counts[items]}: ", _duplicates_text(found), "</li>\n"]
     totals: list[Column | str] = []
     for items, label in counts.items():
         totals += [f"<li>총 {label} 수: ", F.col(items).cast("string"), "</li>\n"]
     content = _text(
         "<html><head><meta charset='UTF-8'><title>분석 결과</title></head><body>\n",
         "<h1>BigQuery 분석 리포트</h1>\n<h2>요약</h2><ul>\n",
-        "<li>STEP 수: ", F.col("blocks").cast("string"), "</li>\n", *totals,
+        "<li>STEP 수: ", F.size("_blocks").cast("string"), "</li>\n", *totals,
         "<li>발견된 오류 수: ", F.col("errors").cast("string"), "</li>\n", *duplicates, "</ul>\n",
-        F.array_join(F.transform("_sections", lambda s: s["text"]), ""),
+        F.array_join(F.transform("_blocks", _section), ""),
         "</body></html>\n",
     )
     return pages.select("path", content.alias("content"))

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tallyline.operators import compare as C
 from tallyline.operators import compare_digests as D
+from tallyline.operators.numbering import number_rows
 from tallyline.registry import inputs as I
+from tallyline.sources.csv_files import ROW_ORDER
 
 KEY = ["o_orderkey"]
 COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
@@ -75,6 +77,18 @@ def compare_full(spark, sf):
     return C.compare(*I.orders_pair(spark, sf), KEY)
 
 
+# File 1 goes by customer and file 2 backwards by number.
+_ORDER_A, _ORDER_B = ("o_custkey", "o_orderkey"), ("-o_orderkey", "o_custkey")
+
+
+def compare_row_order(spark, sf):
+    """The result in the order of its rows: those of file 1, then those that only file 2 has, with their line numbers."""
+    a, b = I.orders_pair(spark, sf)
+    place = lambda of: F.struct(*[F.expr(x).cast("bigint").alias(f"k{i}") for i, x in enumerate(of)])
+    found = C.compare(a.withColumn(ROW_ORDER, place(_ORDER_A)), b.withColumn(ROW_ORDER, place(_ORDER_B)), KEY)
+    return number_rows(found, [ROW_ORDER]).select("line", "o_orderkey", "RESULT", "DIFF_DETAIL")
+
+
 def compare_by_digest(spark, sf):
     return D.compare_by_digest(*I.orders_pair(spark, sf), KEY)
 
@@ -132,7 +146,7 @@ def compare_duplicate_keys(spark, sf):
 QUERIES = {
     q.__name__: q
     for q in (
-        compare_full, compare_by_digest, compare_nearly_equal, compare_summary, compare_cells, compare_only_left, compare_only_right, compare_key_union,
+        compare_full, compare_row_order, compare_by_digest, compare_nearly_equal, compare_summary, compare_cells, compare_only_left, compare_only_right, compare_key_union,
         compare_whitespace, compare_schema_drift, compare_default_key, compare_composite_key, compare_key_function,
         compare_duplicate_keys,
     )
@@ -146,8 +160,17 @@ _CELLS = " UNION ALL ".join(
 )
 _PAIR = f"WITH a AS ({I.ORDERS_A_SQL}), b AS ({I.ORDERS_B_SQL})"
 
+_LINES = f"""WITH a AS ({I.ORDERS_A_SQL}), b AS ({I.ORDERS_B_SQL}),
+  p AS (
+    SELECT o_orderkey, min(side) AS side, arg_min(k0, side) AS k0, arg_min(k1, side) AS k1
+    FROM (SELECT o_orderkey, 1 AS side, {_ORDER_A[0]} AS k0, {_ORDER_A[1]} AS k1 FROM a UNION ALL SELECT o_orderkey, 2, {_ORDER_B[0]}, {_ORDER_B[1]} FROM b)
+    GROUP BY o_orderkey
+  )
+SELECT row_number() OVER (ORDER BY side, k0, k1) AS line, f.o_orderkey, f."RESULT", f."DIFF_DETAIL" FROM ({_FULL}) f JOIN p ON CAST(p.o_orderkey AS VARCHAR) = f.o_orderkey"""
+
 ORACLES = {
     "compare_full": _FULL,
+    "compare_row_order": _LINES,
     "compare_by_digest": _FULL,
     "compare_nearly_equal": compare_sql(_PLAIN_SQL, _NEAR_SQL, KEY, ["o_orderkey", "o_orderstatus", "o_orderpriority"]),
     "compare_summary": f'SELECT "RESULT", count(*) AS rows FROM ({_FULL}) GROUP BY "RESULT"',

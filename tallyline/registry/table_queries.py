@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tallyline.operators import checks as K
 from tallyline.operators.check_sql import with_pk_columns
 from tallyline.operators.joins import skewed_lookup
-from tallyline.operators.pivot import guard_text, pivot_last
+from tallyline.operators.numbering import number_rows
+from tallyline.operators.pivot import FIRST_SEEN, guard_text, pivot_last
 from tallyline.operators.statements import run_script
 from tallyline.registry import inputs as I
 from tallyline.session import materialize, scratch_path
@@ -70,6 +71,12 @@ def pivot_eav(spark, sf):
     return pivot_last(_eav(spark, sf), ["application", "group", "job"], "key", "value", "event_id", EVENT_KEYS)
 
 
+def pivot_first_encounter(spark, sf):
+    """The wide rows numbered in the order in which their first rows are met."""
+    wide = pivot_last(_eav(spark, sf), ["application", "group", "job"], "key", "value", "event_id", EVENT_KEYS, first_seen=True)
+    return number_rows(wide, [FIRST_SEEN]).drop(FIRST_SEEN)
+
+
 def pivot_excel_guard(spark, sf):
     return guard_text(pivot_eav(spark, sf), ["view", "click"])
 
@@ -229,7 +236,7 @@ QUERIES = {
     q.__name__: q
     for q in (
         check_rows, check_rows_at_date, check_count, check_count_at_date, check_count_by_date, check_pk_duplicates,
-        check_summary, pivot_eav, pivot_excel_guard, csv_scan, csv_block_scan, csv_line_scan, csv_report_lines, eav_arity_filter, eav_scan,
+        check_summary, pivot_eav, pivot_first_encounter, pivot_excel_guard, csv_scan, csv_block_scan, csv_line_scan, csv_report_lines, eav_arity_filter, eav_scan,
         pk_list_parse, pk_list_scan, pk_lookup, lookup_heavy_key,
     )
 } | {"run_script": run_script_query}
@@ -244,6 +251,7 @@ ORACLES = {
     "check_pk_duplicates": "SELECT l_orderkey, l_linenumber, count(1) AS count FROM lineitem GROUP BY 1, 2 HAVING count(1) > 1",
     "check_summary": f"SELECT count(1) AS count, count(1) FILTER (WHERE {BASE_SQL}) AS count_at_date FROM orders",
     "pivot_eav": _PIVOT_SQL,
+    "pivot_first_encounter": _PIVOT_SQL.replace(" FROM (", ", row_number() OVER (ORDER BY min(event_id)) AS line FROM (", 1),
     "pivot_excel_guard": f"""SELECT application, "group", job, error, purchase, signup,
       CASE WHEN click <> '' THEN concat('="', click, '"') ELSE click END AS click,
       CASE WHEN view <> '' THEN concat('="', view, '"') ELSE view END AS view FROM ({_PIVOT_SQL})""",
