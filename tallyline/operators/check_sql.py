@@ -74,9 +74,11 @@ def _section(title: str, entries: Column, dialect: str, base_date: str) -> Colum
     """Heading with the number of tables, then the numbered tables with their statements."""
 
     def one(entry: Column) -> Column:
-        parts = list(reference_columns(entry["table"], entry["pk_cols"], dialect).values())
-        statements = F.concat_ws("\n", *statements_of(*parts, dialect, base_date))
-        number = entry["number"].cast("string")
+        # Names are quoted once per table: within lambdas nothing is shared unless it is bound.
+        parts = dict(zip(("ref", "date", "keys"), reference_columns(entry["table"], entry["pk_cols"], dialect).values()))
+        bound = F.array(F.struct(*[c.alias(n) for n, c in parts.items()]))
+        written = lambda p: F.concat_ws("\n", *statements_of(p["ref"], p["date"], p["keys"], dialect, base_date))
+        statements, number = F.get(F.transform(bound, written), F.lit(0)), entry["number"].cast("string")
         return F.concat(F.lit("/*-- "), number, F.lit(") "), entry["table"], F.lit(" --*/\n"), statements, F.lit("\n\n"))
 
     rule = "/*--------------------*/\n"

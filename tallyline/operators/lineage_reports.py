@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyline.functions.arrays import explode_items, sorted_set
 from tallyline.functions.text import csv_field
 from tallyline.operators.joins import skewed_lookup
+from tallyline.operators.numbering import number_rows
 from tallyline.operators.lineage import role_entries
 
 LIST_SEPARATOR = "; "
@@ -239,3 +240,27 @@ def step_report_lines(step_rows: DataFrame, key: str = "name") -> DataFrame:
     no_steps = F.when(F.col("_first").isNull() & (F.col("_at") == F.col("_only")), F.concat(opening, F.lit(",0")))
     pieces = met.select("file_name", "path", "step_ord", F.when(is_step, body).otherwise(no_steps).alias("value"))
     return pieces.where(F.col("value").isNotNull())
+
+
+#: Characters of a piece at most.
+PIECE_CHARS = 16_384
+
+
+def bounded_pieces(lines: DataFrame, key: str, order: list[str], text: str = "value", most: int = PIECE_CHARS) -> DataFrame:
+    """(``key``, ``piece``, ``text``): the texts of each ``key`` in ``order``, cut so that no row holds more than ``most`` characters.
+
+    ``piece`` numbers a key's rows from 1 without a gap; put together in that order, with a line break after each text but
+    not within one (``last`` is true where a text ends), they are the whole. Rows are numbered over the whole table by
+    ranges, so a key with a third of all rows is no task of its own, and each key's first number is looked up.
+    """
+    cuts = F.sequence(F.lit(0), F.floor((F.greatest(F.char_length(text), F.lit(1)) - 1) / most).cast("int"))
+    parts = lines.select(key, *order, text, F.explode(cuts).alias("_cut"), F.size(cuts).alias("_cuts"))
+    cut = F.substring(F.col(text), F.col("_cut") * most + 1, F.lit(most))
+    numbered = number_rows(parts.select(key, *order, "_cut", cut.alias(text), (F.col("_cut") == F.col("_cuts") - 1).alias("last")), [key, *order, "_cut"], "_line")
+    firsts = numbered.groupBy(key).agg((F.min("_line") - 1).alias("_before"))
+    return skewed_lookup(numbered, firsts, key).select(key, (F.col("_line") - F.col("_before")).alias("piece"), text, "last")
+
+
+def step_summary_pieces(step_rows: DataFrame, key: str = "name", most: int = PIECE_CHARS) -> DataFrame:
+    """The records of :func:`step_report_lines` in rows of bounded length: (file_name, piece, value, last)."""
+    return bounded_pieces(step_report_lines(step_rows, key), "file_name", ["path", "step_ord"], "value", most)

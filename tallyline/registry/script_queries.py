@@ -169,6 +169,11 @@ def step_report_lines(spark, sf):
     return LR.step_report_lines(materialize(S.step_rows(_scripts(spark, sf)), "steps"))
 
 
+def step_summary_pieces(spark, sf):
+    """The step summary by file name as numbered rows of 500 characters at most."""
+    return LR.step_summary_pieces(materialize(S.step_rows(_scripts(spark, sf)), "steps"), most=500)
+
+
 def step_text_report(spark, sf):
     return LR.step_files(S.step_rows(_scripts(spark, sf)))
 
@@ -292,7 +297,7 @@ QUERIES = {
         lineage_cte_names, lineage_tables, lineage_long, lineage_scan, lineage_simple, lineage_linecount,
         lineage_file_summary, lineage_source_map, lineage_target_map, lineage_source_map_by_path, lineage_counts,
         distinct_sources, lineage_file_text, lineage_numbered_text, step_split, step_count, step_tables, step_lookup,
-        step_table_counts, lineage_step_summary, lineage_step_summary_by_path, step_report_lines, step_text_report, block_split_flat,
+        step_table_counts, lineage_step_summary, lineage_step_summary_by_path, step_report_lines, step_summary_pieces, step_text_report, block_split_flat,
         block_split_nested, block_tables, block_tables_flat, block_columns, block_columns_first, block_conditions,
         block_aliases, block_aliases_as, block_errors, block_ragged_report, block_totals, block_duplicates,
         block_duplicates_by_script, block_html_report, check_sql_bq, check_sql_oracle, check_sql_file,
@@ -706,6 +711,10 @@ ORACLES["step_report_lines"] = f"""{_WITH_STEPS}, st AS ({_STEP_TABLES}),
            regexp_replace({_DETAIL}, '\\n$', ''),
            CASE WHEN place = total THEN concat(chr(10), '",', total) ELSE concat(chr(10), chr(10)) END) AS value
   FROM placed p LEFT JOIN s_all USING (name) LEFT JOIN t_all USING (name)"""
+ORACLES["step_summary_pieces"] = f"""WITH r AS ({ORACLES["step_report_lines"]}),
+  c AS (SELECT *, (length(value) - 1) // 500 AS most, unnest(range(0, (length(value) - 1) // 500 + 1)) AS cut FROM r)
+  SELECT file_name, row_number() OVER (PARTITION BY file_name ORDER BY path, step_ord, cut) AS piece,
+    substr(value, cut * 500 + 1, 500) AS value, cut = most AS last FROM c"""
 
 
 def _as_ints(key: str, *columns: str) -> None:

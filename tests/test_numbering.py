@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tallyline.operators.blocks import block_facts, split_nested_blocks
 from tallyline.operators.block_reports import _duplicates_text, html_report
+from tallyline.operators.lineage_reports import bounded_pieces, step_report_lines, step_summary_pieces
 from tallyline.operators.numbering import number_rows
+from tallyline.operators.steps import step_rows
 
 
 def test_numbers_follow_the_order_over_many_ranges(spark):
@@ -35,3 +37,25 @@ def test_pages_come_from_one_grouping(spark):
     scripts = spark.createDataFrame([("a.sql", "a.sql", "BEGIN SELECT 1 FROM t; END;")], "path string, name string, raw string")
     plan = html_report(block_facts(split_nested_blocks(scripts), 4), 4)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_pieces_are_bounded_and_make_up_the_whole(spark):
+    rng = random.Random(3)
+    rows = [("hot" if i % 3 else f"k{i % 40}", i, "".join(rng.choice("ab\n é") for _ in range(rng.choice([0, 1, 9, 10, 11, 95])))) for i in range(400)]
+    got = bounded_pieces(spark.createDataFrame(rows, "k string, i int, value string").repartition(5), "k", ["i"], most=10).collect()
+    assert max(len(r["value"]) for r in got) <= 10
+    for key in {k for k, _, _ in rows}:
+        own = sorted((r["piece"], r["value"], r["last"]) for r in got if r["k"] == key)
+        assert [p for p, _, _ in own] == list(range(1, len(own) + 1))
+        assert "".join(v + ("\0" if last else "") for _, v, last in own) == "".join(v + "\0" for k, _, v in rows if k == key)
+
+
+def test_one_name_for_all_scripts_is_no_large_row(spark):
+    body = "/* STEP001 */ INSERT INTO dw.t{0} SELECT * FROM dw.s{0}; /* STEP002 */ DELETE FROM dw.u{0};"
+    scripts = spark.createDataFrame([(f"d{i}/job.sql", "job.sql", body.format(i)) for i in range(300)], "path string, name string, raw string")
+    rows = step_rows(scripts)
+    pieces = step_summary_pieces(rows, most=1000).collect()
+    assert {r["file_name"] for r in pieces} == {"job.sql"} and max(len(r["value"]) for r in pieces) <= 1000
+    whole = "".join(r["value"] + ("\n" if r["last"] else "") for r in sorted(pieces, key=lambda r: r["piece"]))
+    lines = step_report_lines(rows).orderBy("file_name", "path", "step_ord").collect()
+    assert whole == "".join(r["value"] + "\n" for r in lines) and len(lines) == 600 and len(whole) > 100_000
