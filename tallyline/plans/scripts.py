@@ -11,7 +11,7 @@ from tallyline.operators.lineage import extract_stats, extract_tables
 from tallyline.operators.steps import step_rows
 from tallyline.session import materialize
 from tallyline.sinks.csv_files import headed_lines, write_report
-from tallyline.sinks.file_tree import write_files
+from tallyline.sinks.file_tree import write_files, write_tree
 from tallyline.sources.pk_list import read_pk_list
 from tallyline.sources.scripts import ANY, SQL_ANY_CASE, SQL_OR_BQ, accepted, read_scripts, rejected, scan_scripts
 
@@ -55,21 +55,24 @@ def step_job(spark: SparkSession, source: str, target: str, *, charset: str = "U
 
 def check_job(
     spark: SparkSession, source: str, target: str, *, pk_list: str | None = None,
-    base_date: str = check_sql.DEFAULT_BASE_DATE, charset: str = "UTF-8",
+    base_date: str = check_sql.DEFAULT_BASE_DATE, charset: str = "UTF-8", whole: bool = False,
 ) -> tuple[int, int]:
-    """Check statements for the tables of every script, one file per dialect."""
+    """Check statements for the tables of every script, one file per dialect; with ``whole`` the target holds nothing else then."""
     found = extract_tables(read_scripts(spark, source, charset=charset))
     keys = read_pk_list(spark, pk_list, charset=charset) if pk_list else None
-    files = check_sql.check_file_rows(check_sql.check_files(found, keys, base_date))
-    return write_files(files, target, F.col("path"), F.col("content"))
+    # Stored, as a writer looks at the paths before it writes the texts.
+    files = materialize(check_sql.check_file_rows(check_sql.check_files(found, keys, base_date)), "check-files")
+    return (write_tree if whole else write_files)(files, target, F.col("path"), F.col("content"))
 
 
-def scan_job(spark: SparkSession, source: str, target: str, *, rules: str = "scan", charset: str = "MS949") -> tuple[int, int]:
-    """Numbered targets and sources of every script; ``rules`` is ``scan`` or ``simple``."""
+def scan_job(
+    spark: SparkSession, source: str, target: str, *, rules: str = "scan", charset: str = "MS949", whole: bool = False
+) -> tuple[int, int]:
+    """Numbered targets and sources of every script; ``rules`` is ``scan`` or ``simple``, ``whole`` as in :func:`check_job`."""
     found = extract_tables(read_scripts(spark, source, glob=SQL_ANY_CASE, charset=charset), rules)
     labels = ("[Target]", "[Source]") if rules == "simple" else ("[Target Tables]", "[Source Tables]")
     texts = lineage_reports.numbered_text(found, root=source.rstrip("/") + "/", labels=labels)
-    return write_files(texts, target, base_output_name(F.col("path"), ".source_target.txt"), F.col("content"))
+    return (write_tree if whole else write_files)(texts, target, base_output_name(F.col("path"), ".source_target.txt"), F.col("content"))
 
 
 def line_count_job(spark: SparkSession, source: str, *, charset: str = "UTF-8", max_bytes: int | None = None) -> dict[str, DataFrame]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyline.functions.text import strip_comment_backticks, strip_trailing_spaces, tabs_to_spaces
 from tallyline.session import charset_support, materialize
-from tallyline.sinks.file_tree import write_files
+from tallyline.sinks.file_tree import write_files, write_tree
 from tallyline.sources.scripts import SQL, encode_text, read_scripts, scan_scripts
 
 
@@ -23,17 +23,19 @@ def rewrite_job(
     transform: Callable[[Column], Column] | None = None,
     glob: str = SQL,
     strict: bool = True,
+    whole: bool = False,
 ) -> tuple[int, int]:
     """Read every script, apply ``transform`` to its text and write it under the same relative path.
 
     With ``strict`` a script that one of the charsets cannot express is left out
     (``skipped_rewrites`` lists them), otherwise what it cannot express is
-    replaced. Returns the files and bytes written.
+    replaced. With ``whole`` the target becomes exactly these files, or stays as
+    it was if the job fails. Returns the files and bytes written.
     """
     scripts = read_scripts(spark, source, glob=glob, charset=from_charset, strict=strict)
     text = transform(F.col("raw")) if transform else F.col("raw")
     encoded = encode_text(spark, scripts.select("path", text.alias("text")), "text", to_charset, "bytes", strict=strict)
-    return write_files(encoded, target, F.col("path"), F.col("bytes"))
+    return (write_tree if whole else write_files)(encoded, target, F.col("path"), F.col("bytes"))
 
 
 def scan_rewrites(

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyline.plans import texts as jobs
+from tallyline.plans.scripts import check_job, scan_job
 from tallyline.sinks import file_tree as T
 from tallyline.sources import scripts as S
 
@@ -116,3 +117,16 @@ def test_one_reading_serves_the_written_and_the_left_out(spark, broken, tmp_path
     assert (tmp_path / "out" / "good.sql").read_text() == "SELECT 1"
     assert {(r["path"], r["reason"]) for r in tagged.where("bytes is null").collect()} == {("d/broken.sql", "unreadable"), ("d/bad.sql", "not UTF-8")}
     assert {(r["path"], r["reason"]) for r in jobs.skipped_rewrites(spark, broken).collect()} == {("d/broken.sql", "unreadable"), ("d/bad.sql", "not UTF-8")}
+
+
+def test_jobs_replace_their_target_whole(spark, broken, tmp_path):
+    out = tmp_path / "out"
+    write(spark, out, [("stale.sql", "x")])
+    assert jobs.rewrite_job(spark, broken, str(out), whole=True)[0] == 2
+    assert sorted(tree(out)) == ["good.sql", "long.sql"] and T.tree_faults(spark, str(out)).count() == 0
+    (tmp_path / "q").mkdir()
+    (tmp_path / "q" / "a.sql").write_text("INSERT INTO dw.t SELECT * FROM dw.s")
+    for whole in (False, True):
+        assert check_job(spark, str(tmp_path / "q"), str(tmp_path / "checks"), whole=whole)[0] == 2
+        assert sorted(f.name for f in (tmp_path / "checks").glob("*.sql")) == ["a_bq.sql", "a_oracle.sql"]
+    assert scan_job(spark, str(tmp_path / "q"), str(tmp_path / "scans"), whole=True)[0] == 1
