@@ -132,6 +132,11 @@ def lineage_numbered_text(spark, sf):
     return LR.numbered_text(L.sorted_tables(L.extract_tables(_scripts(spark, sf), "scan")))
 
 
+def lineage_numbered_found(spark, sf):
+    """Numbered report in the order in which the rules find the tables."""
+    return LR.numbered_text(L.extract_tables(_scripts(spark, sf), "scan"))
+
+
 # --- steps -------------------------------------------------------------------------
 
 
@@ -296,7 +301,7 @@ QUERIES = {
         lineage_targets, lineage_linecount_long, lineage_delete_nofrom, lineage_sources, lineage_with_from, lineage_comma_join,
         lineage_cte_names, lineage_tables, lineage_long, lineage_scan, lineage_simple, lineage_linecount,
         lineage_file_summary, lineage_source_map, lineage_target_map, lineage_source_map_by_path, lineage_counts,
-        distinct_sources, lineage_file_text, lineage_numbered_text, step_split, step_count, step_tables, step_lookup,
+        distinct_sources, lineage_file_text, lineage_numbered_text, lineage_numbered_found, step_split, step_count, step_tables, step_lookup,
         step_table_counts, lineage_step_summary, lineage_step_summary_by_path, step_report_lines, step_summary_pieces, step_text_report, block_split_flat,
         block_split_nested, block_tables, block_tables_flat, block_columns, block_columns_first, block_conditions,
         block_aliases, block_aliases_as, block_errors, block_ragged_report, block_totals, block_duplicates,
@@ -588,6 +593,13 @@ def _listing(cte: str) -> str:
     return f"(SELECT path, string_agg(concat(t, chr(10)), '' ORDER BY t) AS lines FROM {cte} GROUP BY path)"
 
 
+def _in_order(found: str) -> str:
+    """The lists ``found`` in the texts of ``clean``, each name at its first place, as numbered lines."""
+    firsts = f"SELECT path, t, min(ord) AS ord FROM (SELECT path, generate_subscripts(l, 1) AS ord, unnest(l) AS t FROM (SELECT path, {found} AS l FROM clean)) GROUP BY 1, 2"
+    return f"""(SELECT path, string_agg(concat('  ', n, '. ', t, chr(10)), '' ORDER BY n) AS lines
+      FROM (SELECT path, t, row_number() OVER (PARTITION BY path ORDER BY ord) AS n FROM ({firsts})) GROUP BY path)"""
+
+
 def _numbering(cte: str) -> str:
     return f"""(SELECT path, string_agg(concat('  ', n, '. ', t, chr(10)), '' ORDER BY n) AS lines FROM
       (SELECT path, t, row_number() OVER (PARTITION BY path ORDER BY t) AS n FROM {cte}) GROUP BY path)"""
@@ -629,6 +641,12 @@ ORACLES = {
       CASE WHEN b.lines IS NULL THEN '' ELSE concat('[Target Tables]', chr(10), b.lines, chr(10)) END,
       CASE WHEN a.lines IS NULL THEN '' ELSE concat('[Source Tables]', chr(10), a.lines) END) AS content
       FROM scripts s LEFT JOIN {_numbering('src')} a USING (path) LEFT JOIN {_numbering('tgt')} b USING (path)""",
+    "lineage_numbered_found": f"""WITH scripts AS ({I.SCRIPTS_SQL}), clean AS (SELECT path, {_NO_BLOCKS.format("raw", " ")} AS sql FROM scripts)
+      SELECT s.path, concat('FILE: ', s.path, chr(10), chr(10),
+      CASE WHEN b.lines IS NULL AND a.lines IS NULL THEN concat('(추출된 테이블 없음)', chr(10)) ELSE '' END,
+      CASE WHEN b.lines IS NULL THEN '' ELSE concat('[Target Tables]', chr(10), b.lines, chr(10)) END,
+      CASE WHEN a.lines IS NULL THEN '' ELSE concat('[Source Tables]', chr(10), a.lines) END) AS content
+      FROM scripts s LEFT JOIN {_in_order(_find(_SCAN_NAME, "FROM", "JOIN"))} a USING (path) LEFT JOIN {_in_order(_find(_SCAN_NAME, *_WRITES))} b USING (path)""",
     "step_split": f"WITH {_STEPS} SELECT path, step_ord, step, raw AS body FROM steps",
     "step_count": f"WITH {_STEPS} SELECT path, count(*) AS steps FROM all_steps WHERE body <> '' GROUP BY path",
     "step_tables": f"{_WITH_STEPS} {_step_lists('steps')}",
