@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from tallyline.functions.names import KEYWORDS
+from tallyline.functions.names import KEYWORDS, admits_linecount_source
 from tallyline.operators import block_reports as BR
 from tallyline.operators import blocks as B
 from tallyline.operators import check_sql as CS
@@ -287,6 +287,21 @@ def check_sql_oracle(spark, sf):
     return CS.check_statements(_std(spark, sf), _pk(spark, sf), "oracle")
 
 
+# Names of daily and monthly tables in Hangul, quoted, undotted, and those that the line counter does not take for sources.
+_NAMES_SQL = """SELECT c_custkey, CASE c_custkey % 9 WHEN 0 THEN concat('DM.일실적_', CAST(c_custkey AS STRING)) WHEN 1 THEN concat('dm.월카드_', CAST(c_custkey AS STRING))
+  WHEN 2 THEN concat('`DW`.`일월_', CAST(c_custkey AS STRING), '`') WHEN 3 THEN 'DUAL' WHEN 4 THEN concat('WH_', CAST(c_custkey AS STRING), '.월')
+  WHEN 5 THEN 'DBA_TABLE' WHEN 6 THEN concat('plain_', CAST(c_custkey AS STRING)) WHEN 7 THEN concat('일.dw.t', CAST(c_custkey AS STRING)) ELSE 'USER_TAB_COLUMNS' END AS name
+  FROM customer"""
+
+
+def check_names(spark, sf):
+    """How both dialects write a table, its date column and its keys, and whether the line counter takes the name for a source."""
+    names = I.run_sql(spark, sf, _NAMES_SQL, customer="customer")
+    keys = F.array(F.lit("a"), F.lit("월"))
+    parts = {n: c for d in CS.DIALECTS for n, c in CS.reference_columns(F.col("name"), keys, d).items()}
+    return names.select("c_custkey", "name", *[c.alias(n) for n, c in parts.items()], admits_linecount_source(F.col("name")).alias("source"))
+
+
 def check_sql_file(spark, sf):
     return CS.check_files(_std(spark, sf), _pk(spark, sf))
 
@@ -305,7 +320,7 @@ QUERIES = {
         step_table_counts, lineage_step_summary, lineage_step_summary_by_path, step_report_lines, step_summary_pieces, step_text_report, block_split_flat,
         block_split_nested, block_tables, block_tables_flat, block_columns, block_columns_first, block_conditions,
         block_aliases, block_aliases_as, block_errors, block_ragged_report, block_totals, block_duplicates,
-        block_duplicates_by_script, block_html_report, check_sql_bq, check_sql_oracle, check_sql_file,
+        block_duplicates_by_script, block_html_report, check_sql_bq, check_sql_oracle, check_names, check_sql_file,
         statement_split,
     )
 } | {"file_line_stats": file_line_stats_query}
@@ -680,6 +695,11 @@ ORACLES = {
       FROM scripts s LEFT JOIN {_agg('src_ok')} a USING (path) LEFT JOIN {_agg('tgt')} b USING (path)""",
     "check_sql_bq": _check_oracle("bq"),
     "check_sql_oracle": _check_oracle("oracle"),
+    "check_names": rf"""SELECT c_custkey, name, CASE WHEN NOT contains(name, '`') AND regexp_matches(name, '[\x{{AC00}}-\x{{D7AF}}]') THEN concat('`', name, '`') ELSE name END AS bq_ref,
+      concat('`', CASE WHEN contains(base, '일') THEN '파티션일자' ELSE '기준일자' END, '`') AS bq_date, 'a,`월`' AS bq_keys, replace(name, '`', '') AS oracle_ref,
+      CASE WHEN contains(base, '일') THEN '파티션일자' WHEN contains(base, '월') THEN '기준년월' ELSE '기준일자' END AS oracle_date, 'a,월' AS oracle_keys,
+      name <> 'DUAL' AND NOT starts_with(name, 'WH_') AND (contains(name, '.') OR name IN ('DBA_TABLE', 'DBA_TAB_COLUMNS', 'USER_TAB_COLUMNS')) AS source
+      FROM (SELECT *, split_part(name, '.', -1) AS base FROM ({_NAMES_SQL}))""",
     "check_sql_file": _CHECK_FILE,
     "statement_split": rf"""SELECT path, row_number() OVER (PARTITION BY path ORDER BY ord) AS statement_ord, statement FROM (
       SELECT path, ord, {_TRIMMED.format('v')} AS statement FROM (
