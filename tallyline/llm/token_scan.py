@@ -49,6 +49,7 @@ def write_token_files(docs: DataFrame, path: str, id_column: str = "doc_id", tex
 
     A document is its ids, two bytes each, and the end id; null and empty texts are an end id alone. A file gets its name
     when it is whole, so a repeated task replaces equal bytes and a lost one leaves a hidden draft that nobody reads.
+    A token whose id is that of the end or above, as other vocabularies have them, is an error.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,8 +60,10 @@ def write_token_files(docs: DataFrame, path: str, id_column: str = "doc_id", tex
                 store.create_dir(base, recursive=True)
                 out = store.open_output_stream(draft)
             for text in batch.column(1):
-                ids = encode(text.as_py(), vocabulary).astype(TOKEN_TYPE)
-                out.write(np.append(ids, np.array(END_OF_DOCUMENT, dtype=TOKEN_TYPE)).tobytes())
+                ids = encode(text.as_py(), vocabulary)
+                if len(ids) and ids.max() >= END_OF_DOCUMENT:
+                    raise ValueError(f"the vocabulary has ids from {END_OF_DOCUMENT} on, which ends documents: {vocabulary}")
+                out.write(np.append(ids, END_OF_DOCUMENT).astype(TOKEN_TYPE).tobytes())
             places = pa.array(range(place, place + batch.num_rows), pa.int64())
             place += batch.num_rows
             yield pa.RecordBatch.from_arrays([pa.array([name] * batch.num_rows), places, batch.column(0)], names=["file", "place", "doc_id"])

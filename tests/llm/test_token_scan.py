@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import base64
 import os
 
 import numpy as np
@@ -39,3 +40,12 @@ def test_boundaries_across_blocks_and_unended_documents(spark, tmp_path):
     (tmp_path / "f.tokens").write_bytes(b"abc")
     with pytest.raises(Exception, match="whole number"):
         T.scan_blocks(spark, str(tmp_path / "f.tokens"))
+
+
+def test_ids_that_would_be_the_end_or_wrap_are_an_error(spark, tmp_path):
+    large = tmp_path / "large.tiktoken"
+    large.write_text("".join(f"{base64.b64encode(bytes([b])).decode()} {70_000 if b == ord('z') else b}\n" for b in range(256)))
+    docs = spark.createDataFrame([(1, "abc"), (2, None)], "doc_id long, text string")
+    assert T.write_token_files(docs, str(tmp_path / "plain"), vocabulary=str(large)).count() == 2
+    with pytest.raises(Exception, match="ids from 50256"):
+        T.write_token_files(docs.union(spark.createDataFrame([(3, "z")], docs.schema)), str(tmp_path / "wide"), vocabulary=str(large))
