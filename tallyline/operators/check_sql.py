@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.functions.arrays import explode_items, sorted_set
+from tallyline.functions.arrays import explode_items, posexplode_items, sorted_set
 from tallyline.functions.names import date_column, quote_hangul, table_key
-from tallyline.operators.joins import skewed_lookup
+from tallyline.operators.joins import fits_broadcast, lookup, skewed_lookup
 from tallyline.operators.lineage import long_form
 
 DIALECTS = ("bq", "oracle")
@@ -15,10 +15,17 @@ DEFAULT_BASE_DATE = "20260224"
 
 
 def with_pk_columns(tables: DataFrame, pk_list: DataFrame | None, table: str = "table") -> DataFrame:
-    """Add ``pk_cols`` of each table; null where the list does not hold it."""
+    """Add ``pk_cols`` of each table; null where the list does not hold it.
+
+    A list is counted first, in one job over its own lines: one that fits is sent to the tasks. The tables then neither
+    move nor are extracted a second time for the sketch of heavy keys that a shuffle join takes.
+    """
     if pk_list is None:
         return tables.withColumn("pk_cols", F.lit(None).cast("array<string>"))
-    return skewed_lookup(tables.withColumn("table_key", table_key(F.col(table))), pk_list, "table_key").drop("table_key")
+    keyed = tables.withColumn("table_key", table_key(F.col(table)))
+    if fits_broadcast(pk_list):
+        return lookup(keyed, pk_list, "table_key", broadcast=True).drop("table_key")
+    return skewed_lookup(keyed, pk_list, "table_key").drop("table_key")
 
 
 def reference_columns(table: Column, pk_cols: Column, dialect: str) -> dict[str, Column]:
@@ -64,8 +71,10 @@ def check_statements(
     parts = reference_columns(F.col("table"), F.col("pk_cols"), dialect)
     written = tables.select("path", "role", "table", *[c.alias(n) for n, c in parts.items()])
     statements = statements_of(*[F.col(n) for n in parts], dialect, base_date)
-    texts = written.select("path", "role", "table", F.array_compact(F.array(*statements)).alias("_all"))
-    return texts.select("path", "role", "table", F.posexplode("_all").alias("_pos", "statement")).select(
+    # Only the last can be null; compacting the array would not be compiled.
+    texts = F.when(statements[-1].isNotNull(), F.array(*statements)).otherwise(F.array(*statements[:-1]))
+    rows = posexplode_items(written.select("path", "role", "table", texts.alias("_all")), "_all", "_pos", "statement")
+    return rows.select(
         "path", "role", "table", (F.col("_pos") + 1).alias("statement_ord"), "statement"
     )
 

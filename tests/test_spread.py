@@ -4,10 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyline.functions import text as T
+from tallyline.operators import check_sql as CS
+from tallyline.operators import lineage as L
 from tallyline.operators import rules as R
 from tallyline.registry import inputs as I
 from tallyline.registry import script_queries as Q
 from tallyline.session import spread
+from tallyline.sources.pk_list import parse_pk_lines
 
 
 @pytest.fixture
@@ -67,3 +70,23 @@ def test_comments_are_those_of_the_plain_patterns(one):
                     s = F.regexp_replace(s, pattern, by)
                 return s
             assert one(text, lambda s, style=style: T.strip_comments(s, style)) == one(text, plain)
+
+
+def test_a_small_key_list_neither_moves_the_tables_nor_extracts_them_twice(spark):
+    scripts = spark.createDataFrame([("a.sql", "insert into DM.T select 1 from DW.A, DW.B")], "path string, raw string").repartition(2)
+    lines = spark.createDataFrame([("dw.a, k1, k2", 1)], "line string, _row_order bigint")
+    listed = parse_pk_lines(lines)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1")
+    try:
+        found = CS.check_statements(L.extract_tables(scripts), listed, "oracle")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        rows = found.where("role = 'source'").orderBy("table", "statement_ord").collect()
+    finally:
+        spark.conf.set(key, before)
+    assert "approx_top_k" not in plan and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    # The statements are written once, not again in a filter on their number.
+    assert plan.count("group by ") <= 3 * 2
+    assert [(r["table"], r["statement_ord"]) for r in rows] == [("DW.A", i) for i in range(1, 7)] + [("DW.B", i) for i in range(1, 6)]
+    assert rows[5]["statement"] == "select k1,k2,count(1) from DW.A group by k1,k2 having count(1) > 1;"
