@@ -31,6 +31,8 @@ HOT_WORDS = 262_144
 LEAST_RISE = 1e-4
 #: Weight of the class frequencies in a transition probability, in tokens.
 BACKOFF = 20.0
+#: Bytes of text that a training task takes apart at once: its arrays of tokens are some tens of times that.
+SLICE_BYTES = 2 << 20
 END = np.uint64(0x0E0D)
 
 
@@ -48,10 +50,11 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """``hash``, ``n`` of every distinct token of ``texts`` (column ``text``), ends included."""
+    slice_bytes = SLICE_BYTES
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, part in row_slices(batch.column(0)):
+            for _, part in row_slices(batch.column(0), slice_bytes):
                 hashes, n = np.unique(_tokens(part)[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n)], names=["hash", "n"])
 
@@ -100,12 +103,12 @@ def _with_before(values: np.ndarray, end: int) -> np.ndarray:
 
 def unit_pairs(texts: DataFrame, units: Units) -> DataFrame:
     """``u``, ``v``, ``n``: how often unit v follows unit u; a text begins after an end."""
-    size = units.rest + 1
+    size, slice_bytes = units.rest + 1, SLICE_BYTES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = int(units.of(np.array([END]))[0])
         for batch in batches:
-            for _, part in row_slices(batch.column(0)):
+            for _, part in row_slices(batch.column(0), slice_bytes):
                 unit = units.of(_tokens(part)[1])
                 pair, n = np.unique(_with_before(unit, end) * size + unit, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], names=["pair", "n"])
@@ -198,12 +201,13 @@ def cluster(pairs: DataFrame, units: int, classes: int = CLASSES) -> tuple[np.nd
 
 def context_cells(texts: DataFrame, units: Units, member: np.ndarray, classes: int) -> DataFrame:
     """``hash``, ``slot``, ``n`` of every word outside the core: how often it stands after (slot < classes) or before a core word of each class."""
+    slice_bytes = SLICE_BYTES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.append(member[: units.rest], -1)
         end = known[units.of(np.array([END]))[0]]
         for batch in batches:
-            for _, part in row_slices(batch.column(0)):
+            for _, part in row_slices(batch.column(0), slice_bytes):
                 _, tokens = _tokens(part)
                 of = known[units.of(tokens)]
                 rare = np.flatnonzero(of < 0)
@@ -297,12 +301,13 @@ def class_bigrams(texts: DataFrame, classed: DataFrame, hot: Hot, classes: int)
     Pairs of frequent words are counted where the text is; every other word leaves with the classes beside it and meets
     its own in a join on the word, which has no heavy keys. Two such words in a row meet by their running numbers.
     """
+    slice_bytes = SLICE_BYTES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
         end = int(hot.of(np.array([END]))[1][0])
         for batch in batches:
-            for _, part in row_slices(batch.column(0)):
+            for _, part in row_slices(batch.column(0), slice_bytes):
                 _, tokens = _tokens(part)
                 _, of = hot.of(tokens)
                 before = _with_before(of, end)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -10,6 +11,7 @@ import pyarrow as pa
 import pytest
 
 from tallyline.llm import brown as B
+from tallyline.llm.words import row_slices
 
 
 def rows():
@@ -168,3 +170,24 @@ def test_scores_are_the_models_log_probabilities(spark, trained):
             assert got[i, t][0] == pytest.approx(score(t), rel=1e-9) and got[i, t][1] == sum(h in classes for h in hashes(t))
         found.append(sorted((repr(k[0]), round(s, 6)) for k, (s, _) in got.items()))
     assert found[0] == found[1] == found[2]
+
+
+def test_training_does_not_depend_on_the_slices_and_they_are_small(spark, monkeypatch):
+    # The arrays of the tokens of one slice, as a training task makes them.
+    text = pa.array(["ab cde f " * (B.SLICE_BYTES // 9)])
+    tracemalloc.start()
+    for _, part in row_slices(text, B.SLICE_BYTES):
+        B._tokens(part)
+    assert tracemalloc.get_traced_memory()[1] < 120 << 20
+    tracemalloc.stop()
+
+    rng = random.Random(5)
+    texts = spark.createDataFrame([(" ".join(rng.choice("abcdefghijkl") for _ in range(40)),) for _ in range(60)], "text string").coalesce(1)
+
+    def learned():
+        model, classed = B.train(texts, 4, 6, 8)
+        return model.transition.tolist(), sorted(map(tuple, classed.collect()))
+
+    whole = learned()
+    monkeypatch.setattr(B, "SLICE_BYTES", 200)
+    assert learned() == whole
