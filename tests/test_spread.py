@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyline.functions import text as T
+from tallyline.operators import blocks as B
 from tallyline.operators import check_sql as CS
 from tallyline.operators import lineage as L
 from tallyline.operators import rules as R
@@ -90,3 +91,35 @@ def test_a_small_key_list_neither_moves_the_tables_nor_extracts_them_twice(spark
     assert plan.count("group by ") <= 3 * 2
     assert [(r["table"], r["statement_ord"]) for r in rows] == [("DW.A", i) for i in range(1, 7)] + [("DW.B", i) for i in range(1, 6)]
     assert rows[5]["statement"] == "select k1,k2,count(1) from DW.A group by k1,k2 having count(1) > 1;"
+
+
+BLOCK_CASES = (
+    "STEP001 BEGIN a END;", "xSTEP123\n begin step12 BEGIN BEGINS _END end END월 월END BEND ſTEP001 BEGIN END", "select a.b c, d AS e, f.g as h; i AS, j AS (k.  l) x.y.z",
+    "월a b from c.`d` x.from e refrom f MERGE INTO g merge\n into h Rename  to i JOIN\tj update k.l; into", "aa.bb. cc..dd  ee as as as f", "STEP001BEGIN a STEP002 BEGINX END END",
+    "SELECT " + "w" * 3000 + ", " + "v." * 300 + "u x", "",
+)
+
+
+def test_block_patterns_find_what_the_plain_patterns_find(one):
+    name = r"\s+([`\w\.]+)"
+    plain = {
+        B.BLOCK_TOKEN: (r"(?i)STEP\d{3}\s*BEGIN|\bBEGIN\b|\bEND\b", (0,)),
+        B.TABLES[1]: (r"(?i)\b(FROM|JOIN|INTO|UPDATE|MERGE INTO)" + name, (1, 2)),
+        B.TABLES[2]: (r"(?i)\b(FROM|JOIN|INTO|UPDATE|MERGE INTO|RENAME TO)" + name, (1, 2)),
+        B.TABLES[4]: (r"(?i)\b(FROM|JOIN|INTO|UPDATE|MERGE\s+INTO|RENAME\s+TO)" + name, (1, 2)),
+        B.ALIAS_AS: (r"(?i)(\w+(?:\.\w+)*)\s+AS\s+(\w+)", (1, 2)),
+        B.ALIAS_ANY: (r"(?i)(\w+(?:\.\w+)*)\s+(?:AS\s+)?(\w+)", (1, 2)),
+    }
+    for text in BLOCK_CASES:
+        def pairs(s):
+            return F.array(*[
+                F.array(*[F.concat_ws("|", F.regexp_extract_all(s, F.lit(p), F.lit(g))) for p in (own, want)]) for own, (want, groups) in plain.items() for g in groups
+            ])
+        assert [own for own, want in one(text, pairs) if own != want] == [], text
+    assert not any(own.startswith("(?i)\\b") for own in plain)
+
+
+def test_a_long_word_is_read_once_for_aliases(one):
+    """From each of its letters, 300,000 of them are 45,000,000,000 steps."""
+    text = "a b;" + "x" * 300_000 + "; c AS d"
+    assert one(text, B.block_alias_pairs) == [("b", "a"), ("d", "c")]
