@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions.arrays import posexplode_items
+from tallyline.session import gather
 
 
 def _alias_texts(arrow: str) -> Column:
@@ -101,15 +102,15 @@ def _section(block: Column) -> Column:
     )
 
 
-def html_report(facts: DataFrame, version: int = 4) -> DataFrame:
+def html_report(facts: DataFrame, version: int = 4, tasks: int | None = None) -> DataFrame:
     """(path, content): one page per script with totals and the lists of every block.
 
     The facts are read once and grouped once by script; the page, its duplicates included, is made of what has come
-    together, so no text is shuffled.
+    together, so no text is shuffled. ``tasks`` write the pages where ``spark.sql.shuffle.partitions`` are too few.
     """
     counts = {"tables": "테이블", "columns": "컬럼", "conditions": "조건절"}
     block = F.struct("block_ord", "step", *counts, "aliases", "errors")
-    pages = facts.groupBy("path").agg(*[F.sum(F.size(c)).alias(c) for c in (*counts, "errors")], F.array_sort(F.collect_list(block)).alias("_blocks"))
+    pages = gather(facts, tasks, "path").groupBy("path").agg(*[F.sum(F.size(c)).alias(c) for c in (*counts, "errors")], F.array_sort(F.collect_list(block)).alias("_blocks"))
     duplicates: list[Column | str] = []
     if version >= 4:
         for items in ("tables", "columns"):

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from tallyline.functions import text as T
 from tallyline.operators import blocks as B
 from tallyline.operators import check_sql as CS
 from tallyline.operators import lineage as L
+from tallyline.operators import lineage_reports as LR
 from tallyline.operators import rules as R
 from tallyline.registry import inputs as I
 from tallyline.registry import script_queries as Q
@@ -123,3 +126,28 @@ def test_a_long_word_is_read_once_for_aliases(one):
     """From each of its letters, 300,000 of them are 45,000,000,000 steps."""
     text = "a b;" + "x" * 300_000 + "; c AS d"
     assert one(text, B.block_alias_pairs) == [("b", "a"), ("d", "c")]
+
+
+REPORTS = (
+    Q.step_text_report, Q.lineage_target_map, Q.lineage_source_map, Q.lineage_step_summary, Q.lineage_step_summary_by_path, Q.block_html_report,
+)
+
+
+@pytest.mark.parametrize("query", REPORTS, ids=lambda q: q.__name__)
+def test_reports_are_written_by_tasks_told_from_the_rows(spark, tmp_path, monkeypatch, query):
+    key = "id - id % 50 DIV 49" if query is Q.block_html_report else "CASE WHEN id > 0 THEN id - id % 50 DIV 49 END"
+    orders = spark.range(200).selectExpr(f"{key} AS o_orderkey", "id % 40 AS o_custkey", "'O' AS o_orderstatus")
+    orders.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    few = sorted(map(tuple, query(spark, str(tmp_path)).collect()), key=repr)
+    monkeypatch.setattr(I, "SCRIPTS_A_TASK", 20)
+    found = query(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == 10
+    assert sorted(map(tuple, found.collect()), key=repr) == few
+
+
+def test_rows_of_a_name_with_equal_lists_are_dealt_to_many_tasks(spark):
+    rows = spark.range(2_000).selectExpr("concat('p', id) AS path", "'hot.sql' AS name", "array('DW.A', 'DW.B') AS sources", "array('DM.T') AS targets")
+    assert list(map(tuple, LR.target_map(rows, tasks=16).collect())) == [("hot.sql", "DM.T", "DW.A; DW.B")]
+    assert list(map(tuple, LR._united(rows, ["name"], "sources", "targets", tasks=16).collect())) == [("hot.sql", ["DW.A", "DW.B"], ["DM.T"])]
+    plan = LR._united(rows, ["name"], "sources", tasks=16)._jdf.queryExecution().analyzed().toString()
+    assert re.search(r"xxhash64\(sources#\d+, path#\d+", plan)
