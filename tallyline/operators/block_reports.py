@@ -2,30 +2,29 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.functions.arrays import posexplode_items
+from tallyline.functions.arrays import explode_items, let, posexplode_items
 from tallyline.session import gather
 
 
-def _alias_texts(arrow: str) -> Column:
-    return F.transform("aliases", lambda a: F.concat(a["name"], F.lit(arrow), a["value"]))
-
-
 def ragged_report(facts: DataFrame, *, errors: bool = True) -> DataFrame:
-    """One row per block and index: the lists side by side, shorter ones padded with empty text."""
+    """One row per block and index: the lists side by side, shorter ones padded with empty text.
+
+    Only line numbers are exploded; a row takes its entries from the lists of its block.
+    """
     ids = [c for c in ("path", "block_ord", "step") if c in facts.columns]
-    names = ["table", "column", "condition", "alias", *(["error"] if errors else [])]
-    lists = [
-        F.col("tables").alias("table"), F.col("columns").alias("column"), F.col("conditions").alias("condition"),
-        _alias_texts(" -> ").alias("alias"), *([F.col("errors").alias("error")] if errors else []),
-    ]
-    laid = facts.select(*ids, *lists).select(*ids, F.arrays_zip(*names).alias("_rows"))
-    rows = posexplode_items(laid, "_rows", "_pos", "_row")
-    return rows.select(
-        *ids, (F.col("_pos") + 1).alias("line"), *[F.coalesce(F.col("_row")[n], F.lit("")).alias(n) for n in names]
-    )
+    lists = {"table": "tables", "column": "columns", "condition": "conditions", "alias": "aliases", **({"error": "errors"} if errors else {})}
+    known = reduce(Column.__and__, [F.col(c).isNotNull() for c in lists.values()])
+    longest = F.greatest(*[F.size(c) for c in lists.values()])
+    lines = F.when(known & (longest > 0), F.sequence(F.lit(1), longest))
+    rows = explode_items(facts.select(*ids, *lists.values(), lines.alias("_lines")), "_lines", "line")
+    at = {name: F.get(items, F.col("line") - 1) for name, items in lists.items()}
+    at["alias"] = F.concat(at["alias"]["name"], F.lit(" -> "), at["alias"]["value"])
+    return rows.select(*ids, "line", *[F.coalesce(entry, F.lit("")).alias(name) for name, entry in at.items()])
 
 
 def block_totals(facts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
