@@ -50,15 +50,11 @@ def block_duplicates(facts: DataFrame, items: str, by: tuple[str, ...] = ("path"
     )
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _duplicates_text(values: Column) -> Column:
     """``value(count)`` of the values found more than once, the most frequent first, of equal ones the first found.
 
-    Sorted with their places, equal values are neighbours: n log n in the number of values of one script.
+    Sorted with their places, equal values are neighbours: n log n in the number of values of one script. Values that
+    all differ are not sorted. ``values`` are read more than once, so they should be a column.
     """
 
     def told(ordered: Column) -> Column:
@@ -75,15 +71,16 @@ def _duplicates_text(values: Column) -> Column:
             return F.array_sort(F.filter(each, lambda g: g["rank"] < -1))
 
         text = lambda g: F.concat(g["v"], F.lit("("), (-g["rank"]).cast("string"), F.lit(")"))
-        return F.array_join(F.transform(_let(starts, groups), text), ", ")
+        return F.array_join(F.transform(let(starts, groups), text), ", ")
 
-    return _let(F.array_sort(F.transform(values, lambda v, i: F.struct(v.alias("v"), i.alias("i")))), told)
+    placed = F.sort_array(F.transform(values, lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
+    return F.when(F.size(F.array_distinct(values)) == F.size(values), F.lit("")).otherwise(let(placed, told))
 
 
 def _list_items(items: Column, attributes: str = "") -> Column:
-    return F.array_join(
-        F.transform(items, lambda x: F.concat(F.lit(f"<li{attributes}>"), x, F.lit("</li>\n"))), ""
-    )
+    opened, closed = f"<li{attributes}>", "</li>\n"
+    texts = F.concat(F.lit(opened), F.array_join(items, closed + opened), F.lit(closed))
+    return F.when(F.size(items) > 0, texts).when(F.size(items) == 0, F.lit(""))
 
 
 def _text(*parts: Column | str) -> Column:
@@ -91,12 +88,12 @@ def _text(*parts: Column | str) -> Column:
 
 
 def _section(block: Column) -> Column:
-    aliases = F.transform(block["aliases"], lambda a: F.concat(a["name"], F.lit(" → "), a["value"]))
+    aliases = let(F.transform(block["aliases"], lambda a: F.concat(a["name"], F.lit(" → "), a["value"])), lambda texts: _list_items(texts))
     return _text(
         "<hr><h3>", block["step"], "</h3>\n<b>테이블:</b><ul>\n", _list_items(block["tables"]),
         "</ul><b>컬럼:</b><ul>\n", _list_items(block["columns"]),
         "</ul><b>조건:</b><ul>\n", _list_items(block["conditions"]),
-        "</ul><b>테이블 변경 추적:</b><ul>\n", _list_items(aliases),
+        "</ul><b>테이블 변경 추적:</b><ul>\n", aliases,
         "</ul><b>오류:</b><ul>\n", _list_items(block["errors"], " style='color:red;'"), "</ul>\n",
     )
 
@@ -113,8 +110,8 @@ def html_report(facts: DataFrame, version: int = 4, tasks: int | None = None) ->
     duplicates: list[Column | str] = []
     if version >= 4:
         for items in ("tables", "columns"):
-            found = F.flatten(F.transform("_blocks", lambda b: b[items]))  # noqa: B023
-            duplicates += [f"<li>중복 {counts[items]}: ", _duplicates_text(found), "</li>\n"]
+            pages = pages.withColumn(f"_{items}", F.flatten(F.col("_blocks")[items]))
+            duplicates += [f"<li>중복 {counts[items]}: ", _duplicates_text(F.col(f"_{items}")), "</li>\n"]
     totals: list[Column | str] = []
     for items, label in counts.items():
         totals += [f"<li>총 {label} 수: ", F.col(items).cast("string"), "</li>\n"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyline.functions import arrays as A
 from tallyline.operators import blocks as B
-from tallyline.operators.block_reports import ragged_report
+from tallyline.operators.block_reports import html_report, ragged_report
 
 FACTS = (
     "path string, block_ord int, tables array<string>, columns array<string>, conditions array<string>, "
@@ -72,3 +72,22 @@ def test_conditions_are_those_of_the_plain_pattern(spark):
     rows = found.collect()
     assert [r["s"] for r in rows if r["want"] != r["own"]] == [] and sum(len(r["own"] or []) for r in rows) > 500
     assert not any("\n" in c or "\t" in c for r in rows for c in r["c"] or [])
+
+
+def test_lists_of_a_page_are_joined_not_written_one_by_one(spark):
+    facts = spark.createDataFrame(
+        [
+            ("a", 2, "S2", ["t1"], ["c", "d"], [], [("n", "v"), ("m", "w")], ["e", "f"]), ("a", 1, "S1", ["t2", "t1"], [], ["x = 1"], [], []),
+            ("b", 1, "S1", [], ["c"], [], [], []),
+        ],
+        FACTS.replace("tables", "step string, tables", 1),
+    )
+    pages = html_report(facts)
+    assert "concat(<li>, lambda" not in _plan(pages)
+    content = {r["path"]: r["content"] for r in pages.collect()}
+    assert "<li>중복 테이블: t1(2)</li>\n<li>중복 컬럼: </li>\n" in content["a"] and "<li>중복 테이블: </li>\n<li>중복 컬럼: </li>\n" in content["b"]
+    assert (
+        "<hr><h3>S2</h3>\n<b>테이블:</b><ul>\n<li>t1</li>\n</ul><b>컬럼:</b><ul>\n<li>c</li>\n<li>d</li>\n</ul><b>조건:</b><ul>\n"
+        "</ul><b>테이블 변경 추적:</b><ul>\n<li>n → v</li>\n<li>m → w</li>\n</ul><b>오류:</b><ul>\n"
+        "<li style='color:red;'>e</li>\n<li style='color:red;'>f</li>\n</ul>\n</body></html>\n"
+    ) in content["a"]
