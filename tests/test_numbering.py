@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tallyline.operators import lineage_reports as LR
 from tallyline.operators.blocks import block_facts, split_nested_blocks
 from tallyline.operators.block_reports import _duplicates_text, html_report
 from tallyline.operators.lineage_reports import bounded_pieces, step_report_lines, step_summary_pieces
@@ -59,3 +60,31 @@ def test_one_name_for_all_scripts_is_no_large_row(spark):
     whole = "".join(r["value"] + ("\n" if r["last"] else "") for r in sorted(pieces, key=lambda r: r["piece"]))
     lines = step_report_lines(rows).orderBy("file_name", "path", "step_ord").collect()
     assert whole == "".join(r["value"] + "\n" for r in lines) and len(lines) == 600 and len(whole) > 100_000
+
+
+def test_texts_are_made_once_and_not_to_find_the_ranges(spark, tmp_path):
+    """Ranges are told from a first run over the rows, which made every text a second time."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def costly(i):
+        made.add(1)
+        return "x" * (i % 30)
+
+    rows = spark.range(500).selectExpr("concat('k', id % 7) AS k", "id AS i").repartition(3)
+    write = lambda dealt: dealt.select("k", "i", costly("i").alias("value"))
+    got = bounded_pieces(rows, "k", ["i"], most=10, write=write, tasks=9)
+    assert made.value == 500
+    pieces = sorted(((r["k"], r["piece"], r["value"], r["last"]) for r in got.collect()))
+    want = sorted(((r["k"], r["piece"], r["value"], r["last"]) for r in bounded_pieces(write(rows), "k", ["i"], most=10).collect()))
+    assert pieces == want and len(pieces) > 900
+
+
+def test_the_texts_of_steps_are_written_in_the_ranges(spark, monkeypatch):
+    """The rows that are dealt out hold tables; their texts come after."""
+    seen = []
+    plain = LR.number_rows
+    monkeypatch.setattr(LR, "number_rows", lambda df, *a, **k: seen.append((df.columns, k["tasks"])) or plain(df, *a, **k))
+    scripts = spark.createDataFrame([("d/job.sql", "job.sql", "/* STEP001 */ INSERT INTO dw.t1 SELECT * FROM dw.s1;")], "path string, name string, raw string")
+    assert step_summary_pieces(step_rows(scripts), tasks=6).count() == 1
+    assert seen[0][1] == 6 and "value" not in seen[0][0] and {"sources", "targets"} <= set(seen[0][0])
